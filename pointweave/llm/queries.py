@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pointweave.llm.mixing import hash_threshold_mix
+from pointweave.llm.pieces import encode_texts
 from pointweave.llm.sharding import assign_shards
 from pointweave.llm.shared import read
 
@@ -14,6 +15,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_threshold_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def public_tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; every node has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(read(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return assign_shards(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
@@ -50,6 +62,7 @@ FROM x
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_shard_documents": op7_shard_documents,
 }
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
