@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
+from pointweave.llm.quality_rules import quality_rules
 from pointweave.llm.sharding import assign_shards
 from pointweave.llm.shared import read
 
@@ -15,6 +16,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return hash_threshold_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +72,7 @@ FROM x
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_shard_documents": op7_shard_documents,
