@@ -8,6 +8,7 @@ from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
 from pointweave.llm.quality_rules import quality_rules
+from pointweave.llm.secrets import secret_report
 from pointweave.llm.sharding import assign_shards
 from pointweave.llm.shared import read
 
@@ -41,6 +42,10 @@ def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -76,5 +81,6 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_shard_documents": op7_shard_documents,
+    "op8_secrets": op8_secrets,
 }
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
