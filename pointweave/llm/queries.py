@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
+from pointweave.llm.quality_model import classify
 from pointweave.llm.quality_rules import quality_rules
 from pointweave.llm.secrets import secret_report
 from pointweave.llm.sharding import assign_shards
@@ -46,6 +47,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, read(spark, sf_dir, "labels")).drop("text")
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -82,5 +88,6 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op7_shard_documents": op7_shard_documents,
     "op8_secrets": op8_secrets,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
