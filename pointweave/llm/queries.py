@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.llm.embeddings import similar_vectors
 from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
@@ -18,6 +19,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ FROM x
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_embeddings": op2_embeddings,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
