@@ -10,6 +10,7 @@ from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
 from pointweave.llm.quality_model import classify
 from pointweave.llm.quality_rules import quality_rules
+from pointweave.llm.repeats import repeat_report
 from pointweave.llm.secrets import secret_report
 from pointweave.llm.sharding import assign_shards
 from pointweave.llm.shared import read
@@ -43,6 +44,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(read(spark, sf_dir, "documents"))
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return assign_shards(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
@@ -92,6 +97,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_shard_documents": op7_shard_documents,
     "op8_secrets": op8_secrets,
     "op10_quality_classifier": op10_quality_classifier,
