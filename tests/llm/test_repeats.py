@@ -56,7 +56,7 @@ def test_equals_brute_force(spark):
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
-    t = "".join(random.Random(8).choice("abcdefgh ") for _ in range(300))
+    t = "".join(random.Random(8).choices("abcdefgh ", k=300))
     rows = [(None, t, 1), (3, t, 1), (3, t, 1), (5, t, 2)]
     found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in found) == [(-1, 0), (3, 0), (3, 0), (5, 300)]
