@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pointweave.llm.embeddings import similar_vectors
+from pointweave.llm.licenses import license_report
 from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
 from pointweave.llm.pieces import encode_texts
@@ -57,6 +58,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, read(spark, sf_dir, "labels")).drop("text")
@@ -100,6 +105,7 @@ QUERIES = {
     "op6_repeated_passages": op6_repeated_passages,
     "op7_shard_documents": op7_shard_documents,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
