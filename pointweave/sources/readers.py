@@ -18,7 +18,7 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("int").alias("frame"), "content")
 
 
-def _decoded(files: DataFrame, schema: str, dtype: np.dtype, columns: dict[str, str]) -> DataFrame:
+def decoded(files: DataFrame, schema: str, dtype: np.dtype, columns: dict[str, str]) -> DataFrame:
     """One row per record of each file, with its place as pt; a file that is no whole number of records is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,12 +42,12 @@ def scans(spark: SparkSession, path: str, fields: tuple[str, ...] = ("x", "y", "
     """frame, pt and float32 fields of .bin scans; a fifth field (ring) makes the five-column variant."""
     dtype = np.dtype([(f, "<f4") for f in fields])
     schema = "frame int, pt int, " + ", ".join(f"{f} float" for f in fields)
-    return _decoded(_files(spark, path, ".bin"), schema, dtype, {f: "float32" for f in fields})
+    return decoded(_files(spark, path, ".bin"), schema, dtype, {f: "float32" for f in fields})
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """frame, pt, raw, semantic (low 16 bits), instance (high 16 bits) of .label files."""
-    words = _decoded(_files(spark, path, ".label"), "frame int, pt int, raw long", np.dtype([("raw", "<u4")]), {"raw": "int64"})
+    words = decoded(_files(spark, path, ".label"), "frame int, pt int, raw long", np.dtype([("raw", "<u4")]), {"raw": "int64"})
     return words.select("frame", "pt", "raw", F.col("raw").bitwiseAND(F.lit(65535).cast("long")).cast("int").alias("semantic"), F.shiftright("raw", 16).cast("int").alias("instance"))
 
 
