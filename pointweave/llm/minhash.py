@@ -95,17 +95,36 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        sets = list(shingle_sets(batch.column(1), WIDTH))
+        if sets:
+            rep = np.repeat(ids[[r for r, _ in sets]], [len(x) for _, x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([x for _, x in sets]).view(np.int64))], names=["rep", "shingle"])
+
+
+def _own_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, own): how many of a text's shingles no other of the texts of reps has."""
+    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    shingles = texts.mapInArrow(_shingles, "rep long, shingle long")
+    once = shingles.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    return once.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs(doc_id, text), linked at Jaccard similarity 0.75 of 5-word shingles.
 
     1. Each whole text becomes a sketch of its distinct shingles and 32 band keys. Texts with equal sets form a class,
        whatever their number; only its smallest doc_id goes on.
-    2. Every member of a band bucket is paired with the bucket's smallest member, its hub. Pairs are verified on full
-       sets; links give components. Buckets are reduced by map-side minimum and read by a join, so a hot bucket is
-       neither gathered nor squared.
-    3. Buckets that still hold several components try other hubs, as long as that finds links, and at last every pair
-       of different components within a bucket whose sketches agree enough. So no link that banding finds is lost,
-       and the pairs within one component are never listed.
+    2. Every member of a band bucket is paired with the bucket's hub, the member whose buckets are largest, as a text
+       from which others were copied has the most common bands. Pairs are verified on full sets; links give
+       components. Buckets are reduced map-side and read by a join, so a hot bucket is neither gathered nor squared.
+    3. Buckets that still hold several components try another hub. What is then left open, pairs of different
+       components within a bucket, is narrowed by a bound on the intersection: shingles that no other open text has
+       cannot be shared, and texts whose remaining sets are too small for their sizes cannot link. Pairs that pass the
+       bound, and whose sketches agree enough, are verified. So no link that banding finds is lost, pairs within a
+       component are never listed, and loose copies, each with edits of its own, are not paired with each other.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows of a doc_id form one class if their
     texts are equal; a doc_id with different texts is linked through any of them. A null doc_id keeps its row: its
@@ -118,34 +137,42 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 3) -> DataFrame:
     members = sig.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     members = materialise(members, "members")
     reps = some.join(classes.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"])
-    entries = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    full = materialise(full, "buckets")
-    entries = materialise(entries.join(full, "bucket").select("bucket", "rep", "hub"), "entries")
-    tried = materialise(entries.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    reps = materialise(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "marks"), "reps")
+    entries = reps.select("rep", F.explode("bands").alias("bucket"))
+    full = entries.groupBy("bucket").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
+    entries = materialise(entries.join(materialise(full.select("bucket", "n"), "buckets"), "bucket"), "entries")
+    central = materialise(entries.groupBy("rep").agg(F.sum("n").alias("central")), "central")
+    best = F.max(F.struct("central", (-F.col("rep")).alias("low"), "rep")).alias("hub")
+    hubs = materialise(entries.join(central, "rep").groupBy("bucket").agg(best).select("bucket", F.col("hub.rep").alias("hub")), "hubs")
+    pairs = entries.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    tried = materialise(pairs, "pairs")
     links = materialise(verify(tried, docs), "links")
     found = connected_components(links)
 
     for step in range(hub_rounds + 1):
         placed = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("bucket").agg(
-            F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.struct(F.xxhash64("rep", F.lit(step)).alias("order"), "rep", "component")).alias("hub")
-        ).where("c1 <> c2")
+        order = F.struct(F.xxhash64("rep", F.lit(step)).alias("order"), "rep", "component")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(order).alias("hub")).where("c1 <> c2")
         mixed = materialise(mixed.select("bucket", "hub.rep", "hub.component").toDF("bucket", "hub", "hub_component"), "mixed")
         placed = materialise(placed.join(mixed, "bucket"), "open")
         if step < hub_rounds:
             pairs = placed.where("component <> hub_component").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         else:
-            x, y = (placed.select("bucket", F.col("rep").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-            pairs = x.join(y, "bucket").where("a < b AND c_a <> c_b").select("a", "b")
+            own = _own_shingles(placed.select("rep").distinct(), docs)
+            sizes = placed.select("rep").distinct().join(reps.select("rep", "size"), "rep").join(own, "rep", "left")
+            # most: a partner's largest size for which what others can share of this set is 3/7 of both sizes.
+            sizes = sizes.withColumn("most", F.floor((4 * F.col("size") - 7 * F.coalesce("own", F.lit(0))) / 3)).where("4 * most >= 3 * size")
+            sizes = materialise(sizes.select("rep", "size", "most"), "sizes")
+            live = materialise(placed.join(sizes, "rep").select("bucket", "rep", "component", "size", "most"), "live")
+            x, y = (live.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "size", "most"))) for k in "ab")
+            fits = "rep_a < rep_b AND component_a <> component_b AND size_a <= most_b AND size_b <= most_a"
+            pairs = x.join(y, "bucket").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):
-            if step == hub_rounds:
-                break
             continue
         tried = tried.union(pairs)
-        marks = reps.select(F.col("doc_id"), "marks")
+        marks = reps.select("rep", "marks")
         agreeing = pairs.join(marks.toDF("a", "m_a"), "a").join(marks.toDF("b", "m_b"), "b").mapInArrow(_agreeing, "a long, b long")
         more = materialise(verify(agreeing, docs), "links")
         if more.head(1):

@@ -64,22 +64,25 @@ def _steps(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: place(i) * STATES + place(i + 1))
 
 
-def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train_markov(samples: DataFrame, weight: float = 5.0) -> list[float]:
     """Log-likelihood ratio of each character transition, random over ordinary, from samples(s, random boolean).
 
-    Two first-order models with additive smoothing, counted by one aggregate. The result has STATES**2 numbers
-    whatever the samples, so it may go to the driver. A class without samples is uniform.
+    Two first-order models, counted by one aggregate. Transitions are smoothed towards the class's own character
+    frequencies, worth ``weight`` observations, so that a character that hardly occurs in ordinary identifiers is
+    unlikely there after any other. The result has STATES**2 numbers whatever the samples, so it may go to the driver.
     """
-    long_enough = samples.where(F.length("s") >= 2)
-    steps = long_enough.select("random", F.explode(_steps(F.col("s"))).alias("step"))
+    steps = samples.where(F.length("s") >= 2).select("random", F.explode(_steps(F.col("s"))).alias("step"))
     counts = steps.groupBy("random", "step").count().collect()
-    tables = {True: [smoothing] * STATES**2, False: [smoothing] * STATES**2}
-    for r in counts:
-        tables[r["random"]][r["step"]] += r["count"]
     logs = {}
-    for label, table in tables.items():
-        sums = [sum(table[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
-        logs[label] = [log(table[k] / sums[k // STATES]) for k in range(STATES**2)]
+    for label in (True, False):
+        table = [0.0] * STATES**2
+        for r in counts:
+            if r["random"] == label:
+                table[r["step"]] += r["count"]
+        total = sum(table)
+        share = [(sum(table[b::STATES]) + 0.5) / (total + 0.5 * STATES) for b in range(STATES)]
+        rows = [sum(table[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
+        logs[label] = [log((table[k] + weight * share[k % STATES]) / (rows[k // STATES] + weight)) for k in range(STATES**2)]
     return [x - y for x, y in zip(logs[True], logs[False], strict=True)]
 
 
@@ -90,17 +93,19 @@ def markov_score(s: Column, ratios: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, per_class: int) -> DataFrame:
-    """(s, random): up to per_class values of base matches, and as many words of 8 to 40 characters that are not in one.
+    """(s, random): up to per_class values of base matches, and as many ordinary words of 8 to 40 characters.
 
-    Taken in the order of a hash of the string, so that every run takes the same ones.
+    Ordinary are words that no base match has as its value, and whose digits, if any, stand in one place; so keys that
+    no pattern labels do not pass for ordinary. Taken in the order of a hash of the string, so that every run takes the same ones.
     """
     spans = base_spans(F.col("text"))
     hits = docs.select(
         F.explode(F.concat(F.transform(spans["assign"], lambda x: F.regexp_extract(x["s"], ASSIGN, 2)), F.transform(spans["access"], lambda x: x["s"]), F.transform(spans["hex"], lambda x: x["s"]))).alias("s")
     )
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{8,40}"), F.lit(0))).alias("s"))
-    ordinary = words.where(~F.col("s").rlike(r"^[0-9a-f]{24,}$|^AKIA")).distinct().withColumn("random", F.lit(False))
-    secret = hits.distinct().withColumn("random", F.lit(True))
+    hits = hits.distinct()
+    ordinary = words.where(~F.col("s").rlike(r"^AKIA|[0-9][^0-9]+[0-9]")).distinct().join(hits, "s", "left_anti").withColumn("random", F.lit(False))
+    secret = hits.withColumn("random", F.lit(True))
     first = lambda d: d.orderBy(F.xxhash64("s"), "s").limit(per_class)
     return first(secret).union(first(ordinary))
 
