@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.llm.graph import connected_components
@@ -104,12 +105,28 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([x for _, x in sets]).view(np.int64))], names=["rep", "shingle"])
 
 
-def _own_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, own): how many of a text's shingles no other of the texts of reps has."""
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    shingles = texts.mapInArrow(_shingles, "rep long, shingle long")
-    once = shingles.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
-    return once.groupBy("rep").agg(F.count("*").alias("own"))
+def _prefix_pairs(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among placed(rep, component) that share one of their rarest shingles.
+
+    Sets of sizes s and t with Jaccard similarity 0.75 share at least n = 3/7 (s + t) shingles, so with shingles in any
+    common order, here by how many of these texts have them, they share one of the first s - n + 1 of the one and
+    t - n + 1 of the other. The rarest shingles of a loose copy are its own edits, so it meets few others or none.
+    """
+    open_reps = placed.select("rep", "component").distinct()
+    texts = docs.join(open_reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    shingles = materialise(texts.mapInArrow(_shingles, "rep long, shingle long"), "shingles")
+    counts = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    sizes = reps.select("rep", "size").join(open_reps, "rep")
+    # Shingles of one text alone come first in its order and meet no other text: only their number matters.
+    shared = shingles.join(counts, "shingle").join(sizes, "rep")
+    total = shared.withColumn("own", F.col("size") - F.count("*").over(W.partitionBy("rep")))
+    place = F.col("own") + F.row_number().over(W.partitionBy("rep").orderBy("n", "shingle"))
+    postings = materialise(total.withColumn("place", place).where("4 * (place - 1) <= size").select("rep", "component", "size", "shingle", "place"), "postings")
+    x, y = (postings.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "size", "place"))) for k in "ab")
+    need = F.ceil(3 * (F.col("size_a") + F.col("size_b")) / 7)
+    early = (F.col("place_a") <= F.col("size_a") - need + 1) & (F.col("place_b") <= F.col("size_b") - need + 1)
+    fits = x.join(y, "shingle").where(F.expr("rep_a < rep_b AND component_a <> component_b") & early)
+    return fits.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
@@ -120,11 +137,10 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     2. Every member of a band bucket is paired with the bucket's hub, the member whose buckets are largest, as a text
        from which others were copied has the most common bands. Pairs are verified on full sets; links give
        components. Buckets are reduced map-side and read by a join, so a hot bucket is neither gathered nor squared.
-    3. Buckets that still hold several components try another hub. What is then left open, pairs of different
-       components within a bucket, is narrowed by a bound on the intersection: shingles that no other open text has
-       cannot be shared, and texts whose remaining sets are too small for their sizes cannot link. Pairs that pass the
-       bound, and whose sketches agree enough, are verified. So no link that banding finds is lost, pairs within a
-       component are never listed, and loose copies, each with edits of its own, are not paired with each other.
+    3. Buckets that still hold several components try another hub. Texts that are then left in such buckets are
+       compared exactly, by shared rare shingles (prefix filter), across components. Pairs that pass, and whose sketches
+       agree enough, are verified. So no link that banding finds is lost, pairs within a component are never listed,
+       and loose copies, each with edits of its own, are not paired with each other.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows of a doc_id form one class if their
     texts are equal; a doc_id with different texts is linked through any of them. A null doc_id keeps its row: its
@@ -158,15 +174,7 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
         if step < hub_rounds:
             pairs = placed.where("component <> hub_component").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         else:
-            own = _own_shingles(placed.select("rep").distinct(), docs)
-            sizes = placed.select("rep").distinct().join(reps.select("rep", "size"), "rep").join(own, "rep", "left")
-            # most: a partner's largest size for which what others can share of this set is 3/7 of both sizes.
-            sizes = sizes.withColumn("most", F.floor((4 * F.col("size") - 7 * F.coalesce("own", F.lit(0))) / 3)).where("4 * most >= 3 * size")
-            sizes = materialise(sizes.select("rep", "size", "most"), "sizes")
-            live = materialise(placed.join(sizes, "rep").select("bucket", "rep", "component", "size", "most"), "live")
-            x, y = (live.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "size", "most"))) for k in "ab")
-            fits = "rep_a < rep_b AND component_a <> component_b AND size_a <= most_b AND size_b <= most_a"
-            pairs = x.join(y, "bucket").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+            pairs = _prefix_pairs(placed, reps, docs)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):

@@ -68,3 +68,23 @@ def test_sketch_estimates_similarity():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(same - true) < 0.2
         assert (fast_similarity_sketch(a) == fast_similarity_sketch(a[::-1].copy())).all()
+
+
+def test_loose_copies_without_their_origin(spark):
+    """Copies that differ by edits of their own, some within 0.75 of each other, some of none."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for _ in range(4):
+        base = [word() for _ in range(rng.randint(60, 160))]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(2, len(base) // 30))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [word()]
+            docs.append(" ".join(copy))
+    docs = list(enumerate(docs))
+    want = brute_force(docs)
+    assert 4 < sum(kept for *_, kept in want) < 60
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in found} == want
