@@ -7,30 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def heaviest(weight: str, label: str) -> Column:
-    """Aggregate: the label of the largest weight, the smallest label on ties."""
-    return -F.max(F.struct(F.col(weight), (-F.col(label)).alias("low")))["low"]
-
-
 def votes(points: DataFrame, key: Column, label: str = "cls", weight: str = "w_micro") -> DataFrame:
     """key, label, w, n: summed weight and count of each label in each voxel; partial sums combine map-side."""
     return points.withColumn("key", key).groupBy("key", F.col(label).alias("cls")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
 
 
-def vote_map(points: DataFrame, key: Column) -> DataFrame:
-    """key, n_obs, centroid x, y, z, cls, share: a fused voxel per key.
+def vote_map(points: DataFrame, key: Column, classes: int = 16) -> DataFrame:
+    """key, n_obs, centroid x, y, z, cls, share: a fused voxel per key, from points(cls, w_micro, x_mm, y_mm, z_mm).
 
-    One shuffle: label sums and moment sums are partial aggregates of (key, label), and the voxel's reduction runs on
-    the same partitioning by key only if it is the coarser one; so the label level is grouped first by key, label.
+    One shuffle by key: the label space is fixed, so each class's weight is a conditional sum beside the moments, and
+    all of them combine map-side. A class that does not occur has no sum, so it cannot win; ties go to the smallest.
     """
-    per_label = points.withColumn("key", key).groupBy("key", "cls").agg(
-        F.sum("w_micro").alias("w"), F.count("*").alias("n"), F.sum("x_mm").alias("sx"), F.sum("y_mm").alias("sy"), F.sum("z_mm").alias("sz")
-    )
-    best = F.max(F.struct("w", (-F.col("cls")).alias("low")))
-    out = per_label.groupBy("key").agg(F.sum("n").alias("n_obs"), F.sum("w").alias("total"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum("sz").alias("sz"), best.alias("best"))
-    return out.select(
-        "key", "n_obs", *((F.col(f"s{a}") / F.col("n_obs")).alias(a) for a in "xyz"), (-F.col("best.low")).cast("int").alias("cls"), (F.col("best.w") / F.greatest("total", F.lit(1))).alias("share")
-    )
+    w = {k: F.sum(F.when(F.col("cls") == k, F.col("w_micro"))).alias(f"w{k}") for k in range(classes)}
+    sums = points.withColumn("key", key).groupBy("key").agg(F.count("*").alias("n_obs"), F.sum("x_mm").alias("sx"), F.sum("y_mm").alias("sy"), F.sum("z_mm").alias("sz"), *w.values())
+    some = [F.when(F.col(f"w{k}").isNotNull(), F.struct(F.col(f"w{k}").alias("w"), F.lit(-k).alias("low"))) for k in range(classes)]
+    total = F.coalesce(F.col("w0"), F.lit(0))
+    for k in range(1, classes):
+        total = total + F.coalesce(F.col(f"w{k}"), F.lit(0))
+    out = sums.withColumns({"best": F.greatest(*some), "total": total})
+    return out.select("key", "n_obs", *((F.col(f"s{a}") / F.col("n_obs")).alias(a) for a in "xyz"), (-F.col("best.low")).cast("int").alias("cls"), (F.col("best.w") / F.greatest("total", F.lit(1))).alias("share"))
 
 
 def contributions(packets: DataFrame, excluded: list[int], least_weight: int) -> DataFrame:
