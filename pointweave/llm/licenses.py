@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pointweave.llm.textkit import LOWER, U64, mix, text_slices, word_bounds, wo
 
 #: Words of one paragraph that are judged together; longer paragraphs are judged in overlapping windows.
 WINDOW, STRIDE = 120, 60
+#: Words between places of template 3-grams that still belong to one notice, and 3-grams that confirm a part of a long template.
+GAP, PART = 3, 6
 
 #: Notices of licence families, as commonly published. Several templates of a family are alternatives.
 TEMPLATES = {
@@ -151,6 +154,40 @@ def _three_grams(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(words[:-2] * U64(5) + words[1:-1] * U64(3) + words[2:]))
 
 
+@cache
+def _notice_grams() -> tuple[tuple[tuple[int, np.ndarray], ...], tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """(family, 3-grams) of every template, 3-grams of each family, of all, and first words of templates under three words."""
+    flat = _template_words()
+    long = [(k, _three_grams(w)) for k, w in flat if len(w) >= 3]
+    families = tuple(np.unique(np.concatenate([g for k, g in long if k == f] or [np.zeros(0, U64)])) for f in range(len(FAMILIES) - 1))
+    tags = np.unique(np.array([w[0] for _, w in flat if len(w) < 3], U64))
+    return tuple((k, _three_grams(w)) for k, w in flat), families, np.unique(np.concatenate([g for _, g in long])), tags
+
+
+def notices(words: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of the word runs of a whole text that one family's template 3-grams cover, over line ends too.
+
+    Up to GAP other words may lie within a run. The word after the first of a two-word template (a tag) belongs to its run.
+    """
+    _, families, every, tags = _notice_grams()
+    out = {(int(k), min(int(k) + 2, len(words))) for k in np.flatnonzero(np.isin(words, tags))}
+    grams = mix(words[:-2] * U64(5) + words[1:-1] * U64(3) + words[2:]) if len(words) > 2 else words[:0]
+    places = np.minimum(np.searchsorted(every, grams), len(every) - 1)
+    hits = np.flatnonzero(every[places] == grams)
+    for known in families if len(hits) else ():
+        own = hits[np.isin(grams[hits], known)]
+        if len(own):
+            cut = np.flatnonzero(np.diff(own) > 3 + GAP)
+            out |= set(zip(own[np.r_[0, cut + 1]].tolist(), (own[np.r_[cut, len(own) - 1]] + 3).tolist(), strict=True))
+    return sorted(out)
+
+
+def _holds_template(grams: np.ndarray, family: int) -> bool:
+    """Half of the 3-grams of one of the family's templates, or PART of them."""
+    shared = [(int(np.isin(own, grams).sum()), len(own)) for k, own in _notice_grams()[0] if k == family]
+    return any(2 * n >= of or n >= PART for n, of in shared)
+
+
 def fit(others: list[np.ndarray], epochs: int = 30, rate: float = 0.5, false_rate: float = 1e-3) -> LicenseModel:
     """A model from the templates, varied, and from ``others``, word hashes of ordinary paragraphs, as class unknown.
 
@@ -233,6 +270,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, least_overlap: int = 2)
     Every line of a whole text is a paragraph, long ones in windows of 120 words. An entry is made where the best
     family's probability passes the model's threshold. It is confirmed if the paragraph shares at least least_overlap
     word 3-grams with the family's templates, or half of its own; overlap is their number. start is the byte place of its first word.
+    Within paragraphs and across lines, the runs of notices() are judged by themselves, so that no surrounding text
+    dilutes them; these are confirmed only if they also hold half of a template's 3-grams, or six. A confirmed paragraph
+    stands for the runs of its family in it; unconfirmed entries that overlap a confirmed one are left out.
     Null and empty texts have none. Other columns pass through; a column named licenses is replaced.
     """
     docs = docs.drop("licenses")
@@ -248,18 +288,30 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, least_overlap: int = 2)
         for batch in batches:
             found: list[list[dict]] = []
             for _, words, lines, starts in word_grams(batch.column(at)):
-                own: list[dict] = []
+                own: list[tuple[int, int, dict]] = []
                 ranges = paragraphs(words, lines)
+                wide = len(ranges)
+                firsts = np.array([a for a, _ in ranges])
+                ranges += sorted(set(notices(words)) - set(ranges))
                 if ranges:
                     p = known.probabilities([words[a:b] for a, b in ranges])
                     best = p[:, :unknown].argmax(1)
                     for k in np.flatnonzero((p[np.arange(len(p)), best] >= known.threshold) & (p.argmax(1) != unknown)):
-                        a, b = ranges[k]
+                        (a, b), family = ranges[k], FAMILIES[best[k]]
                         grams = _three_grams(words[a:b])
                         overlap = int(np.isin(grams, known.grams[best[k]]).sum())
                         sure = overlap >= least_overlap or 2 * overlap >= len(grams)
-                        own.append({"paragraph": int(k), "start": int(starts[a]), "family": FAMILIES[best[k]], "probability": float(p[k, best[k]]), "overlap": overlap, "confirmed": sure})
-                found.append(own)
+                        paragraph = int(k)
+                        if k >= wide:
+                            sure = sure and _holds_template(grams, best[k])
+                            paragraph = int(np.searchsorted(firsts, a, "right")) - 1
+                            if any(x < b and a < y and e["confirmed"] and e["family"] == family for x, y, e in own):
+                                continue
+                        own.append((a, b, {"paragraph": paragraph, "start": int(starts[a]), "family": family, "probability": float(p[k, best[k]]), "overlap": overlap, "confirmed": sure}))
+                    certain = [(a, b) for a, b, e in own if e["confirmed"]]
+                    own = [x for x in own if x[2]["confirmed"] or not any(a < x[1] and x[0] < b for a, b in certain)]
+                    own.sort(key=lambda x: x[:2])
+                found.append([e for _, _, e in own])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=names)
 
     return docs.mapInArrow(run, schema)

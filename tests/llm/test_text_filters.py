@@ -185,3 +185,20 @@ def test_licenses_on_held_out_text(spark):
         if r.doc_id != 400:  # a line within a long paragraph is diluted; it may be missed, not mistaken
             assert sure == ({r.want} if r.want else set())
         assert sure <= {r.want}
+
+
+def test_license_notices_within_long_lines(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    lines = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "SPDX-License-Identifier: GPL-3.0-or-later", "reserved": "All rights reserved."}
+    docs = [(1000 * n + k, f"{text(n)} {line} {text(n)}", f) for n in (30, 100, 300) for k, (f, line) in enumerate(lines.items())]
+    docs += [(1, f"{text(50)} {lines['mit']} {lines['apache']} {text(50)}", "apache,mit"), (2, f"{text(200)} released under\nthe MIT license {text(200)}", "mit")]
+    docs += [(3, f"{text(90)} under the terms of the {text(90)} licensed under the {text(90)}", "")]
+    ordinary = [w for _, w, _, _ in word_grams(pa.array([text(25) for _ in range(600)]))]
+    found = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, want string"), fit_licenses(ordinary)).collect()
+    for r in found:
+        sure = [x for x in r.licenses if x.confirmed]
+        assert ",".join(sorted(x.family for x in sure)) == r.want
+        if r.doc_id >= 1000:
+            assert re.match(r"(?i)released|licensed|spdx|all rights", r.text[sure[0].start :])
