@@ -151,3 +151,18 @@ def thinned(rows: DataFrame, by: list[str], stamp: str, interval: int) -> DataFr
 def argsorted(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "place") -> DataFrame:
     """rows plus their stable place in an order, from 0."""
     return rows.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+
+
+def revisions_accepted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows(version, n_old, sum_old, time) plus accepted: machines.Revisions without arrays, as a running window.
+
+    A revision adds one time and tells number and sum of its old times. It is good if its version grows, its old times
+    are the last revision's, and its time is later; the first bad one rejects all after it.
+    """
+    w = W.partitionBy(*by).orderBy("version")
+    last = lambda c: F.lag(c).over(w)
+    first = F.row_number().over(w) == 1
+    grows = (F.col("version") > last("version")) & (F.col("n_old") == last("n_old") + 1) & (F.col("sum_old") == last(F.col("sum_old") + F.col("time"))) & (F.col("time") > last("time"))
+    good = F.when(first, F.col("n_old") == 0).otherwise(grows)
+    running = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("good", good).withColumn("accepted", F.min("good").over(running)).drop("good")

@@ -160,10 +160,10 @@ def greedy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-06: revisions accepted while versions grow and times extend; a broken one rejects all after it."""
-    t = ordered.argsorted(ticks(spark, sf_dir), ["user_id"], ["t_us"], "version").where("version < 20")
-    times = F.transform(F.sequence(F.lit(0), F.col("version")), lambda k: k + F.when((F.pmod("user_id", F.lit(5)) == 0) & (F.col("version") == 7), 1).otherwise(0))
-    rows = t.select("user_id", "version", times.alias("times"))
-    return machines.fold(rows, ["user_id"], ["version"], lambda: machines.Revisions("user_id"), "user_id long, version int, accepted boolean")
+    t = ordered.argsorted(ticks(spark, sf_dir), ["user_id"], ["t_us"], "version")
+    v, late = F.col("version").cast("long"), F.when((F.pmod("user_id", F.lit(5)) == 0) & (F.col("version") == 7), 1).otherwise(0)
+    rows = t.select(F.col("user_id").cast("long").alias("user_id"), "version", v.alias("n_old"), (F.shiftright(v * (v - 1), 1) + v * late).alias("sum_old"), (v + late).alias("time"))
+    return ordered.revisions_accepted(rows, ["user_id"]).select("user_id", "version", "accepted")
 
 
 @query()

@@ -2,7 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
-from pointweave.operators import objects
+from pointweave.operators import objects, ordered
+from pointweave.plans import QUERIES
+from pointweave.plans.adapters import ticks
+from pointweave.streaming import machines
 
 
 def test_hilbert_is_a_curve_through_every_cell(spark):
@@ -52,3 +55,27 @@ def test_attention_has_explicit_zero_rows(spark):
     q = spark.createDataFrame([(1,), (2,)], "q int")
     p = spark.createDataFrame([(1, 5, 0.0), (1, 6, 0.0)], "q int, k int, s double")
     assert sorted((r.q, r.weight) for r in objects.attention(q, p, "q", F.col("s")).collect()) == [(1, 0.5), (1, 0.5), (2, 0.0)]
+
+
+def test_every_revision_is_judged_as_by_the_machine(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for user in range(12):
+        rev, times = machines.Revisions("user"), []
+        for version in range(40):
+            old = list(times)
+            if user and version == rng.integers(1, 60):  # an old time differs
+                old[int(rng.integers(len(old)))] += 1
+            time = (times[-1] if times else 0) + (0 if user > 8 and version == 30 else int(rng.integers(1, 9)))
+            rows.append((user, version, len(old), sum(old), time))
+            want.append((user, version, rev.step({"user": user, "version": version, "times": [*old, time]})["accepted"]))
+            times.append(time)
+    found = ordered.revisions_accepted(spark.createDataFrame(rows, "user long, version int, n_old long, sum_old long, time long"), ["user"])
+    assert sorted((r.user, r.version, r.accepted) for r in found.collect()) == want and not all(a for *_, a in want)
+
+
+def test_revision_stream_has_every_revision(spark):
+    events = "/root/testdata/sf0.001"
+    found = QUERIES["revision_stream"](spark, events)
+    assert found.count() == ticks(spark, events).count() and found.agg(F.max("version")).first()[0] >= 20
+    assert found.where("accepted <> (user_id % 5 <> 0 OR version < 7)").count() == 0
