@@ -23,6 +23,8 @@ SPAN = LENGTH - GRAM + 1
 NEAR = 34
 #: Contexts that one suffix array covers, unless one key has more.
 CHUNK = 8_000
+#: Runs of one anchor beyond which their windows are compared one by one, by a hash of their 100 bytes.
+HOT = 8_000
 #: Bytes beyond the first 100 that order suffixes; no context is longer.
 BEYOND = 72
 
@@ -113,9 +115,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every run to compare, the bytes of its windows, in two parts by the side of the anchor that they share."""
+    """Of every run to compare, the bytes of its windows, in two parts by the side of the anchor that they share.
+
+    Runs of hot anchors give a row for each window instead: windows 0, no bytes, and the hash of its 100 bytes as part.
+    Of a batch's equal windows only the earliest is compared with others; the rest are repeats already, with windows -1
+    and parts that scatter them.
+    """
     for batch in batches:
         found: list[tuple] = []
+        single: list[tuple[int, int, int]] = []
         for row in range(batch.num_rows):
             runs = [r for r in (batch.column("runs")[row].as_py() or []) if not r["again"]]
             if not runs:
@@ -124,11 +132,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in runs:
                 if r["hi"] + LENGTH > len(text):
                     continue
+                if r["hot"]:
+                    single += [(hash_bytes(text[p : p + LENGTH], 2), doc, p) for p in range(r["lo"], r["hi"] + 1)]
+                    continue
                 cut = r["at"] - NEAR
                 for side, lo, hi in ((0, max(r["lo"], cut), r["hi"]), (1, r["lo"], min(r["hi"], cut - 1))):
                     if lo <= hi:
                         shared = text[r["at"] : r["at"] + LENGTH - NEAR] if side == 0 else text[cut - 1 : r["at"] + GRAM]
                         found.append((hash_bytes(shared, side), doc, lo, hi - lo + 1, text[lo : hi + LENGTH]))
+        last = None
+        for part, doc, lo in sorted(set(single)):
+            again = part == last
+            found.append((hash_bytes(b"%d %d" % (doc, lo), 3) if again else part, doc, lo, -1 if again else 0, b""))
+            last = part
         if found:
             columns = list(zip(*found, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -200,7 +216,20 @@ def repeat_groups(data: np.ndarray, starts: np.ndarray, limits: np.ndarray, open
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that repeat an earlier place, from contexts sorted by part; a part's contexts are compared together."""
+    """Spans that repeat an earlier place, from contexts sorted by part, doc_id and lo; a part's contexts are compared together.
+
+    Rows of single windows are not held: the first row of a part is its earliest place.
+    """
+    first = np.zeros((3, 0), np.int64)
+
+    def later(part: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        nonlocal first
+        own = np.concatenate([first, np.stack([part, doc, lo.astype(np.int64)])], axis=1)
+        begins = np.r_[True, own[0, 1:] != own[0, :-1]]
+        at = np.maximum.accumulate(np.where(begins, np.arange(own.shape[1]), 0))
+        out = (own[1:, at] != own[1:]).any(0)[first.shape[1] :]
+        first = own[:, at[-1:]]
+        return out
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
         doc, lo, windows = (rows.column(k).to_numpy() for k in ("doc_id", "lo", "windows"))
@@ -224,6 +253,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        windows = batch.column("windows").to_numpy()
+        if (windows <= 0).any():
+            part, doc, lo = (batch.column(k).to_numpy() for k in ("part", "doc_id", "lo"))
+            gone, alone = windows < 0, np.flatnonzero(windows == 0)
+            if len(alone):
+                gone[alone] = later(part[alone], doc[alone], lo[alone])
+            columns = [doc[gone], lo[gone], lo[gone] + np.int32(LENGTH)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "start", "end"])
+            batch = batch.filter(pa.array(windows > 0))
         held.append(batch)
         if sum(b.num_rows for b in held) < CHUNK:
             continue
@@ -270,6 +308,27 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) plus runs, an array of those that are repeats or are to be compared."""
+    runs = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_runs, RUNS)
+    by_key = W.partitionBy("key")
+    runs = runs.withColumns({"n": F.count("*").over(by_key), "c1": F.min("context").over(by_key), "c2": F.max("context").over(by_key)})
+    runs = runs.where("n > 1 OR again")
+    place = F.struct("doc_id", "lo")
+    runs = runs.withColumn("again", F.col("again") | (place != F.min(place).over(W.partitionBy("key", "context"))))
+    run = F.struct("lo", "hi", "at", "again", (F.col("n") > HOT).alias("hot"))
+    runs = runs.where("again OR c1 <> c2").groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
+    return docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+
+
+def _compared(with_runs: DataFrame) -> DataFrame:
+    return with_runs.mapInArrow(_contexts, "part long, doc_id long, lo int, windows int, bytes binary")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (array of [start, end]) of docs(doc_id, text).
 
@@ -281,24 +340,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        earlier is a repeat as a whole; batches settle that among their own runs first, so that a frequent passage
        sends one run per batch.
     2. The first run of a context goes on if its anchor has other contexts too. Only these runs' bytes are shuffled,
-       by the 66 bytes beside the anchor; suffix arrays over them give the maximal repeat groups.
+       by the 66 bytes beside the anchor; suffix arrays over them give the maximal repeat groups. Runs of an anchor
+       with more than HOT runs go on window by window instead, by a hash of each window's 100 bytes, so that no group
+       of differing contexts is held by one task; equal windows are combined within batches before.
     3. Each document's spans are joined with its text.
 
     Null text is empty. Texts under 100 bytes lose nothing. Documents with a null doc_id keep all and count as no
     one's earlier place. Repeated rows of a doc_id are one document, and none of them is the earlier; if their texts
     differ, spans of each apply to all, clipped to their length.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    runs = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_runs, RUNS)
-    by_key = W.partitionBy("key")
-    runs = runs.withColumns({"n": F.count("*").over(by_key), "c1": F.min("context").over(by_key), "c2": F.max("context").over(by_key)})
-    runs = runs.where("n > 1 OR again")
-    place = F.struct("doc_id", "lo")
-    runs = runs.withColumn("again", F.col("again") | (place != F.min(place).over(W.partitionBy("key", "context"))))
-    runs = runs.where("again OR c1 <> c2").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "at", "again")).alias("runs"))
-    with_runs = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
-    contexts = with_runs.mapInArrow(_contexts, "part long, doc_id long, lo int, windows int, bytes binary")
-    spans = contexts.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "doc_id long, start int, end int")
+    with_runs = _with_runs(_texts(docs))
+    contexts = _compared(with_runs)
+    spans = contexts.repartition("part").sortWithinPartitions("part", "doc_id", "lo").mapInArrow(_repeated, "doc_id long, start int, end int")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = with_runs.join(spans, "doc_id", "left").select("doc_id", "text", "runs", "spans")
     return whole.mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<int>>")

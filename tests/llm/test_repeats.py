@@ -3,6 +3,7 @@ from hashlib import sha256
 
 import numpy as np
 
+from pointweave.llm import repeats
 from pointweave.llm.repeats import common_prefix_intervals, remove_repeats, repeat_groups, repeat_report
 
 SCHEMA = "doc_id long, text string"
@@ -85,3 +86,18 @@ def test_groups_have_all_occurrences():
     limits = (starts // n + 1) * n
     groups = list(repeat_groups(data, starts, limits, starts % n == 0))
     assert [(length, sorted(starts[m])) for length, m in groups] == [(len(p), [1, n + 1, 2 * n + 1])]
+
+
+def test_hot_anchors_are_compared_window_by_window(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 5, raising=False)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    short, long = text(80), text(104)
+    docs = planted(3)
+    docs += [(1000 + k, f"{text(rng.randint(0, 60))}\n{long if k % 3 == 0 else short}\n{text(rng.randint(0, 60)) if k % 4 else 'the same end of a line'}") for k in range(60)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(7)
+    expected = brute_force(docs)
+    assert all(tuple(r) == expected[r.doc_id] for r in repeat_report(df).collect())
+    compared = repeats._compared(repeats._with_runs(repeats._texts(df)))
+    assert compared.where("windows > 0").groupBy("part").count().agg({"count": "max"}).first()[0] <= 5
+    assert compared.where("windows = 0").count() > 0 and compared.where("windows = -1").count() > 0
