@@ -92,8 +92,10 @@ def markov_score(s: Column, ratios: Column) -> Column:
     return total / F.greatest(F.length(s) - 1, F.lit(1))
 
 
-def labelled_samples(docs: DataFrame, per_class: int) -> DataFrame:
-    """(s, random): up to per_class values of base matches, and as many ordinary words of 8 to 40 characters.
+def labelled_samples(docs: DataFrame, per_class: int, ordinary_from: DataFrame | None = None) -> DataFrame:
+    """(s, random): up to per_class values of base matches in docs, and as many ordinary words of 8 to 40 characters.
+
+    The ordinary words come from ordinary_from, a sample of the documents (None: from all).
 
     Ordinary are words that no base match has as its value, and whose digits, if any, stand in one place; so keys that
     no pattern labels do not pass for ordinary. Taken in the order of a hash of the string, so that every run takes the same ones.
@@ -102,7 +104,7 @@ def labelled_samples(docs: DataFrame, per_class: int) -> DataFrame:
     hits = docs.select(
         F.explode(F.concat(F.transform(spans["assign"], lambda x: F.regexp_extract(x["s"], ASSIGN, 2)), F.transform(spans["access"], lambda x: x["s"]), F.transform(spans["hex"], lambda x: x["s"]))).alias("s")
     )
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{8,40}"), F.lit(0))).alias("s"))
+    words = (docs if ordinary_from is None else ordinary_from).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{8,40}"), F.lit(0))).alias("s"))
     hits = hits.distinct()
     ordinary = words.where(~F.col("s").rlike(r"^AKIA|[0-9][^0-9]+[0-9]")).distinct().join(hits, "s", "left_anti").withColumn("random", F.lit(False))
     secret = hits.withColumn("random", F.lit(True))
@@ -115,18 +117,18 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.9, per_class: int = 20_00
 
     The base kinds are fixed patterns over whole texts. The kind random is a run of 20 or more key characters, with a
     letter and a digit, that overlaps no base span and whose mean log-likelihood ratio per character, random strings
-    over ordinary identifiers, is above ``threshold``. The models are trained on values of base matches and on
-    ordinary words of a bounded sample: at most train_rows documents, those of the smallest share of a hash of their
-    text, and per_class strings of each kind; the scan itself covers every document. Without any labelled secret the
-    method adds nothing.
+    over ordinary identifiers, is above ``threshold``. The models are trained on values of base matches in all documents
+    and on ordinary words of about train_rows distinct texts, those of the smallest share of a hash; per_class strings
+    of each kind, by hash. Only where no document holds a labelled secret does the method add nothing.
 
     Null text is empty and has no spans. Other columns pass through; a column named spans is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     total = max(docs.count(), 1)
     share = min(1.0, train_rows / total)
-    picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    samples = materialise(labelled_samples(picked, per_class), "samples")
+    texts = docs.select(text.alias("text"))
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    samples = materialise(labelled_samples(texts, per_class, picked), "samples")
     ratios = train_markov(samples) if samples.where("random").head(1) else None
 
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")

@@ -202,3 +202,14 @@ def test_license_notices_within_long_lines(spark):
         assert ",".join(sorted(x.family for x in sure)) == r.want
         if r.doc_id >= 1000:
             assert re.match(r"(?i)released|licensed|spdx|all rights", r.text[sure[0].start :])
+
+
+def test_rare_labelled_secrets_still_train(spark):
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    name = lambda: "_".join(rng.choice(["configuration", "manager", "default", "handler", "connection", "identifier", "version2"]) for _ in range(3))
+    docs = [(i, f"text {i} of {name()} and {name()}") for i in range(3000)] + [(3000 + i, f"the token = {key()}") for i in range(15)]
+    docs += [(4000 + i, f"a leaked {key()} here") for i in range(40)]
+    found = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string"), train_rows=40).collect()
+    hit = {r.doc_id for r in found if any(s.kind == "random" for s in r.spans)}
+    assert sum(d >= 4000 for d in hit) >= 38 and not any(d < 3000 for d in hit)
