@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master and an error on any other.
+
+    On a cluster each executor would write a machine-local folder of its own, and reads would silently miss rows.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="pointweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,7 +28,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table and read again, without lineage."""
+    """df written as a table and read again, without lineage; it survives lost executors.
+
+    The table stays until release() or until the folder is cleared.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by stored(). Nothing that is still to be computed may read them."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
