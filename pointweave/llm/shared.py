@@ -1,37 +1,20 @@
-"""Shared-folder tables that cut lineage between the steps of an operator."""
+"""What the operators of this folder have in common: the word contract, table reads, stable hashes, stored tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.operators.tables import release, shared_folder
+from pointweave.operators.tables import stored as materialise
+
+__all__ = ["GAP", "WORD", "materialise", "read", "release", "shared_folder", "stable_hash"]
+
 #: The word separators of every text contract: space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again.
-
-    The result survives lost executors and has no lineage. The table stays until the folder is cleared.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -213,3 +213,63 @@ def test_rare_labelled_secrets_still_train(spark):
     found = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string"), train_rows=40).collect()
     hit = {r.doc_id for r in found if any(s.kind == "random" for s in r.spans)}
     assert sum(d >= 4000 for d in hit) >= 38 and not any(d < 3000 for d in hit)
+
+
+def test_overlaps_touching_spans_and_redaction_equal_plain_code(spark):
+    from pointweave.llm.secrets import free_of, running
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice("ab é\U0001f642\n") for _ in range(rng.choice([0, 5, 300, 5000])))
+        spans = lambda n: sorted((a, a + rng.randint(1, 9), "x") for a in (rng.randrange(max(1, len(text))) for _ in range(rng.randint(0, n))))  # noqa: E731, B023
+        rows.append((i, text, [s for s in spans(6) if s[1] <= len(text)], spans(30)))
+    rows += [(500, None, [], []), (501, "", [], [])]
+    span = "array<struct<start:int,end:int,s:string>>"
+    df = spark.createDataFrame(rows, f"doc_id long, text string, a {span}, b {span}")
+    numbers = running(F.transform("b", lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    for r in df.select("*", free_of(F.col("a"), F.col("b")).alias("free"), redact(F.col("text"), F.col("a")).alias("clean"), numbers.alias("tops")).collect():
+        a, b = [tuple(x) for x in r.a], [tuple(x) for x in r.b]
+        assert [tuple(x) for x in r.free] == [x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b)]
+        assert r.tops == [max(x[1] for x in b[: k + 1]) for k in range(len(b))]
+        out, at = "", 0
+        for lo, hi, _ in a:
+            out, at = (out + r.text[at:lo] + "[SECRET]", hi) if lo >= at else (out, max(at, hi))
+        assert r.clean == (None if r.text is None else out + r.text[at:])
+
+
+def test_random_spans_equal_plain_log_likelihoods(spark):
+    from pointweave.llm import secrets as S
+
+    rng = random.Random(14)
+    pick = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f"x {pick(rng.randint(15, 60), S.ALPHABET)} y {pick(25, 'aeioulmnt')}1 {pick(24, 'abcdef0123')}" for _ in range(60)]
+    texts += [pick(5000, "abcXYZ0189"), "token: abcdef0123Z", None, ""]
+    samples = [(pick(30, S.ALPHABET), True) for _ in range(200)] + [(pick(12, "aeioulmnt_"), False) for _ in range(200)]
+    ratios = train_markov(spark.createDataFrame(samples, "s string, random boolean"))
+    place = lambda c: S.ALPHABET.find(c) + 1
+
+    def score(s):
+        return sum(ratios[place(a) * S.STATES + place(b)] for a, b in zip(s, s[1:])) / max(len(s) - 1, 1)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    train, S.train_markov = S.train_markov, lambda _: ratios
+    try:
+        found = scan_secrets(df, threshold=0.4).collect()
+    finally:
+        S.train_markov = train
+    some = 0
+    for r in found:
+        taken = base_spans(texts[r.doc_id])
+        want = [(m.start(), m.end()) for m in re.finditer(S.CANDIDATE, texts[r.doc_id] or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and score(m[0]) > 0.4]
+        want = [(a, b) for a, b in want if not any(x < b and a < y for x, _, y, _ in taken)]
+        assert [(x.start, x.end) for x in r.spans if x.kind == "random"] == want
+        some += len(want)
+    assert some > 20
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{k:032x}" for k in range(30_000))
+    df = spark.createDataFrame([(1, text, 1), (1, text, 2)], "doc_id long, text string, _secret_hex int")
+    out = scan_secrets(df).select(F.size("spans").alias("n"), F.length(redact(F.col("text"), F.col("spans"))).alias("left")).collect()
+    assert {tuple(r) for r in out} == {(30_000, 9 * 30_000 - 1)}
