@@ -6,19 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.llm.graph import connected_components
-from pointweave.llm.shared import materialise
+from pointweave.llm.shared import materialise, release
 from pointweave.llm.textkit import U64, mix, shingle_sets
 
 #: Coordinates of a sketch and rows of a band: 32 bands of 4 miss a pair of similarity 0.75 with probability 5e-6.
 COORDINATES, ROWS = 128, 4
-#: Of the later rounds' pairs, those that agree in fewer coordinates are left out: five standard deviations below 0.75.
-LEAST_AGREEING = 72
 WIDTH = 5
+#: Texts that list a shingle, above which their comparison is dealt over several tasks.
+CROWD = 2_000
 
 ROUND_SEED = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -53,7 +54,7 @@ def fast_similarity_sketch(items: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band_seed = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) | U64(1)
     for batch in batches:
-        n, h1, h2, bands, marks = [], [], [], [], []
+        n, h1, h2, bands = [], [], [], []
         for _, items in shingle_sets(batch.column(1), WIDTH):
             n.append(len(items))
             h1.append(int((items * U64(0x9E3779B97F4A7C15)).sum(dtype=U64).view(np.int64)))
@@ -62,26 +63,25 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch = fast_similarity_sketch(items)
                 keys = mix((mix(sketch) * band_seed).reshape(-1, ROWS).sum(1, dtype=U64) + band_seed[::ROWS])
                 bands.append(keys.view(np.int64))
-                marks.append((mix(sketch) & U64(255)).astype(np.uint8).tobytes())
             else:
                 bands.append(np.zeros(0, np.int64))
-                marks.append(b"")
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-            names=["doc_id", "n_shingles", "h1", "h2", "bands", "marks"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "h1", "h2", "bands"],
         )
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("a").to_numpy(False), batch.column("b").to_numpy(False)
-        keep = np.zeros(len(a), bool)
-        fresh = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        hubs = batch.column("text_b").take(pa.array(fresh)) if len(b) else batch.column("text_b")
-        right = (items for _, items in shingle_sets(hubs, WIDTH))
-        fresh, current = set(fresh.tolist()), None
+        if not batch.num_rows:
+            continue
+        # A run of rows with one text on the right, which most often is a hub's, makes its set once.
+        hub = batch.column("text_b")
+        fresh = np.r_[True, ~pc.equal(hub[1:], hub[:-1]).to_numpy(False)]
+        right = (items for _, items in shingle_sets(hub.filter(pa.array(fresh)), WIDTH))
+        keep, current = np.zeros(batch.num_rows, bool), None
         for row, left in shingle_sets(batch.column("text_a"), WIDTH):
-            if row in fresh:
+            if fresh[row]:
                 current = next(right)
             both = len(np.intersect1d(left, current, assume_unique=True))
             keep[row] = 100 * both >= 75 * (len(left) + len(current) - both) and both > 0
@@ -92,41 +92,57 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs(a, b) those whose full shingle sets have 100 * intersection >= 75 * union. Only their texts are moved."""
     texts = docs.select("doc_id", "text")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").where("text_a IS NOT NULL AND text_b IS NOT NULL")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sets = list(shingle_sets(batch.column(1), WIDTH))
-        if sets:
-            rep = np.repeat(ids[[r for r, _ in sets]], [len(x) for _, x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([x for _, x in sets]).view(np.int64))], names=["rep", "shingle"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = list(shingle_sets(part.column("text"), WIDTH))
+            rows, sizes = np.array([r for r, _ in sets]), np.array([len(x) for _, x in sets])
+            whole = pa.array(np.repeat(rows, sizes))
+            shingles = pa.array(np.concatenate([x for _, x in sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(whole), part.column("form").take(whole), pa.array(np.repeat(sizes, sizes)), shingles], names=["rep", "form", "size", "shingle"])
 
 
-def _prefix_pairs(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among placed(rep, component) that share one of their rarest shingles.
+def _prefix_links(placed: DataFrame, tried: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of placed(rep, component), except those among tried, by a prefix filter.
 
     Sets of sizes s and t with Jaccard similarity 0.75 share at least n = 3/7 (s + t) shingles, so with shingles in any
     common order, here by how many of these texts have them, they share one of the first s - n + 1 of the one and
-    t - n + 1 of the other. The rarest shingles of a loose copy are its own edits, so it meets few others or none.
+    t - n + 1 of the other. The rarest shingles of a loose copy are its own edits, so it meets few others or none. Of
+    the shingles that a pair shares in those prefixes, the last one, at places p and q, and their number k bound the
+    whole intersection: k + min(s - p, t - q). Pairs whose bound reaches n are verified, every one of them.
+
+    A doc_id with several different texts is a row of its own for each (form). A shingle that more than CROWD texts list
+    is dealt over several tasks by blocks of its left side.
     """
-    open_reps = placed.select("rep", "component").distinct()
-    texts = docs.join(open_reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    shingles = materialise(texts.mapInArrow(_shingles, "rep long, shingle long"), "shingles")
-    counts = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    sizes = reps.select("rep", "size").join(open_reps, "rep")
+    open_reps = placed.select(F.col("rep").alias("doc_id"), "component").distinct()
+    texts = docs.join(open_reps.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("form"), "text")
+    texts = texts.where("text IS NOT NULL").dropDuplicates(["rep", "form"])
+    shingles = materialise(texts.mapInArrow(_shingles, "rep long, form long, size long, shingle long"), "shingles")
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # Shingles of one text alone come first in its order and meet no other text: only their number matters.
-    shared = shingles.join(counts, "shingle").join(sizes, "rep")
-    total = shared.withColumn("own", F.col("size") - F.count("*").over(W.partitionBy("rep")))
-    place = F.col("own") + F.row_number().over(W.partitionBy("rep").orderBy("n", "shingle"))
-    postings = materialise(total.withColumn("place", place).where("4 * (place - 1) <= size").select("rep", "component", "size", "shingle", "place"), "postings")
-    x, y = (postings.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "size", "place"))) for k in "ab")
+    own_text = W.partitionBy("rep", "form")
+    shared = shingles.join(counts, "shingle").withColumn("own", F.col("size") - F.count("*").over(own_text))
+    place = F.col("own") + F.row_number().over(own_text.orderBy("n", "shingle"))
+    shared = shared.withColumn("place", place).where("4 * (place - 1) <= size").join(open_reps.withColumnRenamed("doc_id", "rep"), "rep")
+    postings = materialise(shared.select("rep", "form", "component", "size", "shingle", "place", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "postings")
+    x = postings.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    y = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = (d.select("shingle", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "form", "component", "size", "place"))) for d, k in ((x, "a"), (y, "b")))
     need = F.ceil(3 * (F.col("size_a") + F.col("size_b")) / 7)
     early = (F.col("place_a") <= F.col("size_a") - need + 1) & (F.col("place_b") <= F.col("size_b") - need + 1)
-    fits = x.join(y, "shingle").where(F.expr("rep_a < rep_b AND component_a <> component_b") & early)
-    return fits.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    met = x.join(y, ["shingle", "block"]).where(F.expr("rep_a < rep_b AND component_a <> component_b") & early)
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = met.groupBy("rep_a", "form_a", "rep_b", "form_b").agg((F.count("*") + F.min(left)).alias("most"), F.first(need).alias("need")).where("most >= need")
+    pairs = met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    links = materialise(verify(pairs, docs), "links")
+    release(shingles, postings, pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
@@ -138,22 +154,22 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
        from which others were copied has the most common bands. Pairs are verified on full sets; links give
        components. Buckets are reduced map-side and read by a join, so a hot bucket is neither gathered nor squared.
     3. Buckets that still hold several components try another hub. Texts that are then left in such buckets are
-       compared exactly, by shared rare shingles (prefix filter), across components. Pairs that pass, and whose sketches
-       agree enough, are verified. So no link that banding finds is lost, pairs within a component are never listed,
-       and loose copies, each with edits of its own, are not paired with each other.
+       compared exactly, by shared rare shingles (prefix filter), across components; every pair that can reach 0.75 is
+       verified. So no link that banding finds is lost, pairs within a component are never listed, and loose copies,
+       each with edits of its own, are not paired with each other.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows of a doc_id form one class if their
     texts are equal; a doc_id with different texts is linked through any of them. A null doc_id keeps its row: its
     component is the smallest doc_id of its class's component, null if there is none, and it is kept only if alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary"), "sketches")
+    sig = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = sig.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     members = materialise(members, "members")
     reps = some.join(classes.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "marks"), "reps")
+    reps = materialise(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "reps")
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
     entries = materialise(entries.join(materialise(full.select("bucket", "n"), "buckets"), "bucket"), "entries")
@@ -163,6 +179,9 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     pairs = entries.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tried = materialise(pairs, "pairs")
     links = materialise(verify(tried, docs), "links")
+    several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2")).where("r1 <> r2")
+    if several.head(1):
+        links = links.union(members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = connected_components(links)
 
     for step in range(hub_rounds + 1):
@@ -172,17 +191,14 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
         mixed = materialise(mixed.select("bucket", "hub.rep", "hub.component").toDF("bucket", "hub", "hub_component"), "mixed")
         placed = materialise(placed.join(mixed, "bucket"), "open")
         if step < hub_rounds:
-            pairs = placed.where("component <> hub_component").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+            pairs = placed.where("component <> hub_component").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+            pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = materialise(verify(pairs, docs), "links")
+            tried = tried.union(pairs)
+        elif placed.head(1):
+            more = _prefix_links(placed, tried, docs)
         else:
-            pairs = _prefix_pairs(placed, reps, docs)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.head(1):
-            continue
-        tried = tried.union(pairs)
-        marks = reps.select("rep", "marks")
-        agreeing = pairs.join(marks.toDF("a", "m_a"), "a").join(marks.toDF("b", "m_b"), "b").mapInArrow(_agreeing, "a long, b long")
-        more = materialise(verify(agreeing, docs), "links")
+            break
         if more.head(1):
             links = links.union(more)
             found = connected_components(links)
@@ -190,10 +206,3 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in ("m_a", "m_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_AGREEING))

@@ -88,3 +88,17 @@ def test_loose_copies_without_their_origin(spark):
     assert 4 < sum(kept for *_, kept in want) < 60
     found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {tuple(r) for r in found} == want
+
+
+def test_crowded_shingles_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr("pointweave.llm.minhash.CROWD", 2)
+    test_loose_copies_without_their_origin(spark)
+
+
+def test_a_doc_id_with_several_texts_links_through_any_of_them(spark):
+    rng = random.Random(12)
+    text = lambda n: [rng.choice("abcdefghijklm") * rng.randint(1, 5) for _ in range(n)]
+    a, b = text(80), text(90)
+    rows = [(1, " ".join(a)), (5, " ".join(a + ["q"])), (5, " ".join(b)), (9, " ".join(b + ["r"])), (7, " ".join(text(70))), (5, None), (6, " ".join(b))]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA.split(", component")[0])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (5, 1, False), (5, 1, False), (5, 5, True), (6, 1, False), (7, 7, True), (9, 1, False)]
