@@ -92,42 +92,73 @@ def _offsets(reach: int = 1) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a in side for b in side for c in side)))
 
 
-def grid_neighbours(left: DataFrame, right: DataFrame, radius2: int) -> DataFrame:
-    """All pairs of left and right points (id, key, x, y, z) within a radius; the key's cells are as wide as the radius.
+def grid_neighbours(left: DataFrame, right: DataFrame, radius2: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of left and right points (by, id, key, x, y, z) within a radius; the key's cells are as wide as the radius.
 
-    Each left point looks into its 27 cells: an equi-join on the key, never a pairing of all points.
+    Each left point looks into its 27 cells: an equi-join on by and the key, never a pairing of all points. With a frame
+    in ``by`` the work grows with the number of frames, not with its square.
     """
     spread = left.select("*", _offsets().alias("o")).withColumn("key", neighbour_key("key", F.col("o.dx"), F.col("o.dy"), F.col("o.dz"))).drop("o")
     a, b = spread.alias("a"), right.alias("b")
     d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "yz"), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
-    near = a.join(b, F.col("a.key") == F.col("b.key")).withColumn("d2", d2).where(F.col("d2") <= radius2)
-    return near.select(*(F.col(f"a.{c}").alias(f"{c}_a") for c in left.columns if c != "key"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in right.columns if c != "key"), "d2")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "key")]
+    near = a.join(b, on).withColumn("d2", d2).where(F.col("d2") <= radius2)
+    named = lambda side, d: (F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in d.columns if c not in ("key", *by))
+    return near.select(*(F.col(f"a.{c}") for c in by), *named("a", left), *named("b", right), "d2")
 
 
-def reciprocal(left: DataFrame, right: DataFrame, radius2: int) -> DataFrame:
-    """Pairs of points that are each other's nearest within the radius, ties to the smaller id."""
-    near = grid_neighbours(left, right, radius2)
-    to_right = near.groupBy("id_a").agg(F.min(F.struct("d2", "id_b")).alias("m")).select("id_a", F.col("m.id_b").alias("id_b"), F.col("m.d2").alias("d2"))
+def reciprocal(left: DataFrame, right: DataFrame, radius2: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points that are each other's nearest within the radius, ties to the smaller id; with both points' columns.
+
+    Ids are unique over all frames.
+    """
+    near = grid_neighbours(left, right, radius2, by)
+    columns = [c for c in near.columns if c not in ("id_a", "id_b", "d2")]
+    to_right = near.groupBy("id_a").agg(F.min(F.struct("d2", "id_b", *columns)).alias("m")).select("id_a", "m.*")
     to_left = near.groupBy("id_b").agg(F.min(F.struct("d2", "id_a")).alias("m")).select(F.col("m.id_a").alias("id_a"), "id_b")
     return to_right.join(to_left, ["id_a", "id_b"])
 
 
-def nearest_neighbours(left: DataFrame, right: DataFrame, radius2: int, k: int) -> DataFrame:
+def moved(points: DataFrame, relative: DataFrame, by: str = "frame") -> DataFrame:
+    """points with x, y, z turned and shifted by relative(by, r11 .. r33, tx, ty, tz), which are kept as tx, ty, tz."""
+    turned = {c: sum((F.col(f"r{k}{j}") * F.col(v) for j, v in ((2, "y"), (3, "z"))), F.col(f"r{k}1") * F.col("x")) + F.col(f"t{c}") for k, c in ((1, "x"), (2, "y"), (3, "z"))}
+    return points.join(relative, by).withColumns(turned).drop(*(f"r{k}{j}" for k in (1, 2, 3) for j in (1, 2, 3)))
+
+
+def associate(current: DataFrame, previous: DataFrame, radius2: int, radial: int, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Reciprocal pairs of current points and previous ones moved into their frame, within a bound along both rays.
+
+    A current ray starts at the sensor, a previous one at where the sensor was, tx, ty, tz of previous. Pairs are chosen
+    among all points before the gates, so that no farther match takes the place of one that a gate rejects.
+    """
+    pairs = reciprocal(current, previous, radius2, by)
+    delta = {c: F.col(f"{c}_a") - F.col(f"{c}_b") for c in "xyz"}
+    good = F.lit(True)
+    for ray in ({c: F.col(f"{c}_a") for c in "xyz"}, {c: F.col(f"{c}_b") - F.col(f"t{c}_b") for c in "xyz"}):
+        length2 = ray["x"] * ray["x"] + ray["y"] * ray["y"] + ray["z"] * ray["z"]
+        along = delta["x"] * ray["x"] + delta["y"] * ray["y"] + delta["z"] * ray["z"]
+        good &= (length2 > 1e-12) & (F.abs(along) <= F.lit(radial) * F.sqrt(length2))
+    return pairs.where(good)
+
+
+def nearest_neighbours(left: DataFrame, right: DataFrame, radius2: int, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest right points of each left point within the radius."""
     order = W.partitionBy("id_a").orderBy("d2", "id_b")
-    return grid_neighbours(left, right, radius2).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return grid_neighbours(left, right, radius2, by).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def z_buffer(pixels: DataFrame, reach: int, tolerance: int) -> DataFrame:
     """pixels(frame, id, u, v, z) plus visible and edge, against the nearest and farthest depth within ``reach`` pixels.
 
-    The dilation is separable: rows first, then columns, 2 (2 reach + 1) instead of (2 reach + 1)**2 copies.
+    The dilation is separable: a pixel is copied along v only, 2 reach + 1 times; along u a sliding window over each
+    row of the frame does the rest, for the pixels that hold a point.
     """
     base = pixels.groupBy("frame", "u", "v").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    for axis in ("u", "v"):
-        step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-        base = base.withColumn("step", step).withColumn(axis, F.col(axis) + F.col("step")).groupBy("frame", "u", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    out = pixels.join(base, ["frame", "u", "v"])
+    spread = base.withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    spread = spread.groupBy("frame", "u", (F.col("v") + F.col("step")).alias("v")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.col("step") == 0).alias("own"))
+    row = W.partitionBy("frame", "v").orderBy("u").rangeBetween(-reach, reach)
+    base = spread.select("frame", "u", "v", "own", F.min("lo").over(row).alias("lo"), F.max("hi").over(row).alias("hi")).where("own")
+    out = pixels.join(base.drop("own"), ["frame", "u", "v"])
     return out.select(*pixels.columns, (F.col("z") <= F.col("lo") + tolerance).alias("visible"), (F.col("hi") - F.col("lo") > tolerance).alias("edge"))
 
 
@@ -138,17 +169,40 @@ def ray_visibility(memory: DataFrame, returns: DataFrame, margin: int) -> DataFr
     return memory.join(front, "ray", "left").withColumn("state", state)
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """points(frame, id, x, y) plus owner: the only box(frame, box, cx, cy, hx, hy) that holds it, -2 if several do, null if none.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: int, slack: float = 0.01, least_annotated: int = 5) -> DataFrame:
+    """points(frame, id, x, y, z, cls) plus owner: the only box that holds it, -2 if several do, null if none.
 
-    Boxes belong to frames: an equi-join on the frame with a local condition.
+    A box(frame, box, label, annotated, cx, cy, cz, qw, qx, qy, qz, length, width, height) is turned by its quaternion: a
+    point lies in it if, turned back into the box's own axes, it is within the three half sizes, and its class is the
+    box's label. Boxes with fewer than least_annotated annotated points own nothing. Boxes are spread over the cells of
+    a ground grid that their radius meets: an equi-join on frame, cell and label with a local condition.
     """
-    inside = (F.abs(F.col("x") - F.col("cx")) <= F.col("hx")) & (F.abs(F.col("y") - F.col("cy")) <= F.col("hy"))
-    hits = points.join(boxes, "frame").where(inside).groupBy("frame", "id").agg(F.count("*").alias("n"), F.min("box").alias("box"))
+    q = {c: F.col(f"q{c}") for c in "wxyz"}
+    rows = [
+        [1 - 2 * (q["y"] * q["y"] + q["z"] * q["z"]), 2 * (q["x"] * q["y"] - q["z"] * q["w"]), 2 * (q["x"] * q["z"] + q["y"] * q["w"])],
+        [2 * (q["x"] * q["y"] + q["z"] * q["w"]), 1 - 2 * (q["x"] * q["x"] + q["z"] * q["z"]), 2 * (q["y"] * q["z"] - q["x"] * q["w"])],
+        [2 * (q["x"] * q["z"] - q["y"] * q["w"]), 2 * (q["y"] * q["z"] + q["x"] * q["w"]), 1 - 2 * (q["x"] * q["x"] + q["y"] * q["y"])],
+    ]
+    radius = F.sqrt(F.col("length") * F.col("length") + F.col("width") * F.col("width") + F.col("height") * F.col("height")) / 2 + slack
+    grid = lambda v: F.floor(v / F.lit(cell)).cast("long")
+    spread = boxes.where(F.col("annotated") >= least_annotated).withColumn("gx", F.explode(F.sequence(grid(F.col("cx") - radius), grid(F.col("cx") + radius))))
+    spread = spread.withColumn("gy", F.explode(F.sequence(grid(F.col("cy") - radius), grid(F.col("cy") + radius)))).withColumnRenamed("label", "cls")
+    tagged = points.withColumns({"gx": grid(F.col("x")), "gy": grid(F.col("y"))})
+    d = [F.col(v) - F.col(f"c{v}") for v in "xyz"]
+    inside = F.lit(True)
+    for axis, size in enumerate(("length", "width", "height")):
+        local = d[0] * rows[0][axis] + d[1] * rows[1][axis] + d[2] * rows[2][axis]
+        inside &= F.abs(local) <= F.col(size) / 2 + slack
+    hits = tagged.join(spread, ["frame", "gx", "gy", "cls"]).where(inside).groupBy("frame", "id").agg(F.count("*").alias("n"), F.min("box").alias("box"))
     owner = F.when(F.col("n") > 1, F.lit(-2)).otherwise(F.col("box"))
     return points.join(hits, ["frame", "id"], "left").select(*points.columns, owner.alias("owner"))
 
 
+def box_groups(owned: DataFrame, least: int = 5) -> DataFrame:
+    """frame, owner, n: boxes that alone own at least so many points."""
+    return owned.where("owner IS NOT NULL AND owner <> -2").groupBy("frame", "owner").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def loop_candidates(keyframes: DataFrame, cell: int, least_gap: int, reach2: int) -> DataFrame:
     """Pairs of keyframes(id, t, x, y) far apart in time and near in place: neighbours in a grid as wide as the reach."""
     grid = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")

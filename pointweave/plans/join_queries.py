@@ -93,50 +93,93 @@ def identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, at)
 
 
-def _cloud(spark: SparkSession, sf_dir: str, side: int, size: int) -> DataFrame:
-    p = points(spark, sf_dir).where(F.pmod("frame", F.lit(10)) == side)
-    return p.select(
-        (F.col("frame").cast("long") * 1_000_000 + F.col("pt")).alias("id"), G.voxel_key(F.col("x_mm"), F.col("y_mm"), F.col("z_mm"), size).alias("key"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"), F.col("z_mm").alias("z"), "cls"
-    )
+def _clouds(spark: SparkSession, sf_dir: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Every sweep, and as its past the sweep before it in all points, under the later one's frame number."""
+    p = points(spark, sf_dir)
+    at = [F.col("x_mm").alias("x"), F.col("y_mm").alias("y"), F.col("z_mm").alias("z"), "cls"]
+    key = lambda d: d.withColumn("key", G.voxel_key(F.col("x"), F.col("y"), F.col("z"), size))
+    own = (F.col("frame").cast("long") * 1_000_000 + F.col("pt")).alias("id")
+    return key(p.select("frame", own, *at)), key(p.select((F.col("frame") + 1).alias("frame"), own, *at))
 
 
-def _cloud_sql(side: int) -> str:
-    return f"SELECT CAST(frame AS BIGINT) * 1000000 + pt AS id, x_mm AS x, y_mm AS y, z_mm AS z, cls FROM points WHERE frame % 10 = {side}"
+def _near_sql(past: str = "SELECT frame + 1 AS frame, CAST(frame AS BIGINT) * 1000000 + pt AS id, x_mm AS x, y_mm AS y, z_mm AS z, cls, 0 AS tx, 0 AS ty, 0 AS tz FROM points") -> str:
+    """Pairs within 1.2 m, by cells of that width: the box of 27 cells is an equi-join that any engine can hash."""
+    cell = ", ".join(f"CAST(floor({v} / 1200.0) AS BIGINT) AS g{v}" for v in "xyz")
+    return f"""{POINTS}, a AS (SELECT frame, CAST(frame AS BIGINT) * 1000000 + pt AS id, x_mm AS x, y_mm AS y, z_mm AS z, cls, {cell.replace('x /', 'x_mm /').replace('y /', 'y_mm /').replace('z /', 'z_mm /')} FROM points),
+past AS ({past}), b AS (SELECT *, {cell} FROM past), o AS (SELECT i.v AS i, j.v AS j, k.v AS k FROM (VALUES (-1), (0), (1)) i(v), (VALUES (-1), (0), (1)) j(v), (VALUES (-1), (0), (1)) k(v)),
+spread AS (SELECT a.frame, id, x, y, z, cls, gx + i AS gx, gy + j AS gy, gz + k AS gz FROM a, o),
+near AS (SELECT a.id AS id_a, b.id AS id_b, a.cls AS cls_a, b.cls AS cls_b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, tx, ty, tz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+  FROM spread a JOIN b USING (frame, gx, gy, gz) WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1440000)"""
 
 
-NEAR = f"""{POINTS}, a AS ({_cloud_sql(0)}), b AS ({_cloud_sql(1)}),
-near AS (SELECT a.id AS id_a, b.id AS id_b, a.cls AS cls_a, b.cls AS cls_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
-  FROM a JOIN b ON abs(a.x - b.x) <= 1200 AND abs(a.y - b.y) <= 1200 AND abs(a.z - b.z) <= 1200 WHERE d2 <= 1440000)"""
+# A sweep's past, seen from its own sensor: turned by a right angle in every other frame, and shifted.
+TURNED = """SELECT frame + 1 AS frame, CAST(frame AS BIGINT) * 1000000 + pt AS id, CASE WHEN frame % 2 = 0 THEN -y_mm ELSE x_mm END + 300 * (frame % 3) AS x, CASE WHEN frame % 2 = 0 THEN x_mm ELSE y_mm END - 200 AS y, z_mm + 100 AS z, cls, 300 * (frame % 3) AS tx, -200 AS ty, 100 AS tz FROM points"""
 
 
-@query(f"""WITH {NEAR}, f AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS pa, row_number() OVER (PARTITION BY id_b ORDER BY d2, id_a) AS pb FROM near)
-SELECT id_a, id_b, d2 FROM f WHERE pa = 1 AND pb = 1""")
+@query(f"""WITH {_near_sql(TURNED)}, f AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS pa, row_number() OVER (PARTITION BY id_b ORDER BY d2, id_a) AS pb FROM near)
+SELECT id_a, id_b, CAST(d2 AS BIGINT) AS d2 FROM f WHERE pa = 1 AND pb = 1 AND ax * ax + ay * ay + az * az > 0 AND (bx - tx) * (bx - tx) + (by_ - ty) * (by_ - ty) + (bz - tz) * (bz - tz) > 0
+AND abs((ax - bx) * ax + (ay - by_) * ay + (az - bz) * az) <= 600 * sqrt(CAST(ax * ax + ay * ay + az * az AS DOUBLE))
+AND abs((ax - bx) * (bx - tx) + (ay - by_) * (by_ - ty) + (az - bz) * (bz - tz)) <= 600 * sqrt(CAST((bx - tx) * (bx - tx) + (by_ - ty) * (by_ - ty) + (bz - tz) * (bz - tz) AS DOUBLE))""")
 def reciprocal_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN13: pairs of points of two sweeps that are each other's nearest within 1.2 m."""
-    return joins.reciprocal(_cloud(spark, sf_dir, 0, 1200), _cloud(spark, sf_dir, 1, 1200), 1_440_000)
-
-
-@query(f"""WITH {NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS place FROM near)
+    """JOIN13: points of a sweep and of the one before it, moved by the relative pose, that are each other's nearest within
+    1.2 m and apart by at most 0.6 m along either ray."""
+    current, past = _clouds(spark, sf_dir, 1200)
+    even = F.pmod(F.col("frame") - 1, F.lit(2)) == 0
+    turn = {"r11": F.when(even, 0).otherwise(1), "r12": F.when(even, -1).otherwise(0), "r13": F.lit(0), "r21": F.when(even, 1).otherwise(0), "r22": F.when(even, 0).otherwise(1), "r23": F.lit(0), "r31": F.lit(0), "r32": F.lit(0), "r33": F.lit(1)}
+    shift = {"tx": 300 * F.pmod(F.col("frame") - 1, F.lit(3)), "ty": F.lit(-200), "tz": F.lit(100)}
+    relative = past.select("frame").distinct().withColumns({k: c.cast("long") for k, c in (turn | shift).items()})
+    past = joins.moved(past.drop("key"), relative).withColumn("key", G.voxel_key(F.col("x"), F.col("y"), F.col("z"), 1200))
+    return joins.associate(current, past, 1_440_000, 600).select("id_a", "id_b", "d2")
+
+
+@query(f"""WITH {_near_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS place FROM near)
 SELECT id_a, count(*) AS n, bool_or(cls_a <> cls_b) AS boundary FROM k WHERE place <= 4 GROUP BY id_a""")
 def semantic_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN14, TOP05: is any of the four nearest within the radius of another class."""
-    k = joins.nearest_neighbours(_cloud(spark, sf_dir, 0, 1200), _cloud(spark, sf_dir, 1, 1200), 1_440_000, 4)
+    """JOIN14, TOP05: is any of the four nearest points of the sweep before within the radius of another class."""
+    k = joins.nearest_neighbours(*_clouds(spark, sf_dir, 1200), 1_440_000, 4, ("frame",))
     return k.groupBy("id_a").agg(F.count("*").alias("n"), F.bool_or(F.col("cls_a") != F.col("cls_b")).alias("boundary"))
 
 
-@query(f"""WITH {NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS place FROM near)
-SELECT id_a, id_b, d2 FROM k WHERE place <= 3 AND abs(cls_a - cls_b) <= 4""")
+@query(f"""WITH {_near_sql()} SELECT id_a, CAST(min(d2) AS BIGINT) AS d2 FROM near GROUP BY id_a""")
+def cloud_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN27: squared distance from each point to the nearest of the sweep before, within the radius."""
+    return joins.grid_neighbours(*_clouds(spark, sf_dir, 1200), 1_440_000, ("frame",)).groupBy("id_a").agg(F.min("d2").alias("d2"))
+
+
+@query(f"""WITH {_near_sql()}, f AS (SELECT id_a // 1000000 AS frame, count(*) AS n, sum(d2) AS s FROM (SELECT id_a, min(d2) AS d2 FROM near GROUP BY id_a) GROUP BY 1),
+g AS (SELECT id_b // 1000000 + 1 AS frame, count(*) AS n, sum(d2) AS s FROM (SELECT id_b, min(d2) AS d2 FROM near GROUP BY id_b) GROUP BY 1), c AS (SELECT frame, count(*) AS own FROM points GROUP BY frame)
+SELECT CAST(f.frame AS BIGINT) AS frame, CAST(f.s AS DOUBLE) / f.n + CAST(g.s AS DOUBLE) / g.n AS chamfer2, CAST(f.n AS DOUBLE) / c.own AS matched FROM f JOIN g USING (frame) JOIN c USING (frame)""")
+def chamfer_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN28: both ways, the mean squared nearest distance of a sweep and the one before; points without a neighbour
+    within the radius have none, and their share is told."""
+    near = joins.grid_neighbours(*_clouds(spark, sf_dir, 1200), 1_440_000, ("frame",))
+    mean = lambda side, name: near.groupBy("frame", f"id_{side}").agg(F.min("d2").alias("d2")).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias(name), F.count("*").alias(f"n_{side}"))
+    own = points(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("own"))
+    both = mean("a", "there").join(mean("b", "back"), "frame").join(own, "frame")
+    return both.select(F.col("frame").cast("long").alias("frame"), (F.col("there") + F.col("back")).alias("chamfer2"), (F.col("n_a") / F.col("own")).alias("matched"))
+
+
+RECORDS = f"""{POINTS}, rec AS (SELECT frame, arg_min(CAST(frame AS BIGINT) * 1000000 + pt, pt) AS id, arg_min(x_mm, pt) AS x, arg_min(y_mm, pt) AS y, arg_min(z_mm, pt) AS z, arg_min(cls, pt) AS cls, gx, gy, gz
+  FROM (SELECT *, CAST(floor(x_mm / 2000.0) AS BIGINT) AS gx, CAST(floor(y_mm / 2000.0) AS BIGINT) AS gy, CAST(floor(z_mm / 2000.0) AS BIGINT) AS gz FROM points) GROUP BY frame, gx, gy, gz)"""
+
+
+@query(f"""WITH {RECORDS}, life AS (SELECT *, lead(frame, 3) OVER (PARTITION BY gx, gy, gz ORDER BY frame) AS gone FROM rec),
+alive AS (SELECT l.*, f.frame AS seen_at FROM life l JOIN (SELECT unnest(range(1, 5)) AS step) s ON true JOIN (SELECT DISTINCT frame FROM points) f ON f.frame = l.frame + s.step AND (gone IS NULL OR gone >= f.frame)),
+o AS (SELECT i.v AS i, j.v AS j, k.v AS k FROM (VALUES (-1), (0), (1)) i(v), (VALUES (-1), (0), (1)) j(v), (VALUES (-1), (0), (1)) k(v)),
+q AS (SELECT frame AS seen_at, id, x, y, z, cls, gx + i AS gx, gy + j AS gy, gz + k AS gz FROM rec, o),
+n AS (SELECT q.id AS id_a, a.id AS id_b, q.cls AS ca, a.cls AS cb, q.seen_at - a.frame AS age, (q.x - a.x) * (q.x - a.x) + (q.y - a.y) * (q.y - a.y) + (q.z - a.z) * (q.z - a.z) AS d2 FROM q JOIN alive a USING (seen_at, gx, gy, gz)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS place FROM n WHERE d2 <= 4000000)
+SELECT id_a, id_b, CAST(d2 AS BIGINT) AS d2, CAST(age AS INTEGER) AS age FROM k WHERE place <= 3 AND CAST(16 - abs(ca - cb) AS DOUBLE) / 16 >= 0.7""")
 def memory_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN15: the three nearest memories first, the similarity filter after, so fewer may remain."""
-    k = joins.nearest_neighbours(_cloud(spark, sf_dir, 0, 1200), _cloud(spark, sf_dir, 1, 1200), 1_440_000, 3)
-    return k.where(F.abs(F.col("cls_a") - F.col("cls_b")) <= 4).select("id_a", "id_b", "d2")
+    """JOIN15: the three nearest records of a bounded memory first, the similarity filter after, so fewer may remain.
 
+    One record per cell and frame; a record leaves its cell when three newer ones are in it, or after four frames.
+    """
+    from pointweave.operators import memory
 
-@query(f"WITH {NEAR} SELECT id_a, min(d2) AS d2 FROM near GROUP BY id_a")
-def cloud_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN27, JOIN28: squared distance to the nearest point of the other cloud, one way, within the radius."""
-    near = joins.grid_neighbours(_cloud(spark, sf_dir, 0, 1200), _cloud(spark, sf_dir, 1, 1200), 1_440_000)
-    return near.groupBy("id_a").agg(F.min("d2").alias("d2"))
+    rec = memory.records(points(spark, sf_dir).withColumns({"x": F.col("x_mm"), "y": F.col("y_mm"), "z": F.col("z_mm"), "id": F.col("frame").cast("long") * 1_000_000 + F.col("pt")}), 2000, ["pt"], ["id", "x", "y", "z", "cls"])
+    near = memory.retrieved(rec, memory.alive(rec, 3, 4), 4_000_000, 3)
+    return near.where((16 - F.abs(F.col("cls_a") - F.col("cls_b"))) / 16 >= 0.7).select("id_a", "id_b", "d2", "age")
 
 
 RAYS = f"""{POINTS}, r AS (SELECT frame, pt, CAST(floor(x_mm / 2500.0) AS BIGINT) * 1000 + CAST(floor(y_mm / 2500.0) AS BIGINT) AS ray, CAST(z_mm + 3000 AS BIGINT) AS r FROM points)"""
@@ -172,50 +215,103 @@ def cell_z_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("frame", "pt", "z", (F.col("z") == F.min("z").over(w)).alias("nearest"))
 
 
-@query(f"""WITH {MAP}, vox AS (SELECT DISTINCT {key_sql('x_mm', 'y_mm', 'z_mm', VOXEL)} AS key, CAST(floor(x_mm / 10000.0) AS BIGINT) AS c, CAST(floor(y_mm / 10000.0) AS BIGINT) AS r FROM points),
-cand AS (SELECT v.key, v.c, v.r, ((v.key & 2097151) - 1048576) * 2000 + 4000 AS depth FROM vox v JOIN fused f ON v.key = f.key WHERE f.cls IN (1, 2, 3, 4, 5, 6, 8, 9)),
-img AS (SELECT frame, CAST(floor(x_mm / 10000.0) AS BIGINT) AS c, CAST(floor(y_mm / 10000.0) AS BIGINT) AS r, min(z_mm + 3000) AS near FROM points GROUP BY ALL)
-SELECT key, count(*) FILTER (near > depth + 500) AS n_free, count(*) AS n_tested FROM cand JOIN img USING (c, r) GROUP BY key""")
-def free_space_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN20, STM-12, FLT09: movable voxels against every sweep's range image, cumulative votes."""
-    from pointweave.operators.carving import free_votes, range_image
+# A sweep's sensor wanders over the scene; it moves 50 mm in each of its four time bins and turns by a ratio of 3 to 4.
+ORIGIN = {"ox": "((frame * 7919) % 80 - 40) * 1000 + bin * 50", "oy": "((frame * 31) % 40 - 20) * 1000", "oz": "0"}
+CARVED = f"""{MAP}, vox AS (SELECT key, CAST((((key >> 42) & 2097151) - 1048576) * {VOXEL} + {VOXEL // 2} AS DOUBLE) AS x, CAST((((key >> 21) & 2097151) - 1048576) * {VOXEL} + {VOXEL // 2} AS DOUBLE) AS y, CAST(((key & 2097151) - 1048576) * {VOXEL} + {VOXEL // 2} AS DOUBLE) AS z FROM fused WHERE cls IN (1, 2, 3, 4, 5, 6, 8, 9)),
+org AS (SELECT frame, CAST(bin AS INTEGER) AS bin, CAST({ORIGIN["ox"]} AS DOUBLE) AS ox, CAST({ORIGIN["oy"]} AS DOUBLE) AS oy, CAST(0 AS DOUBLE) AS oz, 0.6 AS c, 0.8 AS s FROM (SELECT DISTINCT frame FROM points), range(4) t(bin)),
+raw AS (SELECT p.frame, 0.6 * (x_mm - ox) + 0.8 * (y_mm - oy) AS x, 0.6 * (y_mm - oy) - 0.8 * (x_mm - ox) AS y, CAST(z_mm AS DOUBLE) - oz AS z FROM points p JOIN org o ON p.frame = o.frame AND o.bin = 2),
+px AS (SELECT frame, r, CAST(floor((z / greatest(r, 0.001) - (-0.5)) * 32.0) AS INTEGER) AS row, CAST(least(floor((atan2(y, x) + 3.141592653589793) * (360 / (2 * 3.141592653589793))), 359) AS INTEGER) AS col FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM raw)),
+base AS (SELECT frame, row, col, min(r) AS here FROM px WHERE row BETWEEN 0 AND 31 GROUP BY ALL),
+img AS (SELECT frame, row + i AS row, (col + j + 360) % 360 AS col, min(CASE WHEN i = 0 AND j = 0 THEN here END) AS here, min(here) AS near FROM base, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j) WHERE row + i >= 0 GROUP BY ALL),
+mid AS (SELECT *, CAST(floor(ox / 20000.0) AS BIGINT) + i AS tx, CAST(floor(oy / 20000.0) AS BIGINT) + j AS ty FROM org, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j) WHERE bin = 2),
+cand AS (SELECT v.key, v.x, v.y, v.z, m.frame, CAST(least(floor((atan2(c * (y - oy) - s * (x - ox), c * (x - ox) + s * (y - oy)) + 3.141592653589793) * (4 / (2 * 3.141592653589793))), 3) AS INTEGER) AS bin
+  FROM vox v JOIN mid m ON CAST(floor(v.x / 20000.0) AS BIGINT) = m.tx AND CAST(floor(v.y / 20000.0) AS BIGINT) = m.ty WHERE abs(x - ox) < 20000 AND abs(y - oy) < 20000 AND abs(z - oz) < 20000),
+loc AS (SELECT d.key, d.frame, c * (x - ox) + s * (y - oy) AS x, c * (y - oy) - s * (x - ox) AS y, z - oz AS z FROM cand d JOIN org USING (frame, bin)),
+put AS (SELECT key, frame, r, CAST(floor((z / greatest(r, 0.001) - (-0.5)) * 32.0) AS INTEGER) AS row, CAST(least(floor((atan2(y, x) + 3.141592653589793) * (360 / (2 * 3.141592653589793))), 359) AS INTEGER) AS col FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM loc) WHERE r BETWEEN 500 AND 20000),
+look AS (SELECT key, frame, near > r + 500 AS free, abs(here - r) <= 500 AS seen FROM put JOIN img USING (frame, row, col) WHERE here IS NOT NULL)"""
+
+
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.operators import carving
     from pointweave.operators.fusion import vote_map
 
-    p = points(spark, sf_dir).withColumns({"c": G.cell("x_mm", 10000), "r": G.cell("y_mm", 10000)})
+    p, image = points(spark, sf_dir), carving.SweepImage()
     key = G.voxel_key(F.col("x_mm"), F.col("y_mm"), F.col("z_mm"), VOXEL)
-    movable = vote_map(p, key).where(F.col("cls").isin(1, 2, 3, 4, 5, 6, 8, 9)).select("key")
-    depth = G.decode_key("key")[2] * VOXEL + 4000
-    cand = p.select(key.alias("key"), "c", "r").distinct().join(movable, "key").withColumn("depth", depth)
-    return free_votes(cand, range_image(p.withColumn("range", F.col("z_mm") + 3000), ["c", "r"], "range"), ["c", "r"], 500)
+    movable = vote_map(p, key).where(F.col("cls").isin(1, 2, 3, 4, 5, 6, 8, 9))
+    voxels = movable.select("key", *(((c * VOXEL) + VOXEL // 2).cast("double").alias(a) for a, c in zip("xyz", G.decode_key("key"), strict=True)))
+    bins = p.select("frame").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    origins = bins.select("frame", "bin", *(F.expr(e).cast("double").alias(c) for c, e in ORIGIN.items()), F.lit(0.6).alias("cos"), F.lit(0.8).alias("sin"))
+    raw = p.join(origins.where("bin = 2"), "frame").selectExpr("frame", "cos * (x_mm - ox) + sin * (y_mm - oy) AS x", "cos * (y_mm - oy) - sin * (x_mm - ox) AS y", "z_mm - oz AS z")
+    return carving.carve(voxels, origins, carving.sweep_image(raw, image), image, 4)
+
+
+@query(f"WITH {CARVED} SELECT key, count(*) FILTER (free) AS n_free, count(*) FILTER (seen) AS n_seen, count(*) AS n_tested FROM look GROUP BY key")
+def free_space_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN20, FLT09: movable voxels within reach of each sweep against its range image, in two passes over its time bins; cumulative votes."""
+    from pointweave.operators import carving
 
+    return carving.carve_votes(_looks(spark, sf_dir))
 
-BOXES = """box AS (SELECT CAST(floor(o_orderkey / 250) AS INTEGER) AS frame, o_orderkey AS box, (o_custkey % 20 - 10) * 5000 AS cx, (o_custkey % 10 - 5) * 5000 AS cy, 3000 + o_custkey % 7 * 500 AS hx, 2000 AS hy FROM orders WHERE o_orderkey % 50 = 0)"""
 
+@query(f"""WITH {CARVED}, l AS (SELECT *, max(CASE WHEN seen THEN frame END) OVER (PARTITION BY key) AS last FROM look)
+SELECT key, count(*) FILTER (free AND (last IS NULL OR frame > last)) AS n_free, count(*) FILTER (seen) AS n_seen, count(*) AS n_tested FROM l GROUP BY key""")
+def consecutive_free_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-12: votes since the voxel was last seen."""
+    from pointweave.operators import carving
 
-@query(f"""WITH {POINTS}, {BOXES}, h AS (SELECT p.frame, p.pt, count(*) AS n, min(box) AS box FROM points p JOIN box b ON p.frame = b.frame AND abs(x_mm - cx) <= hx AND abs(y_mm - cy) <= hy GROUP BY ALL)
-SELECT p.frame, p.pt AS id, x_mm AS x, y_mm AS y, CASE WHEN n > 1 THEN -2 ELSE box END AS owner FROM points p LEFT JOIN h ON p.frame = h.frame AND p.pt = h.pt""")
+    return carving.carve_votes(_looks(spark, sf_dir), reset_on_seen=True)
+
+
+BOXES = """box AS (SELECT CAST(floor(o_orderkey / 250) AS INTEGER) AS frame, o_orderkey AS box, CAST(o_custkey % 16 AS INTEGER) AS label, o_custkey % 9 AS annotated, CAST((o_custkey % 20 - 10) * 5000 AS DOUBLE) AS cx, CAST((o_custkey % 10 - 5) * 5000 AS DOUBLE) AS cy, 0.0 AS cz,
+  CASE o_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.6 END AS qw, CASE o_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 0.8 END AS qz, CAST(16000 + o_custkey % 7 * 1000 AS DOUBLE) AS length, 12000.0 AS width, 4000.0 AS height FROM orders),
+reach AS (SELECT *, sqrt(length * length + width * width + height * height) / 2 + 0.01 AS radius FROM box WHERE annotated >= 5),
+cells AS (SELECT *, unnest(range(CAST(floor((cx - radius) / 10000.0) AS BIGINT), CAST(floor((cx + radius) / 10000.0) AS BIGINT) + 1)) AS gx FROM reach), cell AS (SELECT *, unnest(range(CAST(floor((cy - radius) / 10000.0) AS BIGINT), CAST(floor((cy + radius) / 10000.0) AS BIGINT) + 1)) AS gy FROM cells),
+p AS (SELECT frame, pt, x_mm, y_mm, z_mm, cls, CAST(floor(x_mm / 10000.0) AS BIGINT) AS gx, CAST(floor(y_mm / 10000.0) AS BIGINT) AS gy FROM points),
+h AS (SELECT p.frame, p.pt, count(*) AS n, min(box) AS box FROM p JOIN cell c ON p.frame = c.frame AND p.gx = c.gx AND p.gy = c.gy AND p.cls = c.label
+  WHERE abs((x_mm - cx) * (1 - 2 * (qz * qz)) + (y_mm - cy) * (2 * qz * qw)) <= length / 2 + 0.01 AND abs((y_mm - cy) * (1 - 2 * (qz * qz)) - (x_mm - cx) * (2 * qz * qw)) <= width / 2 + 0.01 AND abs(z_mm - cz) <= height / 2 + 0.01 GROUP BY ALL),
+owned AS (SELECT p.frame, p.pt AS id, x_mm AS x, y_mm AS y, z_mm AS z, cls, CASE WHEN n > 1 THEN -2 ELSE box END AS owner FROM points p LEFT JOIN h ON p.frame = h.frame AND p.pt = h.pt)"""
+
+
+def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda a, b, c: F.when(F.col("o_custkey") % 3 == 0, a).when(F.col("o_custkey") % 3 == 1, b).otherwise(c)
+    boxes = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / 250).cast("int").alias("frame"), F.col("o_orderkey").alias("box"), (F.col("o_custkey") % 16).cast("int").alias("label"), (F.col("o_custkey") % 9).alias("annotated"),
+        ((F.col("o_custkey") % 20 - 10) * 5000).cast("double").alias("cx"), ((F.col("o_custkey") % 10 - 5) * 5000).cast("double").alias("cy"), F.lit(0.0).alias("cz"),
+        turn(1.0, 0.8, 0.6).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), turn(0.0, 0.6, 0.8).alias("qz"),
+        (16000 + F.col("o_custkey") % 7 * 1000).cast("double").alias("length"), F.lit(12000.0).alias("width"), F.lit(4000.0).alias("height"),
+    )
+    p = points(spark, sf_dir).select("frame", F.col("pt").alias("id"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"), F.col("z_mm").alias("z"), "cls")
+    return joins.points_in_boxes(p, boxes, 10_000)
+
+
+@query(f"WITH {POINTS}, {BOXES} SELECT * FROM owned")
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN21, PRJ33: the annotation box that holds a point; several are ambiguous."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    boxes = o.select(F.floor(F.col("o_orderkey") / 250).cast("int").alias("frame"), F.col("o_orderkey").alias("box"), ((F.col("o_custkey") % 20 - 10) * 5000).alias("cx"), ((F.col("o_custkey") % 10 - 5) * 5000).alias("cy"), (3000 + F.col("o_custkey") % 7 * 500).alias("hx"), F.lit(2000).alias("hy"))
-    p = points(spark, sf_dir).select("frame", F.col("pt").alias("id"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
-    return joins.points_in_boxes(p, boxes)
+    """JOIN21, PRJ33: the turned annotation box of a point's own class that holds it; several are ambiguous."""
+    return _owned(spark, sf_dir)
+
+
+@query(f"WITH {POINTS}, {BOXES} SELECT frame, owner, count(*) AS n FROM owned WHERE owner IS NOT NULL AND owner <> -2 GROUP BY ALL HAVING count(*) >= 5")
+def box_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN21: objects of five points or more."""
+    return joins.box_groups(_owned(spark, sf_dir))
 
 
-@query(f"""WITH {TRACKS}, p AS (SELECT *, lag(frame) OVER w = frame - 1 AS next, lag(base) OVER w AS lb FROM tracks WINDOW w AS (PARTITION BY user_id, event_type ORDER BY frame))
-SELECT user_id, event_type, frame, CASE WHEN next THEN lb END AS prev_base, NOT base AND coalesce(next AND lb, false) AS opportunity FROM p""")
+@query(f"""WITH {TRACKS}, p AS (SELECT *, lag(frame) OVER w = frame - 1 AND stamp_us - lag(stamp_us) OVER w <= 30000000000 AS next, lag(base) OVER w AS lb, lag(temporal) OVER w AS lt FROM tracks WINDOW w AS (PARTITION BY user_id, event_type ORDER BY frame))
+SELECT user_id, event_type, frame, CASE WHEN next THEN lb END AS prev_base, NOT base AND coalesce(next AND lb, false) AS opportunity, coalesce(next AND lt <> temporal, false) AS changed FROM p""")
 def previous_frame_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN22, JOIN23, WIN10: the same track exactly one frame before, and errors that it could have repaired."""
-    p = ordered.previous(tracks(spark, sf_dir), ["user_id", "event_type"], "frame", ["base"])
-    return p.select("user_id", "event_type", "frame", "prev_base", (~F.col("base") & F.coalesce("prev_base", F.lit(False))).alias("opportunity"))
+    """JOIN22, JOIN23, WIN10: the same track exactly one frame before and at most so long ago, errors that it could have repaired, and changes of class."""
+    p = ordered.previous(tracks(spark, sf_dir), ["user_id", "event_type"], "frame", ["base", "temporal", "stamp_us"])
+    fresh = F.coalesce(F.col("stamp_us") - F.col("prev_stamp_us") <= 30_000_000_000, F.lit(False))
+    changed = F.coalesce(fresh & (F.col("prev_temporal") != F.col("temporal")), F.lit(False))
+    return p.select("user_id", "event_type", "frame", F.when(fresh, F.col("prev_base")).alias("prev_base"), (~F.col("base") & fresh & F.coalesce("prev_base", F.lit(False))).alias("opportunity"), changed.alias("changed"))
 
 
-@query(f"""WITH {POINTS}, a AS (SELECT {key_sql('x_mm', 'y_mm', 'z_mm', VOXEL)} AS key, max(cls) AS cls FROM points WHERE frame % 3 = 0 GROUP BY 1), b AS (SELECT {key_sql('x_mm', 'y_mm', 'z_mm', VOXEL)} AS key, max(cls) AS cls FROM points WHERE frame % 3 = 1 GROUP BY 1)
+@query(f"""WITH {POINTS}, a AS (SELECT {key_sql('x_mm', 'y_mm', 'z_mm', VOXEL)} AS key, max(cls) AS cls FROM points WHERE frame % 2 = 0 GROUP BY 1), b AS (SELECT {key_sql('x_mm', 'y_mm', 'z_mm', VOXEL)} AS key, max(cls) AS cls FROM points WHERE frame % 2 = 1 GROUP BY 1)
 SELECT key, a.cls AS a, b.cls AS b, CASE WHEN a.cls IS NULL THEN 'b_only' WHEN b.cls IS NULL THEN 'a_only' ELSE 'shared' END AS side FROM a FULL OUTER JOIN b USING (key)""")
 def map_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN03: shared keys and those of one map only."""
     key = G.voxel_key(F.col("x_mm"), F.col("y_mm"), F.col("z_mm"), VOXEL)
-    a, b = (points(spark, sf_dir).where(F.pmod("frame", F.lit(3)) == k).groupBy(key.alias("key")).agg(F.max("cls").alias("cls")) for k in (0, 1))
+    a, b = (points(spark, sf_dir).where(F.pmod("frame", F.lit(2)) == k).groupBy(key.alias("key")).agg(F.max("cls").alias("cls")) for k in (0, 1))
     return joins.compare_maps(a, b)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
-from pointweave.operators import carving, filters, ordered
+from pointweave.operators import filters, ordered
 from pointweave.plans.adapters import POINTS, TICKS, points, table, ticks
 from pointweave.plans.queries import query
 from pointweave.sources import readers, sinks
@@ -97,17 +97,6 @@ def sweep_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where(filters.spherical(F.col("x_mm"), F.col("y_mm"), F.lit(0), 2000, 30000)).select("frame", "pt")
 
 
-@query(f"""WITH {POINTS}, img AS (SELECT frame, CAST(floor(x_mm / 20000.0) AS BIGINT) AS c, min(z_mm + 3000) AS near FROM points GROUP BY ALL),
-cand AS (SELECT DISTINCT CAST(floor(x_mm / 2000.0) AS BIGINT) AS key, CAST(floor(x_mm / 20000.0) AS BIGINT) AS c, CAST(abs(x_mm) % 40 * 100 AS BIGINT) AS depth FROM points),
-h AS (SELECT key, depth, frame, near, near > depth + 200 AS free, sum(CASE WHEN abs(near - depth) <= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY frame) AS part FROM cand JOIN img USING (c)),
-l AS (SELECT *, max(part) OVER (PARTITION BY key) AS last FROM h) SELECT key, count(*) FILTER (free) AS n_free FROM l WHERE part = last GROUP BY key""")
-def consecutive_free_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-12: votes since the candidate was last seen."""
-    p = points(spark, sf_dir).withColumn("c", G.cell("x_mm", 20000))
-    cand = p.select(G.cell("x_mm", 2000).alias("key"), "c", (F.abs("x_mm") % 40 * 100).alias("depth")).distinct()
-    return carving.consecutive_votes(cand, carving.range_image(p.withColumn("range", F.col("z_mm") + 3000), ["c"], "range"), ["c"], 200)
-
-
 @query(f"""WITH {POINTS}, d AS (SELECT frame, CAST(least(greatest(ceil(sqrt(CAST(x_mm * x_mm + y_mm * y_mm AS DOUBLE)) / 60000 * 20) - 1, 0), 19) AS INTEGER) AS ring, max(z_mm + 3000) AS h FROM points WHERE x_mm * x_mm + y_mm * y_mm <= 3600000000 GROUP BY ALL),
 pr AS (SELECT a.frame AS i, b.frame AS j, sum(a.h * b.h) AS ab FROM d a JOIN d b ON a.ring = b.ring AND b.frame > a.frame + 30 GROUP BY ALL), n AS (SELECT frame, sum(h * h) AS hh FROM d GROUP BY frame)
 SELECT i, j, CAST(floor((1 - ab / (sqrt(CAST(x.hh AS DOUBLE)) * sqrt(CAST(y.hh AS DOUBLE)))) * 1000000 + 0.5) AS BIGINT) AS distance FROM (SELECT pr.*, row_number() OVER (PARTITION BY j ORDER BY ab / sqrt(CAST(x.hh AS DOUBLE)) / sqrt(CAST(y.hh AS DOUBLE)) DESC, i) AS place FROM pr JOIN n x ON x.frame = i JOIN n y ON y.frame = j) q JOIN n x ON x.frame = i JOIN n y ON y.frame = j WHERE place <= 10""")
