@@ -6,18 +6,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointweave.llm.graph import connected_components
 from pointweave.llm.shared import materialise
 
 #: Projections in which a vector is entered: those where it is most extreme.
 ENTRIES = 12
-#: Entries of a projection's list that one task compares with each other.
-BLOCK = 512
+#: Entries of a projection's list that one task compares with as many others, and those it compares at a time.
+BLOCK, TILE = 8192, 512
 #: Half width of a query's window, in standard deviations of a linked pair's difference at the least cosine.
 WINDOW = 3.0
 
 
+def projections_for(vectors: int) -> int:
+    """Projections for so many vectors: about 32 for each of their square root, a power of two.
+
+    Work is vectors x projections to project, and vectors**2 / projections to compare, so both grow as the power 1.5.
+    """
+    return 1 << max(6, int(np.ceil(np.log2(32 * np.sqrt(max(vectors, 1))))))
+
+
 def directions(dims: int, n: int) -> np.ndarray:
     """n / 2 fixed random directions; with their opposites they give n one-dimensional projections."""
     return np.random.default_rng([dims, n]).standard_normal((dims, n // 2)).astype(np.float32)
@@ -59,85 +68,119 @@ def calibrated_count(dims: int, n: int, least: float, recall: float = 0.998, pai
     return max(1, int(counts[int((1 - recall) * pairs)]))
 
 
-def _counted(place: np.ndarray, value: np.ndarray, side: np.ndarray, here: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one projection's list that collide in another one too: (a, b, collisions), ``here`` included.
+def _collisions(place: np.ndarray, value: np.ndarray, width: float, before: int | None = None) -> np.ndarray:
+    """How often each two rows collide, as a square matrix: in how many common lists they are in each other's window.
 
-    Pairs of the same side of a split list are left out if two sides are given, as are pairs that collide in a
-    projection before ``here``: they belong there.
+    With ``before``, only lists below it count. Where all of a list's values lie within one window, two rows collide if
+    both are in it, so such lists are counted by one product of incidence matrices; the others by sorted windows.
     """
-    rows, n = np.repeat(np.arange(len(place)), place.shape[1]), len(place)
-    lists, values = place.ravel(), value.ravel()
+    n = len(place)
+    rows, lists, values = np.repeat(np.arange(n), place.shape[1]), place.ravel(), value.ravel()
+    if before is not None:
+        low = lists < before
+        rows, lists, values = rows[low], lists[low], values[low]
+    out = np.zeros((n, n), np.float32)
+    if not len(rows):
+        return out
     order = np.lexsort((values, lists))
     rows, lists, values = rows[order], lists[order], values[order]
-    codes, earlier = [], []
-    live = np.arange(len(rows))
-    for step in range(1, len(rows)):
-        live = live[live + step < len(rows)]
-        # Sorted by value within a list, a row's window ends at the first entry beyond it.
-        live = live[(lists[live] == lists[live + step]) & (values[live + step] - values[live] <= width)]
-        if not len(live):
-            break
-        a, b = rows[live], rows[live + step]
-        code = np.minimum(a, b) * n + np.maximum(a, b)
-        codes.append(code)
-        earlier.append(code[lists[live] < here])
-    if not codes:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    codes, counts = np.unique(np.concatenate(codes), return_counts=True)
-    first_here = ~np.isin(codes, np.concatenate(earlier))
-    a, b = codes // n, codes % n
-    own = value[np.arange(n), (place == here).argmax(1)]
-    keep = first_here & (np.abs(own[a] - own[b]) <= width)
-    if side.any() and not side.all():
-        keep &= side[a] != side[b]
-    return a[keep], b[keep], counts[keep]
-
-
-def _links(least: float, least_count: int):
+    begins = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    ends = np.r_[begins[1:], len(lists)]
+    narrow = values[ends - 1] - values[begins] <= width
+    several = ends - begins > 1
+    number = np.repeat(np.cumsum(narrow & several) - 1, ends - begins)
+    own = np.repeat(narrow & several, ends - begins)
+    if own.any():
+        inside = np.zeros((n, int(number[-1]) + 1), np.float32)
+        inside[rows[own], number[own]] = 1
+        out += inside @ inside.T
+    for lo, hi in zip(begins[~narrow & several], ends[~narrow & several], strict=True):
+        r, v = rows[lo:hi], values[lo:hi]
+        out[np.ix_(r, r)] += np.abs(v[:, None] - v[None, :]) <= width
+    return out
+
+
+def _groups(linked: np.ndarray) -> np.ndarray:
+    """The first row of each row's component in a square matrix of links."""
+    top = np.full(len(linked), -1)
+    for start in np.flatnonzero(linked.any(1)):
+        if top[start] >= 0:
+            continue
+        front = np.zeros(len(linked), bool)
+        front[start] = True
+        while front.any():
+            top[front] = start
+            front = linked[front].any(0) & (top < 0)
+    return top
+
+
+def _links(least: float, least_count: int, kind: str):
     width = window(least)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         here = int(key[1])
-        vectors = np.stack([np.frombuffer(v, np.float64) for v in rows["unit"]])
+        unit = unit_rows(np.stack([np.frombuffer(v, kind) for v in rows["vector"]]))
         place = np.stack([np.frombuffer(v, np.int32) for v in rows["places"]])
         value = np.stack([np.frombuffer(v, np.float32) for v in rows["values"]])
         ids, size, side = rows["rep"].to_numpy(), rows["size"].to_numpy(), rows["side"].to_numpy()
-        a, b, counts = _counted(place, value, side, here, width)
-        a, b = a[counts >= least_count], b[counts >= least_count]
-        cosine = np.einsum("ij,ij->i", vectors[a], vectors[b])
-        a, b = a[cosine >= least], b[cosine >= least]
-        degree = np.bincount(a, size[b], len(ids)) + np.bincount(b, size[a], len(ids))
-        # Of the links only a spanning forest goes on: enough for components, and linear in the rows.
-        top = np.arange(len(ids))
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        degree, top = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+        def root(x: int) -> int:
             while top[x] != x:
                 top[x] = x = top[top[x]]
-            while top[y] != y:
-                top[y] = y = top[top[y]]
-            if x != y:
-                top[max(x, y)] = min(x, y)
-        for x in range(len(ids)):
-            r = x
-            while top[r] != r:
-                r = top[r]
-            top[x] = r
-        some = degree > 0
-        return pd.DataFrame({"a": ids[some], "b": ids[top[some]], "links": degree[some].astype(np.int64)})
+            return x
+
+        tiles = [t for s in (False, True) for of in [np.flatnonzero(side == s)] for t in np.split(of, range(TILE, len(of), TILE)) if len(t)]
+        split = side.any() and not side.all()
+        for i, left in enumerate(tiles):
+            for right in tiles[i:]:
+                if split and side[left[0]] == side[right[0]]:
+                    continue
+                at = left if right is left else np.concatenate([left, right])
+                # A pair belongs to its first common list.
+                fresh = _collisions(place[at], value[at], width, here) == 0
+                if right is not left:
+                    fresh[: len(left), : len(left)] = fresh[len(left) :, len(left) :] = False
+                fresh[np.arange(len(at)), np.arange(len(at))] = False
+                own = value[at][np.arange(len(at)), (place[at] == here).argmax(1)]
+                fresh &= np.abs(own[:, None] - own[None, :]) <= width
+                if fresh.any():
+                    fresh &= _collisions(place[at], value[at], width) >= least_count
+                if not fresh.any():
+                    continue
+                linked = np.triu(fresh & (unit[at] @ unit[at].T >= least))
+                linked |= linked.T
+                degree[at] += linked @ size[at]
+                # Of the links only a spanning forest goes on: enough for components, and linear in the rows.
+                first = _groups(linked)
+                for x in np.flatnonzero(first >= 0):
+                    a, b = root(at[x]), root(at[first[x]])
+                    top[max(a, b)] = min(a, b)
+        some = np.flatnonzero(degree)
+        tops = np.array([root(x) for x in some], int)
+        return pd.DataFrame({"a": ids[some], "b": ids[tops], "links": degree[some]})
 
     return run
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
+    v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def similar_vectors(table: DataFrame, least: float = 0.9, projections: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of table(vec_id, embedding), linked at cosine ``least`` or more.
 
     1. Equal vectors form a class; one of each, the class's smallest vec_id, goes on.
     2. A class is entered, by its value, in the sorted lists of the 12 of all projections in which it is most extreme;
-       there lists are sparse, so that windows around a query hold few others. Their number grows with the classes so
-       that a list holds about 128 (at most 2**17 projections; beyond, lists grow).
+       there lists are sparse, so that windows around a query hold few others. The number of projections grows with
+       the square root of the classes, at every size.
     3. Within a list, pairs within each other's window are counted over all their common lists. Those that reach the
-       count calibrated for a recall of 0.998 at the least cosine are verified in double precision. A pair is
-       handled in its first common list only. Lists over 512 entries are dealt to many tasks as pairs of blocks.
+       count c calibrated for a recall of 0.998 at the least cosine are verified in double precision. A pair is
+       handled in its first common list only, which is one of the first 13 - c of each, so an entry of the others is
+       not sent. Lists over 8,192 entries are dealt to many tasks as pairs of blocks; a task works tile by tile.
     4. Verified links give each task's degrees and a spanning forest; degrees are summed, forests joined to
        components. No list of all links exists anywhere.
 
@@ -156,37 +199,34 @@ def similar_vectors(table: DataFrame, least: float = 0.9, projections: int | Non
     members = materialise(rows.drop("v").join(classes.drop("v"), ["h1", "h2"], "left").select("vec_id", "rep", "size"), "members")
 
     shapes = classes.groupBy(F.size("v").alias("dims")).count().collect()  # one row per vector length
-    chosen = {}
-    for r in shapes:
-        wanted = 1 << max(6, int(np.ceil(np.log2(max(1, r["count"] * ENTRIES / 128)))))
-        n = min(projections or wanted, 1 << 17)
-        chosen[r["dims"]] = (n, calibrated_count(r["dims"], n, least))
+    kind = "f4" if table.schema["embedding"].dataType.elementType == T.FloatType() else "f8"
     parts = None
-    for dims, (n, least_count) in chosen.items():
+    for dims, count in shapes:
+        n = projections or projections_for(count)
+        least_count = calibrated_count(dims, n, least)
+        sent = ENTRIES - least_count + 1
 
-        def entered(batches, n=n):
+        def entered(batches, n=n, sent=sent):
             for pdf in batches:
-                if len(pdf):
-                    v = np.stack(pdf["v"].to_numpy())
-                    v = v / np.abs(v).max(1, keepdims=True)
-                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    for lo in range(0, len(unit), 512):
-                        place, value = extremes(unit[lo : lo + 512], n)
-                        own = pdf.iloc[lo : lo + 512]
-                        yield pd.DataFrame({
-                            "rep": own["rep"].to_numpy(), "size": own["size"].to_numpy(), "unit": [x.tobytes() for x in unit[lo : lo + 512]],
-                            "places": [x.tobytes() for x in place], "values": [x.tobytes() for x in value], "lists": list(place),
-                        })
+                for lo in range(0, len(pdf), 512):
+                    own = pdf.iloc[lo : lo + 512]
+                    v = np.stack(own["v"].to_numpy())
+                    place, value = extremes(unit_rows(v), n)
+                    yield pd.DataFrame({
+                        "rep": own["rep"].to_numpy(), "size": own["size"].to_numpy(), "vector": [x.tobytes() for x in v.astype(kind)],
+                        "places": [x.tobytes() for x in place], "values": [x.tobytes() for x in value], "lists": list(place[:, :sent]),
+                    })
 
         of_length = classes.where((F.size("v") == dims) & F.col("rep").isNotNull()).select("rep", "size", "v")
-        vectors = materialise(of_length.mapInPandas(entered, "rep long, size long, unit binary, places binary, values binary, lists array<int>"), "vectors")
+        vectors = materialise(of_length.mapInPandas(entered, "rep long, size long, vector binary, places binary, values binary, lists array<int>"), "vectors")
         entries = vectors.withColumn("list", F.explode("lists")).drop("lists")
-        # At most 2**17 rows, one per projection.
-        blocks = vectors.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        entries = entries.join(F.broadcast(blocks), "list").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # Lists of one entry have no pairs; of the others only long ones need blocks. Both tables have a row per list.
+        lists = vectors.select(F.explode("lists").alias("list")).groupBy("list").count().where("count > 1")
+        entries = entries.join(lists.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "list")
+        entries = entries.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = entries.select(F.least("own", "other").alias("x"), "list", F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "rep", "size", "unit", "places", "values")
-        found = dealt.groupBy("x", "list", "y").applyInPandas(_links(least, least_count), "a long, b long, links long")
+        dealt = entries.select(F.least("own", "other").alias("x"), "list", F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "rep", "size", "vector", "places", "values")
+        found = dealt.groupBy("x", "list", "y").applyInPandas(_links(least, least_count, kind), "a long, b long, links long")
         parts = found if parts is None else parts.union(found)
     if parts is None:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -48,7 +48,22 @@ def test_equals_brute_force(spark):
         assert sum(found[k] == want[k] for k in want) >= 0.97 * len(want)
 
 
-def test_large_group_is_split_over_blocks(spark):
+def test_recall_of_borderline_pairs_in_many_dimensions(spark):
+    """Pairs of cosine 0.9005 to 0.93 in 64 dimensions."""
+    rng = np.random.default_rng(3)
+    base, z = (rng.normal(size=(1500, 64)) for _ in range(2))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    z -= (z * base).sum(1, keepdims=True) * base
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, 1500)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * z]).astype(np.float32)
+    found = similar_vectors(spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], SCHEMA)).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * 3000 <= found <= 3000
+
+
+def test_large_group_is_split_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr("pointweave.llm.embeddings.BLOCK", 300)
+    monkeypatch.setattr("pointweave.llm.embeddings.TILE", 64)
     rng = np.random.default_rng(4)
     x = rng.normal(size=16) + 0.02 * rng.normal(size=(1300, 16))
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
@@ -56,6 +71,19 @@ def test_large_group_is_split_over_blocks(spark):
     assert {(r.n_links, r.component_id) for r in found} == {(1299, 0)}
 
 
+def test_tiles_of_a_loose_group_equal_brute_force(spark, monkeypatch):
+    """A group in which about half of the pairs are linked, in lists of several blocks and tiles."""
+    monkeypatch.setattr("pointweave.llm.embeddings.BLOCK", 150)
+    monkeypatch.setattr("pointweave.llm.embeddings.TILE", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=16) + 0.33 * rng.normal(size=(600, 16))
+    rows = [(i, [float(np.float32(v)) for v in r], 0) for i, r in enumerate(x)]
+    found = {r.vec_id: r.n_links for r in similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {k: n for k, (n, _) in brute_force(rows).items()}
+    assert 0.2 * 600 * 599 < sum(want.values()) < 0.95 * 600 * 599
+    assert all(found[k] <= want[k] for k in want) and sum(found.values()) >= 0.99 * sum(want.values())
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (7, [1.0, 1.0]), (8, [2.0, 2.0]), (9, [1.0, 1.0, 0.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0])]
     found = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
