@@ -10,13 +10,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.shared import GAP, materialise
+from pointweave.llm.shared import GAP, materialise, release
 
 #: Standard deviations that are added to a group's own: mean word length (log), symbol share (root), share of
 #: repeated lines, share of repeated words. They keep a feature that hardly varies in a group from rejecting it all.
 FLOORS = (0.07, 0.04, 0.15, 0.1)
 FEATURES = ("x1", "x2", "x3", "x4")
+LOWER = [(k, j) for k in range(1, 5) for j in range(1, k + 1)]
+#: The numbers of an estimate: means and the Cholesky factor of the covariance.
+ESTIMATE = (*(f"m{k}" for k in range(1, 5)), *(f"l{k}{j}" for k, j in LOWER))
 POOLED = "pooled"
+#: Groups whose estimates are broadcast, 15 numbers each; the rows of more groups are dealt by group and SALTS parts.
+MOST_BROADCAST, SALTS = 20_000, 32
 
 
 def _bind(value: Column, body) -> Column:
@@ -105,35 +110,87 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(2, 5)), F.col("z1") * F.col("z1")))
 
 
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of the floored covariance of each group's rows, from sums that combine map-side."""
-    sums = [F.sum(f"x{k}").alias(f"s{k}") for k in range(1, 5)]
-    sums += [F.sum(F.col(f"x{k}") * F.col(f"x{j}")).alias(f"q{k}{j}") for k in range(1, 5) for j in range(1, k + 1)]
-    out = rows.groupBy("grp").agg(F.count("*").alias("n"), *sums)
-    out = out.withColumns({f"m{k}": F.col(f"s{k}") / F.col("n") for k in range(1, 5)})
-    for k in range(1, 5):
-        for j in range(1, k + 1):
-            v = (F.col(f"q{k}{j}") / F.col("n") - F.col(f"m{k}") * F.col(f"m{j}")) * F.lit(scale)
-            if j == k:
-                v = F.greatest(v, F.lit(0.0)) + F.lit(FLOORS[k - 1] ** 2)
-            for i in range(1, j):
-                v = v - F.col(f"l{k}{i}") * F.col(f"l{j}{i}")
-            out = out.withColumn(f"l{k}{j}", F.sqrt(F.greatest(v, F.lit(FLOORS[k - 1] ** 2 / 4))) if j == k else v / F.col(f"l{j}{j}"))
-    return out.select("grp", *(f"m{k}" for k in range(1, 5)), *(f"l{k}{j}" for k in range(1, 5) for j in range(1, k + 1)))
+def _cholesky(df: DataFrame) -> DataFrame:
+    """df plus the Cholesky factor l of its matrix v; pivots are at least half a floor."""
+    for k, j in LOWER:
+        rest = F.col(f"v{k}{j}")
+        for i in range(1, j):
+            rest = rest - F.col(f"l{k}{i}") * F.col(f"l{j}{i}")
+        df = df.withColumn(f"l{k}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[k - 1] ** 2 / 4))) if j == k else rest / F.col(f"l{j}{j}"))
+    return df
+
 
+def _moments(rows: DataFrame, by: list[str], names: tuple[str, ...], prior: float) -> DataFrame:
+    """by, and mean s and covariance q of the named columns, from sums that combine map-side.
 
-def covariance_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 0.9999, min_rows: int = 60) -> DataFrame:
+    Every group but the pooled one gets ``prior`` rows more, which are like the pooled ones on average.
+    """
+    sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(names, 1)] + [F.sum(F.col(names[k - 1]) * F.col(names[j - 1])).alias(f"q{k}{j}") for k, j in LOWER]
+    own = rows.groupBy(*by).agg(F.count("*").cast("double").alias("n"), *sums)
+    parts = [c for c in own.columns if c not in (*by, "n")]
+    others = [c for c in by if c != "grp"]
+    pooled = own.where(F.col("grp") == POOLED).select(*others, *((F.col(c) / F.col("n")).alias(f"p_{c}") for c in parts))
+    both = own.join(F.broadcast(pooled), others) if others else own.crossJoin(F.broadcast(pooled))  # one row for each start
+    weight = F.when(F.col("grp") == POOLED, F.lit(0.0)).otherwise(F.lit(prior))
+    both = both.select(*by, *(((F.col(c) + weight * F.col(f"p_{c}")) / (F.col("n") + weight)).alias(c) for c in parts))
+    return both.withColumns({f"q{k}{j}": F.col(f"q{k}{j}") - F.col(f"s{k}") * F.col(f"s{j}") for k, j in LOWER})
+
+
+def _estimates(rows: DataFrame, scale: float, prior: float) -> DataFrame:
+    """Mean m and Cholesky factor l of the floored covariance of the rows of each grp and start, and its log determinant."""
+    own = _moments(rows, ["grp", "start"], FEATURES, prior)
+    own = own.withColumns({f"v{k}{j}": F.greatest(F.col(f"q{k}{j}") * scale, F.lit(0.0)) + F.lit(FLOORS[k - 1] ** 2) if k == j else F.col(f"q{k}{j}") * scale for k, j in LOWER})
+    own = _cholesky(own.withColumnsRenamed({f"s{k}": f"m{k}" for k in range(1, 5)}))
+    return own.select("grp", "start", *ESTIMATE, sum(F.log(F.col(f"l{k}{k}")) for k in range(1, 5)).alias("size"))
+
+
+def _with_groups(rows: DataFrame, known: DataFrame, groups: int, how: str = "inner") -> DataFrame:
+    """rows joined with known(grp, ...): by broadcast up to MOST_BROADCAST groups, else by grp and a part of its rows."""
+    if groups <= MOST_BROADCAST:
+        return rows.join(F.broadcast(known), "grp", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
+    return salted.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["grp", "salt"], how).drop("salt")
+
+
+def _starts(rows: DataFrame, groups: int, prior: float) -> DataFrame:
+    """Two first estimates of every group: both of medians and median deviations, the second with correlations of bounded scores."""
+    middle = _with_prior(rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"c{k}") for k, x in enumerate(FEATURES, 1))), "c", prior)
+    apart = [F.percentile_approx(F.abs(F.col(x) - F.col(f"c{k}")), 0.5, 1000).alias(f"a{k}") for k, x in enumerate(FEATURES, 1)]
+    apart = _with_groups(rows, middle, groups).groupBy("grp").agg(F.count("*").alias("n"), *apart)
+    spread = _with_prior(apart, "a", prior).select("grp", *(F.sqrt((1.4826 * F.col(f"a{k}")) ** 2 + FLOORS[k - 1] ** 2).alias(f"a{k}") for k in range(1, 5)))
+    known = materialise(middle.join(spread, "grp"), "starts")
+    scores = _with_groups(rows, known, groups).select("grp", *(F.tanh((F.col(x) - F.col(f"c{k}")) / F.col(f"a{k}")).alias(x) for k, x in enumerate(FEATURES, 1)))
+    linked = known.join(_moments(scores, ["grp"], FEATURES, prior), "grp")
+    one = {f"v{k}{j}": F.col(f"a{k}") * F.col(f"a{j}") * (F.lit(1.0) if j == k else F.lit(0.0)) for k, j in LOWER}
+    own = lambda k, j: F.col(f"q{k}{j}") / F.sqrt(F.greatest(F.col(f"q{k}{k}") * F.col(f"q{j}{j}"), F.lit(1e-12)))
+    two = one | {f"v{k}{j}": F.col(f"a{k}") * F.col(f"a{j}") * own(k, j) for k, j in LOWER if j < k}
+    both = linked.withColumns(one).withColumn("start", F.lit(1)).unionByName(linked.withColumns(two).withColumn("start", F.lit(2)))
+    both = _cholesky(both.withColumnsRenamed({f"c{k}": f"m{k}" for k in range(1, 5)})).withColumn("size", F.lit(None).cast("double"))
+    return both.select("grp", "start", *ESTIMATE, "size")
+
+
+def _with_prior(df: DataFrame, letter: str, prior: float) -> DataFrame:
+    """grp and four numbers of each group, drawn towards the pooled ones as by ``prior`` rows more."""
+    pooled = df.where(F.col("grp") == POOLED).select(*(F.col(f"{letter}{k}").alias(f"p{k}") for k in range(1, 5)))
+    n = F.col("n")
+    return df.crossJoin(F.broadcast(pooled)).select("grp", *(((n * F.col(f"{letter}{k}") + prior * F.col(f"p{k}")) / (n + prior)).alias(f"{letter}{k}") for k in range(1, 5)))
+
+
+def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int = 12, cutoff: float = 0.9999, prior: float = 30.0) -> DataFrame:
     """stats plus base_failed, distance and kept, by minimum-covariance-determinant estimates per lang and source.
 
     Rows that pass the base rules are described by log mean word length, root of the symbol share, share of repeated
-    lines and share of repeated words. Starting from medians and median deviations, each concentration step
-    re-estimates mean and covariance from the ``share`` of a group's rows with the least distance; the determinant
-    never grows. A last step uses all rows within the 0.975 quantile. The distance that bounds the share comes from a
-    histogram of log distances (32 bins per factor e), so a group's rows are never sorted or gathered; a group's
-    estimate is one row of sums. Rows beyond the ``cutoff`` quantile of chi-square(4) are not kept.
-
-    Groups of fewer than min_rows rows share one pooled estimate over all rows. Null lang or source count as values
-    of their own. Rows with base_failed have no distance. With no row that passes, nothing is estimated or kept.
+    lines and share of repeated words. From two starts, each concentration step re-estimates mean and covariance from
+    the ``share`` of a group's rows with the least distance, until no determinant changes (at most most_steps steps);
+    the start that ends with the least determinant stands. A last step uses all rows within the 0.975 quantile. The
+    distance that bounds the share comes from a histogram of log distances (32 bins per factor e), so a group's rows are
+    never sorted or gathered; a group's estimate is one row of sums. Rows beyond the ``cutoff`` quantile of
+    chi-square(4) are not kept.
+
+    Every group's sums are completed by those of ``prior`` average rows of the pooled estimate over all rows: a small
+    group leans on the whole, a large one hardly, and no number of rows switches between them. Null lang or source
+    count as values of their own. Rows with base_failed have no distance. With no row that passes, nothing is
+    estimated or kept. Repeated rows and ties count as often as they come. Own columns replace columns of the same name.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words = F.greatest(F.col("n_words"), F.lit(1))
@@ -142,51 +199,41 @@ def covariance_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, c
         "x2": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "x4": F.col("n_repeat_words") / words,
-        "own": F.to_json(F.struct("lang", "source")),
+        "grp": F.to_json(F.struct("lang", "source")),
     })
-    good = stats.where("NOT base_failed")
-    large = good.groupBy("own").count().where(F.col("count") >= min_rows).select("own", F.lit(True).alias("large"))
-    stats = stats.join(large, "own", "left").withColumn("grp", F.when(F.col("large"), F.col("own")).otherwise(F.lit(POOLED))).drop("own", "large")
-    stats = materialise(stats, "statistics")
-    good = stats.where("NOT base_failed").select("grp", *FEATURES)
-    # The pooled estimate is over all rows; it is made only where a small group needs it.
-    sample = good.where(F.col("grp") != POOLED).withColumn("grp", F.lit(POOLED))
-    needed = good.where(F.col("grp") == POOLED).select("grp").limit(1)
-    if needed.head(1):
-        good = good.union(sample)
-
-    middle = good.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"c{k}") for k, x in enumerate(FEATURES, 1)))
-    apart = good.join(middle, "grp").groupBy("grp").agg(
-        *(F.first(f"c{k}").alias(f"m{k}") for k in range(1, 5)),
-        *(F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"c{k}")), 0.5, 1000).alias(f"a{k}") for k in range(1, 5)),
-    )
-    spread = {f"l{k}{k}": F.sqrt((1.4826 * F.col(f"a{k}")) ** 2 + FLOORS[k - 1] ** 2) for k in range(1, 5)}
-    spread |= {f"l{k}{j}": F.lit(0.0) for k in range(1, 5) for j in range(1, k)}
-    now = materialise(apart.withColumns(spread).drop("a1", "a2", "a3", "a4"), "estimates")
-    for step in range(steps + 1):
-        near = _distance(good.join(now, "grp"))
-        if step < steps:
-            binned = near.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
-            bins = binned.groupBy("grp", "bin").count()
-            total = bins.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))
-            # A group has at most some thousand bins, whatever its rows.
-            bound = F.aggregate(
-                "bins",
-                F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("bin")),
-                lambda acc, x: F.struct(
-                    (acc["sum"] + x["count"]).alias("sum"),
-                    F.coalesce(acc["bin"], F.when(acc["sum"] + x["count"] >= F.ceil(F.col("total") * share), x["bin"])).alias("bin"),
-                ),
-            )["bin"]
-            core = binned.join(total.select("grp", bound.alias("bound")), "grp").where("bin <= bound")
-            scale = _consistency(share)
-        else:
-            core, scale = near.where(F.col("d2") <= chi2_4_quantile(0.975)), _consistency(0.975)
-        now = materialise(_estimates(core.select("grp", *FEATURES), scale), "estimates")
-    out = _distance(stats.join(now, "grp", "left")).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
+    stats = materialise(stats, "statistics")  # the texts are read once
+    own = stats.where("NOT base_failed").select("grp", *FEATURES)
+    groups = own.select("grp").distinct().count()
+    rows = own.unionByName(own.withColumn("grp", F.lit(POOLED)))
+    now = materialise(_starts(rows, groups, prior), "estimates")
+    for _ in range(most_steps):
+        binned = _distance(_with_groups(rows, now, groups)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
+        bins = binned.groupBy("grp", "start", "bin").count()
+        total = bins.groupBy("grp", "start").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))
+        # A group has at most some thousand bins, whatever its rows.
+        bound = F.aggregate(
+            "bins",
+            F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("bin")),
+            lambda acc, x: F.struct(
+                (acc["sum"] + x["count"]).alias("sum"),
+                F.coalesce(acc["bin"], F.when(acc["sum"] + x["count"] >= F.ceil(F.col("total") * share), x["bin"])).alias("bin"),
+            ),
+        )["bin"]
+        bounded = materialise(now.join(total.select("grp", "start", bound.alias("bound")), ["grp", "start"]), "bounds")
+        core = _distance(_with_groups(rows, bounded, groups)).where(F.floor(F.log(F.col("d2") + 1e-6) * 32) <= F.col("bound"))
+        later = materialise(_estimates(core, _consistency(share), prior), "estimates")
+        moved = later.join(now.select("grp", "start", F.col("size").alias("was")), ["grp", "start"]).where("was IS NULL OR abs(size - was) > 1e-6")
+        settled = not moved.head(1)
+        release(now, bounded)
+        now = later
+        if settled:
+            break
+    best = now.groupBy("grp").agg(F.min(F.struct("size", "start")).alias("best")).select("grp", "best.start")
+    near = _distance(_with_groups(rows, materialise(now.join(best, ["grp", "start"]), "estimates"), groups))
+    last = materialise(_estimates(near.where(F.col("d2") <= chi2_4_quantile(0.975)), _consistency(0.975), prior), "estimates").drop("start", "size")
+    out = _distance(_with_groups(stats, last, groups, "left")).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(chi2_4_quantile(cutoff)), F.lit(False))
-    scratch = [*FEATURES, "grp", "d2", *(c for c in now.columns if c != "grp"), "z1", "z2", "z3", "z4"]
-    return out.withColumn("kept", kept).drop(*scratch)
+    return out.withColumn("kept", kept).drop(*FEATURES, "grp", "d2", *ESTIMATE, "z1", "z2", "z3", "z4")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def rows_of(n, seed=5):
         w = [word() for _ in range(rng.randint(60, 300))]
         if i % 25 == 0:
             w = [x + "$$$###" for x in w]
-        out.append((i, " ".join(w), "en" if i % 3 else None, "src0" if i % 4 else "src1"))
+        out.append((i, " ".join(w), "en" if i % 3 else None, "src0" if i % 4 else "src1") if i % 40 != 7 else (i, " ".join(w), "xx", "few"))
     return out
 
 
@@ -56,28 +56,62 @@ def test_outliers_equal_a_plain_estimate(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     found = {r.doc_id: r for r in quality_rules(df).collect()}
     assert {i for i, r in found.items() if not r.kept} == {i for i, *_ in data if i % 25 == 0}
-    # The same steps in NumPy for one group give the same distances.
+    # The same steps in NumPy give the same distances, in a large group and in one of a few rows.
     from pointweave.llm import quality_rules as q
 
-    group = [i for i, _, lang, src in data if lang == "en" and src == "src0"]
-    s = np.array([statistics(data[i][1]) for i in group], float)
+    floor, prior = np.array(q.FLOORS) ** 2, 30.0
+    s = np.array([statistics(t) for _, t, *_ in data], float)
     x = np.c_[np.log(s[:, 1] / s[:, 0]), np.sqrt(s[:, 2] / s[:, 1]), s[:, 3] / 1, s[:, 4] / s[:, 0]]
-    floor = np.array(q.FLOORS) ** 2
     med = lambda v: np.sort(v, axis=0)[int(np.ceil(0.5 * len(v))) - 1]
-    m = med(x)
-    cov = np.diag((1.4826 * med(np.abs(x - m))) ** 2 + floor)
-    for step in range(4):
-        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        if step < 3:
-            bins = np.floor(np.log(d2 + 1e-6) * 32)
-            core = bins <= np.sort(bins)[int(np.ceil(0.75 * len(x))) - 1]
-            scale = q._consistency(0.75)
-        else:
-            core, scale = d2 <= chi2_4_quantile(0.975), q._consistency(0.975)
-        m, c = x[core].mean(0), np.cov(x[core].T, bias=True) * scale
-        cov = c + np.diag(floor)
-    want = np.sqrt(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m))
-    assert np.allclose([found[i].distance for i in group], want, rtol=1e-6)
+    moments = lambda v: np.c_[v.mean(0), v.T @ v / len(v)]
+
+    def estimate(v, whole, scale):
+        m = moments(v)
+        if whole is not None:
+            m = (len(v) * m + prior * moments(whole)) / (len(v) + prior)
+        return m[:, 0], (m[:, 1:] - np.outer(m[:, 0], m[:, 0])) * scale + np.diag(floor)
+
+    def drawn(own, n, pooled):
+        return own if pooled is None else (n * own + prior * pooled) / (n + prior)
+
+    def fitted(v, pooled):
+        """The last estimate, and of each start and step the rows that it used."""
+        steps, n = {}, len(v)
+        c = steps["c"] = drawn(med(v), n, pooled and pooled["c"])
+        a = drawn(med(np.abs(v - c)), n, pooled and pooled["a"])
+        steps["a"], sd = a, np.sqrt((1.4826 * a) ** 2 + floor)
+        y = steps["y"] = np.tanh((v - c) / sd)
+        m = drawn(moments(y), n, pooled and moments(pooled["y"]))
+        cov = m[:, 1:] - np.outer(m[:, 0], m[:, 0])
+        ends = []
+        for start in (1, 2):
+            corr = np.eye(4) if start == 1 else cov / np.sqrt(np.maximum(np.outer(np.diag(cov), np.diag(cov)), 1e-12))
+            np.fill_diagonal(corr, 1)
+            mean, scatter = c, corr * np.outer(sd, sd)
+            for step in range(12):
+                d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(scatter), v - mean)
+                bins = np.floor(np.log(d2 + 1e-6) * 32)
+                core = steps[start, step] = v[bins <= np.sort(bins)[int(np.ceil(0.75 * n)) - 1]]
+                mean, scatter = estimate(core, pooled and pooled[start, step], q._consistency(0.75))
+            ends.append((np.linalg.slogdet(scatter)[1] / 2, start, mean, scatter))
+        _, _, mean, scatter = min(ends, key=lambda e: e[:2])
+        d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(scatter), v - mean)
+        steps["last"] = v[d2 <= chi2_4_quantile(0.975)]
+        return steps, estimate(steps["last"], pooled and pooled["last"], q._consistency(0.975))
+
+    whole, _ = fitted(x, None)
+    for lang, source in (("en", "src0"), ("en", "src1"), ("xx", "few")):
+        group = [i for i, _, la, so in data if (la, so) == (lang, source)]
+        _, (m, cov) = fitted(x[group], whole)
+        want = np.sqrt(np.einsum("ij,jk,ik->i", x[group] - m, np.linalg.inv(cov), x[group] - m))
+        assert np.allclose([found[i].distance for i in group], want, rtol=1e-3)
+
+
+def test_estimates_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(rows_of(300), "doc_id long, text string, lang string, source string")
+    want = sorted(map(str, quality_rules(df).drop("distance").collect()))
+    monkeypatch.setattr("pointweave.llm.quality_rules.MOST_BROADCAST", 0)
+    assert sorted(map(str, quality_rules(df).drop("distance").collect())) == want
 
 
 def test_quality_rules_edges(spark):
