@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,47 +115,63 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "context", "doc_id", "lo", "hi", "at", "again"])
 
 
+def _flat(column: pa.Array, at: int, end: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row of each element, fields) of rows at .. end of a column of arrays of structs, without an object per element."""
+    part = column.slice(at, end - at)
+    lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(False)
+    flat = part.flatten()
+    fields = {f.name: flat.field(k).to_numpy(False) for k, f in enumerate(flat.type)}
+    return np.repeat(np.arange(len(part)), lengths), fields
+
+
+def _ranges(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - lengths), lengths)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every run to compare, the bytes of its windows, in two parts by the side of the anchor that they share.
 
     Runs of hot anchors give a row for each window instead: windows 0, no bytes, and the hash of its 100 bytes as part.
-    Of a batch's equal windows only the earliest is compared with others; the rest are repeats already, with windows -1
+    Of a slice's equal windows only the earliest is compared with others; the rest are repeats already, with windows -1
     and parts that scatter them.
     """
+    names = ["part", "doc_id", "lo", "windows", "bytes"]
     for batch in batches:
-        found: list[tuple] = []
-        single: list[tuple[int, int, int]] = []
-        for row in range(batch.num_rows):
-            runs = [r for r in (batch.column("runs")[row].as_py() or []) if not r["again"]]
-            if not runs:
+        ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+        for at, end, data, offsets in text_slices(batch.column("text")):
+            rows, runs = _flat(batch.column("runs"), at, end)
+            # Runs of another text of the same doc_id may reach beyond this one.
+            used = np.flatnonzero(~runs["again"].astype(bool) & (runs["hi"] + LENGTH <= (offsets[1:] - offsets[:-1])[rows])) if len(rows) else rows
+            if not len(used):
                 continue
-            text, doc = (batch.column("text")[row].as_py() or "").encode(), batch.column("doc_id")[row].as_py()
-            for r in runs:
-                if r["hi"] + LENGTH > len(text):
-                    continue
-                if r["hot"]:
-                    single += [(hash_bytes(text[p : p + LENGTH], 2), doc, p) for p in range(r["lo"], r["hi"] + 1)]
-                    continue
-                cut = r["at"] - NEAR
-                for side, lo, hi in ((0, max(r["lo"], cut), r["hi"]), (1, r["lo"], min(r["hi"], cut - 1))):
-                    if lo <= hi:
-                        shared = text[r["at"] : r["at"] + LENGTH - NEAR] if side == 0 else text[cut - 1 : r["at"] + GRAM]
-                        found.append((hash_bytes(shared, side), doc, lo, hi - lo + 1, text[lo : hi + LENGTH]))
-        last = None
-        for part, doc, lo in sorted(set(single)):
-            again = part == last
-            found.append((hash_bytes(b"%d %d" % (doc, lo), 3) if again else part, doc, lo, -1 if again else 0, b""))
-            last = part
-        if found:
-            columns = list(zip(*found, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["part", "doc_id", "lo", "windows", "bytes"])
-
-
-def hash_bytes(value: bytes, salt: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(value, salt) - (1 << 63)
+            rows, lo, hi, place, hot = rows[used], *(runs[k][used].astype(np.int64) for k in ("lo", "hi", "at")), runs["hot"][used].astype(bool)
+            total, base, doc = _prefix_hashes(data), offsets[rows], ids[at:end][rows].astype(np.int64)
+            cut = place - NEAR
+            for side, first, last in ((0, np.maximum(lo, cut), hi), (1, lo, np.minimum(hi, cut - 1))):
+                k = np.flatnonzero((first <= last) & ~hot)
+                shared = (base + place, base + place + LENGTH - NEAR) if side == 0 else (base + cut - 1, base + place + GRAM)
+                part = mix(_string_hashes(total, shared[0][k], shared[1][k]) + U64(side))
+                size = last[k] - first[k] + LENGTH
+                body = pa.py_buffer(data[_ranges((base + first)[k], size)].tobytes())
+                ends = pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes())
+                columns = [pa.array(part.view(np.int64)), pa.array(doc[k]), pa.array(first[k].astype(np.int32)), pa.array((size - LENGTH + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(k), [None, ends, body])], names=names)
+            if hot.any():
+                k = np.flatnonzero(hot)
+                count = hi[k] - lo[k] + 1
+                start, owner = _ranges(lo[k], count), np.repeat(doc[k], count)
+                left = np.repeat(base[k], count) + start
+                part = mix(_string_hashes(total, left, left + LENGTH) + U64(2))
+                order = np.lexsort((start, owner, part))
+                part, owner, start = part[order], owner[order], start[order]
+                again = np.r_[False, part[1:] == part[:-1]]
+                # Repeated rows of a doc_id are one document: its equal places are one place.
+                again &= ~np.r_[False, (owner[1:] == owner[:-1]) & (start[1:] == start[:-1])]
+                part = np.where(again, mix(owner.astype(U64) * U64(31) + start.astype(U64)), part)
+                columns = [pa.array(part.view(np.int64)), pa.array(owner), pa.array(start.astype(np.int32)), pa.array(-again.astype(np.int32)), pa.array([b""] * len(part), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def common_prefix_intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -283,29 +300,32 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        for row in range(batch.num_rows):
-            text = (batch.column("text")[row].as_py() or "").encode()
-            spans = [(r["lo"], r["hi"] + LENGTH) for r in (batch.column("runs")[row].as_py() or []) if r["again"]]
-            spans += [(s["start"], s["end"]) for s in (batch.column("spans")[row].as_py() or [])]
-            kept, merged, at = [], [], 0
-            for a, b in sorted(spans):
-                a, b = min(a, len(text)), min(b, len(text))
-                if b <= a:
-                    continue
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                kept.append(text[at:a])
-                at = b
-            kept = b"".join([*kept, text[at:]])
-            out.append((batch.column("doc_id")[row].as_py(), len(text), len(text) - len(kept), len(merged), kept, merged))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+        for at, end, data, offsets in text_slices(batch.column("text")):
+            size = np.diff(offsets)
+            (r1, runs), (r2, spans) = _flat(batch.column("runs"), at, end), _flat(batch.column("spans"), at, end)
+            again = runs["again"].astype(bool)
+            row = np.concatenate([r1[again], r2])
+            a = np.minimum(np.concatenate([runs["lo"][again], spans["start"]]).astype(np.int64), size[row])
+            b = np.minimum(np.concatenate([runs["hi"][again] + LENGTH, spans["end"]]).astype(np.int64), size[row])
+            some = b > a
+            row, a, b = row[some], a[some] + offsets[row[some]], b[some] + offsets[row[some]]
+            order = np.lexsort((a, row))
+            row, a, b = row[order], a[order], b[order]
+            # Spans that touch or overlap are one; spans of different texts never meet.
+            top = np.maximum.accumulate(b) if len(b) else b
+            opens = np.flatnonzero(np.r_[True, (a[1:] > top[:-1]) | (row[1:] != row[:-1])]) if len(b) else np.zeros(0, np.int64)
+            a, b, row = a[opens], top[np.r_[opens[1:], len(top)] - 1] if len(b) else b, row[opens]
+            gone = np.zeros(len(data) + 1, np.int32)
+            gone[a] += 1
+            gone[b] -= 1
+            gone = np.cumsum(gone[:-1]) > 0
+            removed = np.r_[0, np.cumsum(gone)][offsets]
+            kept = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer((offsets - removed).astype(np.int32).tobytes()), pa.py_buffer(data[~gone].tobytes())])
+            ends = np.searchsorted(row, np.arange(end - at + 1)).astype(np.int32)
+            pairs = pa.array(np.stack([a - offsets[row], b - offsets[row]], 1).ravel().astype(np.int32))
+            merged = pa.ListArray.from_arrays(pa.array(ends), pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2, dtype=np.int32)), pairs))
+            columns = [batch.column("doc_id").slice(at, end - at), pa.array(size), pa.array(np.diff(removed)), pa.array(np.diff(ends).astype(np.int64)), kept, merged]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
