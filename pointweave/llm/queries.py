@@ -13,7 +13,7 @@ from pointweave.llm.quality_model import classify
 from pointweave.llm.quality_rules import quality_rules
 from pointweave.llm.repeats import repeat_report
 from pointweave.llm.secrets import secret_report
-from pointweave.llm.sharding import assign_shards
+from pointweave.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
 from pointweave.llm.shared import read
 
 
@@ -49,9 +49,12 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(256)]
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return assign_shards(docs, "doc_id", [f"shard-{k:03d}" for k in range(256)])
+    return assign_shards(docs, "doc_id", SHARDS)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,13 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
+#: The filled table is a constant of the statement; a test compares its filling with a plain one.
+OP7_SQL = f"""
+WITH t AS (SELECT string_split('{",".join(SHARDS[k] for k in lookup_table(SHARDS))}', ',') AS shards),
+d AS (SELECT doc_id, source, n_chars, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) % {TABLE_SIZE} AS slot FROM documents)
+SELECT doc_id, source, n_chars, slot, shards[slot + 1] AS shard FROM d, t
+"""
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_embeddings": op2_embeddings,
@@ -108,4 +118,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op7_shard_documents": OP7_SQL}

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as pipeline
 from pointweave.llm.mixing import hash_threshold_mix, source_targets
 from pointweave.llm.pieces import PieceModel, encode_texts
-from pointweave.llm.queries import OP4_SQL, public_tokenizer
+from pointweave.llm.queries import OP4_SQL, OP7_SQL, SHARDS, public_tokenizer
 from pointweave.llm.sharding import assign_shards, lookup_table
 
 MODEL = public_tokenizer("piece_bpe_32k.model")
@@ -114,6 +114,53 @@ def test_shards_are_even_and_stable(spark):
     assert assign_shards(spark.createDataFrame([], "id long"), "id", shards, 4099).count() == 0
 
 
+def test_shards_equal_sql_and_a_plain_filling(spark):
+    from hashlib import blake2b
+
+    number = lambda s, salt: int.from_bytes(blake2b(f"{salt}:{s}".encode(), digest_size=8).digest(), "big")
+    for names, size in ((["b", "a", "c"], 11), ([f"n{k}" for k in range(7)], 101)):
+        orders = {s: [(number(s, "offset") % size + i * (number(s, "skip") % (size - 1) + 1)) % size for i in range(size)] for s in names}
+        owner = {}
+        while len(owner) < size:
+            for s in sorted(names):
+                free = [slot for slot in orders[s] if slot not in owner]
+                if free:
+                    owner[free[0]] = s
+        assert [names[k] for k in lookup_table(names, size)] == [owner[slot] for slot in range(size)]
+    rows = [(k, f"s{k % 3}", k) for k in range(3000)] + [(None, None, 1), (5, "s", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    got = sorted(map(str, (tuple(r) for r in assign_shards(df, "doc_id", SHARDS).select("doc_id", "source", "n_chars", "slot", "shard").collect())))
+    assert got == sorted(map(str, con.sql(OP7_SQL).fetchall()))
+
+
+def test_near_dedup_keeps_one_row_of_repeated_documents(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, text, "en", "s", 1), (4, text, "en", "s", 1), (9, text + " x", "en", "s", 1), (5, None, None, None, None), (5, None, None, None, None)]
+    rows += [(6, "b c", "en", "s", 1), (6, "a", "en", "t", 2), (None, "", "en", "s", 0), (None, "", "en", "s", 0), (7, "", None, "s", 0)]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id long")
+    found = pipeline.near_dedup(spark, df, "")
+    assert found.columns == list(pipeline.COLUMNS)
+    kept = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in found.collect()), key=str)
+    assert kept == sorted([(4, text), (5, None), (6, "a"), (-1, ""), (-1, ""), (7, "")], key=str)
+
+
+def test_pipeline_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept int, spans string, copies int, h1 int"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", None, 0), (None, "x y", "en", "s", 3), (3, "long " * 100_000, "en", "s", 5)]
+    for rows in ([], [(*r, 0, "z", 1, 1) for r in odd]):
+        df = spark.createDataFrame(rows, columns)
+        for name, stage in pipeline.STAGES:
+            df = stage(spark, df, str(tmp_path))
+            assert name == "encode" or df.columns == list(pipeline.COLUMNS)
+        assert df.count() <= len(rows) * 3
+        if not rows:
+            assert df.count() == 0
+
+
 def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
