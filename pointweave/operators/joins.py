@@ -55,6 +55,14 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left
     return near.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "bucket")
 
 
+def recent(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, reach: int) -> DataFrame:
+    """Pairs of left rows and the right rows before them by at most ``reach``: an equi-join on by and time bucket."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("long")
+    spread = left.withColumn("bucket", F.explode(F.array(bucket(left_t) - 1, bucket(left_t))))
+    pairs = spread.join(right.withColumn("bucket", bucket(right_t)), [*by, "bucket"]).drop("bucket")
+    return pairs.where((F.col(right_t) < F.col(left_t)) & (F.col(left_t) - F.col(right_t) <= reach))
+
+
 def latest_before(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, reach: int) -> DataFrame:
     """left plus value: that of the newest right row not after it and at most ``reach`` old; null if there is none.
 

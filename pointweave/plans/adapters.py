@@ -76,3 +76,13 @@ TRACKS = f"""{TICKS}, tracks AS (
   SELECT user_id, event_type, CAST(floor((t_us - 1704067200000000) / 21600000000) AS INTEGER) AS frame, min(t_us) AS stamp_us,
          sum(v_cent) % 3 > 0 AS base, sum(v_cent) % 4 > 0 AS temporal
   FROM ticks GROUP BY 1, 2, 3)"""
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, t, x, y: where and when each frame was taken, on a walk over the scene that returns to its places."""
+    frame = points(spark, sf_dir).select(F.col("frame").cast("long").alias("frame")).distinct()
+    return frame.select(F.col("frame").alias("id"), F.col("frame").alias("t"), (F.pmod(F.col("frame") * 7919, F.lit(80)) * 1000).alias("x"), (F.pmod(F.col("frame") * 31, F.lit(40)) * 1000).alias("y"))
+
+
+PLACES = """places AS (SELECT DISTINCT CAST(frame AS BIGINT) AS id, (CAST(frame AS BIGINT) * 7919) % 80 * 1000 AS x, (CAST(frame AS BIGINT) * 31) % 40 * 1000 AS y FROM points),
+loops AS (SELECT a.id AS i, b.id AS j FROM places a JOIN places b ON b.id > a.id + 3 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 900000000)"""

@@ -63,7 +63,7 @@ def unwrapped_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TICKS}, d AS (SELECT event_id, user_id, t_us, v_cent % 3600 AS a FROM ticks), b AS (SELECT *, CASE WHEN lag(a) OVER w - a > 1800 THEN 1 ELSE 0 END AS k FROM d WINDOW w AS (PARTITION BY user_id ORDER BY t_us))
 SELECT event_id, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY t_us) AS BIGINT) AS ring FROM b""")
 def ring_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN05, FLT18."""
+    """WIN05."""
     d = ticks(spark, sf_dir).select("event_id", "user_id", "t_us", F.pmod("v_cent", F.lit(3600)).alias("a"))
     return ordered.ring_breaks(d, ["user_id"], "t_us", "a", 1800).select("event_id", "ring")
 
@@ -258,7 +258,7 @@ def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, b AS (SELECT frame, min(pt) AS lo, max(pt) AS hi FROM points WHERE w_micro >= 950000 GROUP BY frame HAVING count(*) >= 100)
 SELECT p.frame, p.pt, CAST(least(greatest(trunc((pt - lo) / CAST(hi - lo AS DOUBLE) * 128), 0), 127) AS INTEGER) AS bin FROM points p JOIN b ON p.frame = b.frame""")
 def deskew_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ24, PRJ04, FLT02, FLT03: time bins between the first and last kept point; frames with under 100 kept points go."""
+    """PRJ24, FLT02, FLT03: time bins between the first and last kept point; frames with under 100 kept points go."""
     p = points(spark, sf_dir)
     b = p.where("w_micro >= 950000").groupBy("frame").agg(F.min("pt").alias("lo"), F.max("pt").alias("hi"), F.count("*").alias("n")).where("n >= 100")
     at = ((F.col("pt") - F.col("lo")) / (F.col("hi") - F.col("lo")).cast("double") * 128).cast("int")
@@ -269,10 +269,10 @@ def deskew_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("a"), F.slice(F.col("embedding").cast("array<double>"), 17, 16).alias("b"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 32).alias("a"), F.slice(F.col("embedding").cast("array<double>"), 33, 32).alias("b"))
 
 
-VECTORS = "v AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[17:32], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)"
+VECTORS = "v AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)"
 SOFT = f"""{VECTORS}, e AS (SELECT vec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS p, list_transform(b, lambda x: exp(x - list_max(b))) AS q FROM v),
 s AS (SELECT vec_id, list_transform(p, lambda x: x / list_sum(p)) AS p, list_transform(q, lambda x: x / list_sum(q)) AS q FROM e)"""
 
@@ -382,17 +382,19 @@ def revision_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS} SELECT frame, pt, (CASE WHEN abs(y_mm) < x_mm THEN 1 ELSE 0 END | CASE WHEN z_mm < 1000 THEN 2 ELSE 0 END | CASE WHEN cls = pred THEN 4 ELSE 0 END | CASE WHEN x_mm * x_mm + y_mm * y_mm < 2500000000 THEN 8 ELSE 0 END) AS flags
 FROM points WHERE frame % 10 = 5 AND gt <> -1 AND w_micro >= 930000""")
 def filter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BIT01, FLT04, FLT05, FLT08, FLT13: clauses as bit flags over the held-out frames."""
-    from pointweave.operators.filters import bit_flags
+    """BIT01, FLT04, FLT05, FLT08, FLT13: clauses as bit flags over the held-out frames, which a specification selects."""
+    from pointweave.operators.filters import bit_flags, compiled
 
     clauses = [F.abs("y_mm") < F.col("x_mm"), F.col("z_mm") < 1000, F.col("cls") == F.col("pred"), F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm") < 2_500_000_000]
-    p = points(spark, sf_dir).where((F.pmod("frame", F.lit(10)) == 5) & (F.col("gt") != -1) & (F.col("w_micro") >= 930_000))
+    spec = {"held_out": True, "labelled": True, "confident": True, "near": False}
+    known = {"held_out": F.pmod("frame", F.lit(10)) == 5, "labelled": F.col("gt") != -1, "confident": F.col("w_micro") >= 930_000, "near": clauses[3]}
+    p = points(spark, sf_dir).where(compiled(spec, known))
     return p.select("frame", "pt", bit_flags(clauses).alias("flags"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, lpad(CAST(event_id AS VARCHAR), 6, '0') AS stem, sha256(props) AS digest, regexp_matches(event_type, '^[a-f]+$') AS is_hex FROM events""")
 def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSN01-03, STR01-03: JSON fields, padded stems, content hashes, patterns."""
+    """STR01-03: JSON fields, padded stems, content hashes, patterns."""
     e = table(spark, sf_dir, "events")
     props = F.from_json("props", "k long", {"mode": "FAILFAST"})
     return e.select("event_id", props["k"].alias("k"), F.lpad(F.col("event_id").cast("string"), 6, "0").alias("stem"), F.sha2("props", 256).alias("digest"), F.col("event_type").rlike("^[a-f]+$").alias("is_hex"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
-from pointweave.operators import objects, ordered, scoring
-from pointweave.plans.adapters import POINTS, TICKS, key_sql, points, ticks
+from pointweave.operators import joins, objects, ordered, scoring
+from pointweave.plans.adapters import PLACES, POINTS, TICKS, key_sql, places, points, ticks
 from pointweave.plans.queries import query
 from pointweave.streaming import machines
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT frame, pt AS id, (x_mm + 50000) / 10000.0 AS u, (y_mm + 25000) / 10000.0 AS v FROM points WHERE pt % 10 = 0),
+@query(f"""WITH {POINTS}, s AS (SELECT frame, pt AS id, (x_mm + 50000) / 10000.0 AS u, (y_mm + 25000) / 10000.0 AS v FROM points),
 f AS (SELECT frame, CAST(floor((x_mm + 50000) / 10000.0) AS INTEGER) AS iu, CAST(floor((y_mm + 25000) / 10000.0) AS INTEGER) AS iv, cls, CAST(count(*) AS DOUBLE) AS p FROM points GROUP BY ALL),
 c AS (SELECT frame, id, least(greatest(CAST(floor(u) AS INTEGER) + a, 0), 9) AS iu, least(greatest(CAST(floor(v) AS INTEGER) + b, 0), 4) AS iv,
   (CASE WHEN a = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN b = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w FROM s, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b)),
@@ -22,7 +22,7 @@ def bilinear_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ19: a probability field sampled between its places, argmax after."""
     p = points(spark, sf_dir).withColumns({"u": (F.col("x_mm") + 50000) / 10000.0, "v": (F.col("y_mm") + 25000) / 10000.0})
     field = p.groupBy("frame", F.floor("u").cast("int").alias("iu"), F.floor("v").cast("int").alias("iv"), "cls").agg(F.count("*").cast("double").alias("p"))
-    return objects.bilinear(p.where("pt % 10 = 0").select("frame", F.col("pt").alias("id"), "u", "v"), field, 10, 5)
+    return objects.bilinear(p.select("frame", F.col("pt").alias("id"), "u", "v"), field, 10, 5)
 
 
 @query(f"""WITH {POINTS}, m AS (SELECT DISTINCT frame, CAST(floor(x_mm / 10000.0) AS BIGINT) AS u, CAST(floor(y_mm / 10000.0) AS BIGINT) AS v, CAST(floor(x_mm / 60000.0) AS BIGINT) AS id FROM points),
@@ -47,23 +47,21 @@ def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARR14: softmax over a query's candidates, explicit rows for queries without any."""
     t = ticks(spark, sf_dir)
     q = t.where("event_type = 'click'").select(F.col("event_id").alias("q"), "user_id", F.col("t_us").alias("tq"))
-    near = q.join(t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("k"), "t_us"), "user_id").where("t_us < tq AND tq - t_us <= 172800000000")
+    near = joins.recent(q, t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("k"), "t_us"), ["user_id"], "tq", "t_us", 172_800_000_000)
     out = objects.attention(q, near.select("q", "k", "tq", "t_us"), "q", -(F.col("tq") - F.col("t_us")) / 86_400_000_000.0)
     return out.select("q", "k", F.floor(F.col("weight") * 1_000_000 + 0.5).cast("long").alias("weight"))
 
 
-DESCRIPTOR = f"""{POINTS}, d AS (SELECT frame, CAST(pt % 12 AS INTEGER) AS sector, CAST(cls % 5 AS INTEGER) AS ring, max(z_mm + 3000) AS h FROM points WHERE frame % 6 = 0 GROUP BY ALL), n AS (SELECT frame, sector, sum(h * h) AS hh FROM d GROUP BY ALL),
-x AS (SELECT a.frame AS i, b.frame AS j, a.sector AS sa, b.sector AS sb, (a.sector - b.sector + 12) % 12 AS shift, sum(a.h * b.h) AS ab FROM d a JOIN d b ON b.frame > a.frame AND a.ring = b.ring GROUP BY ALL)"""
+DESCRIPTOR = f"""{POINTS}, {PLACES}, d AS (SELECT frame, CAST(pt % 12 AS INTEGER) AS sector, CAST(cls % 5 AS INTEGER) AS ring, max(z_mm + 3000) AS h FROM points GROUP BY ALL), n AS (SELECT frame, sector, sum(h * h) AS hh FROM d GROUP BY ALL),
+x AS (SELECT a.frame AS i, b.frame AS j, a.sector AS sa, b.sector AS sb, (a.sector - b.sector + 12) % 12 AS shift, sum(a.h * b.h) AS ab FROM d a JOIN loops ON a.frame = loops.i JOIN d b ON b.frame = loops.j AND a.ring = b.ring GROUP BY ALL)"""
 
 
 @query(f"""WITH {DESCRIPTOR}, p AS (SELECT i, j, shift, CAST(sum(CAST(floor((1 - ab / (sqrt(CAST(na.hh AS DOUBLE)) * sqrt(CAST(nb.hh AS DOUBLE)))) * 1000000 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS distance FROM x JOIN n na ON na.frame = i AND na.sector = sa JOIN n nb ON nb.frame = j AND nb.sector = sb GROUP BY ALL)
 SELECT i, j, distance, CAST(shift AS INTEGER) AS shift FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY distance, shift) AS place FROM p) WHERE place = 1""")
 def yaw_shift_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARR10, GRF (loop search): the turn that brings two descriptors closest."""
-    p = points(spark, sf_dir).where("frame % 6 = 0")
-    d = p.groupBy("frame", F.pmod("pt", F.lit(12)).alias("sector"), F.pmod("cls", F.lit(5)).alias("ring")).agg(F.max(F.col("z_mm") + 3000).alias("h"))
-    frames = d.select("frame").distinct()
-    pairs = frames.select(F.col("frame").alias("i")).join(frames.select(F.col("frame").alias("j")), F.col("j") > F.col("i"))
+    """ARR10, GRF (loop search): the turn that brings two descriptors closest, of all sweeps near in place and apart in time."""
+    d = points(spark, sf_dir).groupBy("frame", F.pmod("pt", F.lit(12)).alias("sector"), F.pmod("cls", F.lit(5)).alias("ring")).agg(F.max(F.col("z_mm") + 3000).alias("h"))
+    pairs = joins.loop_candidates(places(spark, sf_dir), 30_000, 3, 900_000_000).select("i", "j")
     return objects.yaw_distance(d, pairs, 12)
 
 
@@ -144,20 +142,24 @@ def hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SOL01, GRF04: each frame's points of one class against a shifted copy."""
-    p = points(spark, sf_dir).where("cls = 4").select(F.col("frame").cast("long").alias("pair"), *((F.col(f"{a}_mm") / 1000.0).alias(a) for a in "xyz"))
+    """SOL01, GRF04: each object's points, of one frame and class, against a shifted copy, and whether the result is accepted."""
+    pair = F.col("frame").cast("long") * 16 + F.col("cls")
+    p = points(spark, sf_dir).select(pair.alias("pair"), *((F.col(f"{a}_mm") / 1000.0).alias(a) for a in "xyz"))
     both = p.withColumn("side", F.lit(0)).unionByName(p.withColumns({"x": F.col("x") + 0.3, "y": F.col("y") - 0.2, "side": F.lit(1)}))
-    return objects.registered(both).select("pair", "shift", "fitness", "error")
+    found = objects.registered(both)
+    return found.select("pair", "shift", "fitness", "error", objects.accepted(0.6, 0.3, 2.0).alias("accepted"))
 
 
 @query()
 def greedy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN18: detections linked frame by frame to the nearest open track."""
-    d = points(spark, sf_dir).groupBy("frame", "cls").agg(F.avg("x_mm").alias("x"), F.avg("y_mm").alias("y")).withColumn("k", F.pmod("cls", F.lit(4)))
-    return objects.greedy_tracks(d.select("k", "frame", F.col("cls").alias("id"), "x", "y"), ["k"], 9000.0).select("k", "frame", "id", "track")
+    """WIN18: detections linked frame by frame to the nearest open track, in logs of twenty frames."""
+    d = points(spark, sf_dir).groupBy("frame", "cls").agg(F.avg("x_mm").alias("x"), F.avg("y_mm").alias("y"))
+    d = d.withColumns({"k": F.pmod("cls", F.lit(4)), "log": F.floor(F.col("frame") / 20)})
+    return objects.greedy_tracks(d.select("log", "k", "frame", F.col("cls").alias("id"), "x", "y"), ["log", "k"], 9000.0).select("log", "k", "frame", "id", "track")
 
 
-@query()
+@query(f"""WITH {TICKS}, o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) - 1 AS version FROM ticks)
+SELECT CAST(user_id AS BIGINT) AS user_id, version, NOT (user_id % 5 = 0 AND version >= 7) AS accepted FROM o""")
 def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-06: revisions accepted while versions grow and times extend; a broken one rejects all after it."""
     t = ordered.argsorted(ticks(spark, sf_dir), ["user_id"], ["t_us"], "version")

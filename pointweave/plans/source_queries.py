@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
-from pointweave.operators import filters, ordered
-from pointweave.plans.adapters import POINTS, TICKS, points, table, ticks
+from pointweave.operators import filters, joins, ordered
+from pointweave.plans.adapters import PLACES, POINTS, TICKS, places, points, table, ticks
 from pointweave.plans.queries import query
 from pointweave.sources import readers, sinks
 
@@ -97,17 +97,18 @@ def sweep_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where(filters.spherical(F.col("x_mm"), F.col("y_mm"), F.lit(0), 2000, 30000)).select("frame", "pt")
 
 
-@query(f"""WITH {POINTS}, d AS (SELECT frame, CAST(least(greatest(ceil(sqrt(CAST(x_mm * x_mm + y_mm * y_mm AS DOUBLE)) / 60000 * 20) - 1, 0), 19) AS INTEGER) AS ring, max(z_mm + 3000) AS h FROM points WHERE x_mm * x_mm + y_mm * y_mm <= 3600000000 GROUP BY ALL),
-pr AS (SELECT a.frame AS i, b.frame AS j, sum(a.h * b.h) AS ab FROM d a JOIN d b ON a.ring = b.ring AND b.frame > a.frame + 30 GROUP BY ALL), n AS (SELECT frame, sum(h * h) AS hh FROM d GROUP BY frame)
+@query(f"""WITH {POINTS}, {PLACES}, d AS (SELECT frame, CAST(least(greatest(ceil(sqrt(CAST(x_mm * x_mm + y_mm * y_mm AS DOUBLE)) / 60000 * 20) - 1, 0), 19) AS INTEGER) AS ring, max(z_mm + 3000) AS h FROM points WHERE x_mm * x_mm + y_mm * y_mm <= 3600000000 GROUP BY ALL),
+pr AS (SELECT a.frame AS i, b.frame AS j, sum(a.h * b.h) AS ab FROM d a JOIN loops ON a.frame = loops.i JOIN d b ON b.frame = loops.j AND a.ring = b.ring GROUP BY ALL), n AS (SELECT frame, sum(h * h) AS hh FROM d GROUP BY frame)
 SELECT i, j, CAST(floor((1 - ab / (sqrt(CAST(x.hh AS DOUBLE)) * sqrt(CAST(y.hh AS DOUBLE)))) * 1000000 + 0.5) AS BIGINT) AS distance FROM (SELECT pr.*, row_number() OVER (PARTITION BY j ORDER BY ab / sqrt(CAST(x.hh AS DOUBLE)) / sqrt(CAST(y.hh AS DOUBLE)) DESC, i) AS place FROM pr JOIN n x ON x.frame = i JOIN n y ON y.frame = j) q JOIN n x ON x.frame = i JOIN n y ON y.frame = j WHERE place <= 10""")
 def descriptor_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG20, TOP08, ARR10 (ring key): ten most similar earlier scans by the cosine of their ring heights."""
+    """AGG20, TOP08, ARR10 (ring key): ten most similar earlier scans near in place, by the cosine of their ring heights."""
     p = points(spark, sf_dir).where("x_mm * x_mm + y_mm * y_mm <= 3600000000")
     ring = F.least(F.greatest(F.ceil(F.sqrt((F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm")).cast("double")) / 60000 * 20) - 1, F.lit(0)), F.lit(19)).cast("int")
     d = p.groupBy("frame", ring.alias("ring")).agg(F.max(F.col("z_mm") + 3000).alias("h"))
     n = d.groupBy("frame").agg(F.sum(F.col("h") * F.col("h")).alias("hh"))
     a, b = d.select(F.col("frame").alias("i"), "ring", F.col("h").alias("ha")), d.select(F.col("frame").alias("j"), "ring", F.col("h").alias("hb"))
-    pairs = a.join(b, "ring").where("j > i + 30").groupBy("i", "j").agg(F.sum(F.col("ha") * F.col("hb")).alias("ab"))
+    loops = joins.loop_candidates(places(spark, sf_dir), 30_000, 3, 900_000_000).select("i", "j")
+    pairs = loops.join(a, "i").join(b, ["j", "ring"]).groupBy("i", "j").agg(F.sum(F.col("ha") * F.col("hb")).alias("ab"))
     pairs = pairs.join(n.toDF("i", "ni"), "i").join(n.toDF("j", "nj"), "j")
     ni, nj = F.sqrt(F.col("ni").cast("double")), F.sqrt(F.col("nj").cast("double"))
     order = W.partitionBy("j").orderBy(F.desc(F.col("ab") / ni / nj), "i")

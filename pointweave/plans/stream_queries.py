@@ -61,7 +61,7 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT (l_partkey - 1000) * 50 AS x_mm, (l_suppkey - 50) * 500 AS y_mm, (CAST(l_quantity AS BIGINT) - 25) * 100 AS z_mm, CAST((l_partkey + l_linenumber) % 16 AS INTEGER) AS cls, 1000000 - CAST(round(l_discount * 100) AS BIGINT) * 10000 AS w_micro FROM lineitem) GROUP BY ALL)
 SELECT key, cls, w, n FROM k""")
 def stream_vote_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-05, STM-16, STM-17: the vote table kept up to date by micro-batches, each version whole before it counts."""
+    """STM-05, STM-16: the vote table kept up to date by micro-batches, each version whole before it counts."""
     line = runs.stream_of(spark, sf_dir, "lineitem")
     rows = line.select(
         G.voxel_key((F.col("l_partkey") - 1000) * 50, (F.col("l_suppkey") - 50) * 500, (F.col("l_quantity").cast("long") - 25) * 100, 2000).alias("key"),
@@ -104,11 +104,35 @@ SELECT b.user_id, b.event_id, CAST(coalesce(r.evidence, 0) AS BIGINT) AS evidenc
 
 @query(stream_sql_ledger())
 def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-10, STM-11, STM-15, FLT15: three newest raw votes, valid up to a day inclusive, read before the row's own is written."""
+    """STM-15, FLT15: three newest raw votes, valid up to a day inclusive, read before the row's own is written."""
     t = ticks(spark, sf_dir).select("user_id", "event_id", "t_us", F.pmod("v_cent", F.lit(4)).alias("label"))
     return machines.fold(t, ["user_id"], ["t_us"], lambda: machines.Ledger("user_id", 3, DAY), "user_id long, event_id long, evidence long, label int")
 
 
+@query(ORACLE_SQL["causal_pose_buffer"])
+def stream_pose_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-02 in a stream: the buffer lives in each key's state."""
+    t = _event_stream(spark, sf_dir).where("event_type IN ('purchase', 'click')").withColumn("kind", F.when(F.col("event_type") == "purchase", "pose").otherwise("query"))
+    out = machines.fold_stream(t.select("user_id", "event_id", "t_us", "v_cent", "kind"), ["user_id"], ["t_us"], lambda: machines.PoseBuffer("user_id", DAY), "user_id long, event_id long, mode string, v long")
+    return runs.append_all(out, "poses")
+
+
+@query(ORACLE_SQL["session_restarts"])
+def stream_session_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-13 in a stream."""
+    t = _event_stream(spark, sf_dir).select("user_id", "event_id", "t_us", F.col("event_type").alias("session"))
+    out = machines.fold_stream(t, ["user_id"], ["t_us"], lambda: machines.Sessions("user_id"), "user_id long, event_id long, session string, accepted boolean")
+    return runs.append_all(out, "restarts")
+
+
+@query(ORACLE_SQL["evidence_ledger"])
+def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-15 in a stream."""
+    t = _event_stream(spark, sf_dir).select("user_id", "event_id", "t_us", F.pmod("v_cent", F.lit(4)).alias("label"))
+    out = machines.fold_stream(t, ["user_id"], ["t_us"], lambda: machines.Ledger("user_id", 3, DAY), "user_id long, event_id long, evidence long, label int")
+    return runs.append_all(out, "evidence")
+
+
 @query()
 def instance_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-08, EVL09: the instance state machine over observations; its rules are tested on small fixtures."""
@@ -119,12 +143,23 @@ def instance_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.fold(rows, ["user_id"], ["t", "track"], lambda: machines.Instances("user_id"), "user_id long, track int, t double, epoch int, reason string, label int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT DISTINCT frame, cls, {key_sql('x_mm', 'y_mm', 'z_mm', 2500)} AS key, CAST(floor(x_mm / 2500.0) AS BIGINT) AS x, CAST(floor(y_mm / 2500.0) AS BIGINT) AS y, CAST(floor(z_mm / 2500.0) AS BIGINT) AS z FROM points),
+e AS (SELECT a.frame, a.cls, a.key, b.key AS near FROM c a JOIN c b ON a.frame = b.frame AND a.cls = b.cls AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+r AS (SELECT frame, cls, key, key AS other FROM c UNION SELECT r.frame, r.cls, r.key, e.near FROM r JOIN e ON e.frame = r.frame AND e.cls = r.cls AND e.key = r.other),
+l AS (SELECT frame, cls, key, min(other) AS cluster FROM r GROUP BY ALL)
+SELECT frame, cls, cluster, count(*) AS cells, max(x) - min(x) + 1 AS extent_x, max(y) - min(y) + 1 AS extent_y, max(z) - min(z) + 1 AS extent_z FROM l JOIN c USING (frame, cls, key) GROUP BY frame, cls, cluster HAVING count(*) >= 2""")
 def cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF01, FLT19: 26-connected clusters of occupied cells per frame."""
+    """GRF01, FLT19: 26-connected clusters of the cells that each class occupies in a frame."""
     key = G.voxel_key(F.col("x_mm"), F.col("y_mm"), F.col("z_mm"), 2500)
-    found = clusters.connected_cells(points(spark, sf_dir).where("cls IN (1, 2, 3)").select("frame", key.alias("key")), ["frame"])
-    return clusters.cluster_sizes(found, ["frame"], 2)
+    found = clusters.connected_cells(points(spark, sf_dir).select("frame", "cls", key.alias("key")), ["frame", "cls"])
+    return clusters.cluster_sizes(found, ["frame", "cls"], 2)
+
+
+@query()
+def main_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF02: the points of each object's largest connected surface, objects being the points of one class in a frame."""
+    p = points(spark, sf_dir).select("frame", "cls", "pt", *((F.col(f"{a}_mm") / 40000.0).alias(a) for a in "xyz"))
+    return clusters.main_surface(p, ["frame", "cls"], share=0.3)
 
 
 @query()
@@ -153,7 +188,7 @@ def surface_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trajectory_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG41, SOL04: error after rigid alignment of two trajectories, here one turned, shifted and jittered."""
+    """SOL04, AGG41 (ATE): error after rigid alignment of two trajectories, here one turned, shifted and jittered."""
     t = ticks(spark, sf_dir).where("event_type = 'purchase'")
     x, y = F.col("v_cent") / 100.0, (F.col("event_id") % 100).cast("double")
     jitter = F.pmod("v_cent", F.lit(5)) / 50.0

@@ -17,28 +17,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _stepped(machine, rows: pd.DataFrame, order: list[str], columns: list[str]) -> pd.DataFrame:
-    out = [r for row in rows.sort_values(order).to_dict("records") if (r := machine.step(row)) is not None]
+    rows = rows.sort_values(order)
+    each = zip(*(rows[c] for c in rows.columns), strict=True)  # one row at a time, not a dictionary for each
+    out = [r for row in each if (r := machine.step(dict(zip(rows.columns, row, strict=True)))) is not None]
     return pd.DataFrame(out, columns=columns)
 
 
 def fold(rows: DataFrame, by: list[str], order: list[str], make: Callable, schema: str) -> DataFrame:
-    """Batch form: one machine per key over its rows in order."""
+    """Batch form: one machine per key over its rows in order. A key's rows are held in one task: keys are to be bounded."""
     columns = [c.split()[0] for c in schema.split(", ")]
     return rows.groupBy(*by).applyInPandas(lambda pdf: _stepped(make(), pdf, order, columns), schema)
 
 
-def fold_stream(rows: DataFrame, by: list[str], order: list[str], make: Callable, schema: str) -> DataFrame:
-    """Stream form: the machine of a key lives on in its state. Rows of one micro-batch are put in order first."""
+def fold_stream(rows: DataFrame, by: list[str], order: list[str], make: Callable, schema: str, idle: tuple[str, int] | None = None) -> DataFrame:
+    """Stream form: the machine of a key lives on in its state. Rows of one micro-batch are put in order first.
+
+    ``idle`` is a time column, on which rows have a watermark, and milliseconds: a key that the watermark leaves behind
+    by more than these loses its machine, so that state does not grow with keys that are gone for good.
+    """
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = pickle.loads(state.get[0]) if state.exists else make()
         pdf = pd.concat(list(batches))
-        out = _stepped(machine, pdf, order, columns)
+        last = pdf[idle[0]].max() if idle else None
+        out = _stepped(machine, pdf.drop(columns=[idle[0]]) if idle else pdf, order, columns)
         state.update((pickle.dumps(machine),))
+        if idle:
+            until = int(last.timestamp() * 1000) + idle[1]
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return rows.groupBy(*by).applyInPandasWithState(run, schema, "machine binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*by).applyInPandasWithState(run, schema, "machine binary", "append", timeout)
 
 
 class Keyframes:
