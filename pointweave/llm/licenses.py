@@ -20,17 +20,37 @@ GAP, PART = 3, 6
 
 #: Notices of licence families, as commonly published. Several templates of a family are alternatives.
 TEMPLATES = {
+    "agpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "you should have received a copy of the gnu affero general public license along with this program if not see https www.gnu.org licenses",
+        "licensed under the gnu affero general public license version 3",
+        "spdx-license-identifier agpl-3.0-or-later",
+    ],
     "apache": [
         "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license-2.0",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "licensed under the apache license version 2.0",
         "spdx-license-identifier apache-2.0",
     ],
+    "artistic": [
+        "this package is free software you may use modify and redistribute it under the terms of the artistic license 2.0",
+        "you may redistribute it and or modify it under the same terms as perl itself",
+        "spdx-license-identifier artistic-2.0",
+    ],
+    "boost": [
+        "distributed under the boost software license version 1.0 see accompanying file license_1_0.txt or copy at http www.boost.org license_1_0.txt",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+        "spdx-license-identifier bsl-1.0",
+    ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "this software is licensed under the bsd 3-clause license",
+        "licensed under the bsd 2-clause license",
+        "use of this source code is governed by a bsd-style license that can be found in the license file",
         "spdx-license-identifier bsd-3-clause",
+        "spdx-license-identifier bsd-2-clause",
     ],
     "cc": [
         "this work is licensed under a creative commons attribution 4.0 international license to view a copy of this license visit http creativecommons.org licenses by 4.0",
@@ -39,12 +59,44 @@ TEMPLATES = {
         "this text is available under the creative commons attribution sharealike license",
         "spdx-license-identifier cc-by-4.0",
     ],
+    "cc0": [
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+        "spdx-license-identifier cc0-1.0",
+    ],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution and is available at https www.eclipse.org legal epl-2.0",
+        "licensed under the eclipse public license",
+        "spdx-license-identifier epl-2.0",
+    ],
+    "eupl": [
+        "licensed under the eupl version 1.2 or as soon they will be approved by the european commission subsequent versions of the eupl",
+        "licensed under the european union public licence",
+        "spdx-license-identifier eupl-1.2",
+    ],
+    "gfdl": [
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1.3 or any later version published by the free software foundation with no invariant sections no front-cover texts and no back-cover texts",
+        "spdx-license-identifier gfdl-1.3-or-later",
+    ],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "you should have received a copy of the gnu general public license along with this program if not see http www.gnu.org licenses",
         "this work is licensed under the gnu general public license version 3",
         "spdx-license-identifier gpl-3.0-or-later",
+        "spdx-license-identifier gpl-2.0-only",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "released under the isc license",
+        "spdx-license-identifier isc",
+    ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+        "you should have received a copy of the gnu lesser general public license along with this library if not see http www.gnu.org licenses",
+        "licensed under the gnu lesser general public license version 3",
+        "spdx-license-identifier lgpl-3.0-or-later",
+        "spdx-license-identifier lgpl-2.1-only",
     ],
     "mit": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
@@ -54,12 +106,29 @@ TEMPLATES = {
     ],
     "mpl": [
         "this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+        "licensed under the mozilla public license version 2.0",
         "spdx-license-identifier mpl-2.0",
     ],
+    "odbl": [
+        "this database is made available under the open database license any rights in individual contents of the database are licensed under the database contents license",
+        "spdx-license-identifier odbl-1.0",
+    ],
+    "ofl": [
+        "this font software is licensed under the sil open font license version 1.1 this license is copied below and is also available with a faq at https openfontlicense.org",
+        "spdx-license-identifier ofl-1.1",
+    ],
     "reserved": [
         "copyright all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
         "all rights reserved",
     ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means",
+        "spdx-license-identifier unlicense",
+    ],
+    "zlib": [
+        "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "spdx-license-identifier zlib",
+    ],
 }
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 
@@ -273,7 +342,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, least_overlap: int = 2)
     Within paragraphs and across lines, the runs of notices() are judged by themselves, so that no surrounding text
     dilutes them; these are confirmed only if they also hold half of a template's 3-grams, or six. A confirmed paragraph
     stands for the runs of its family in it; unconfirmed entries that overlap a confirmed one are left out.
-    Null and empty texts have none. Other columns pass through; a column named licenses is replaced.
+    Null and empty texts have none. Repeated rows have equal entries; of families as likely the first in the alphabet is
+    taken. A very long text is judged whole, window by window. Other columns pass through; a column named licenses is
+    replaced.
     """
     docs = docs.drop("licenses")
     kind = "array<struct<paragraph:int,start:long,family:string,probability:double,overlap:int,confirmed:boolean>>"

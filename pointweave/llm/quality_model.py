@@ -139,7 +139,9 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> OrdinalModel | None:
     """A model from at most max_rows labelled documents, taken in the order of a hash of doc_id; None without labels.
 
-    Features are made on the executors; of a fitting row only its hashed features reach the one fitting task.
+    Features are made on the executors; of a fitting row only its hashed features reach the one fitting task. Ratings of
+    one doc_id count once, with its worst grade; its rows count as often as they come. Null and empty texts have the
+    features of an empty one; labels without a document, and documents with a null doc_id, train nothing.
     """
     rated = graded(labels)
     total = rated.count()

@@ -307,3 +307,84 @@ def test_many_matches_in_one_text(spark):
     df = spark.createDataFrame([(1, text, 1), (1, text, 2)], "doc_id long, text string, _secret_hex int")
     out = scan_secrets(df).select(F.size("spans").alias("n"), F.length(redact(F.col("text"), F.col("spans"))).alias("left")).collect()
     assert {tuple(r) for r in out} == {(30_000, 9 * 30_000 - 1)}
+
+
+#: Statements of each family that are no template, nor part of one.
+OTHER_WORDINGS = {
+    "mit": "Distributed under the MIT License; see the file LICENSE.", "apache": "This project is licensed under the Apache License, Version 2.0 (see NOTICE).", "gpl": "Our tool is licensed under the GNU General Public License, version 3, as it stands.",
+    "lgpl": "The wrapper is licensed under the GNU Lesser General Public License, version 2.1.", "agpl": "The server is licensed under the GNU Affero General Public License, version 3, only.", "mpl": "That file is subject to the terms of the Mozilla Public License, v. 2.0, as stated in COPYING.",
+    "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted when these hold.", "unlicense": "This is free and unencumbered software released into the public domain by its only author.",
+    "epl": "All accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "boost": "Distributed under the Boost Software License, Version 1.0, without changes.", "zlib": "It is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.",
+    "cc0": "The compiler has waived all copyright and related or neighboring rights to this work.", "ofl": "Our Font Software is licensed under the SIL Open Font License, Version 1.1.", "gfdl": "You may copy this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version.",
+    "odbl": "The map data is made available under the Open Database License.", "eupl": "Licensed under the European Union Public Licence, in all languages.", "artistic": "You may redistribute it under the terms of the Artistic License 2.0, no other.", "cc": "The photographs are licensed under a Creative Commons Attribution 4.0 International License.",
+}
+
+
+def test_license_wordings_that_are_no_template(spark):
+    from pointweave.llm.licenses import FAMILIES, TEMPLATES
+
+    assert len(FAMILIES) > 15 and set(OTHER_WORDINGS) | {"reserved", "unknown"} == set(FAMILIES)
+    plain = lambda t: " ".join(re.findall(r"[a-z0-9.-]+", t.lower()))
+    assert not any(plain(t).strip(".") in known for t in OTHER_WORDINGS.values() for of in TEMPLATES.values() for known in of)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n)) + "."
+    docs = [(k, f"{text(30)}\n{line}\n{text(12)}", f) for k, (f, line) in enumerate(OTHER_WORDINGS.items())]
+    docs += [(100 + k, f"{text(120)} {line} {text(90)}", f) for k, (f, line) in enumerate(OTHER_WORDINGS.items())]
+    docs += [(200 + k, "\n".join(text(20) for _ in range(4)), "") for k in range(100)]
+    docs += [(300, "You may use the copy in the file as you like, without any fee, under the terms of your contract.", ""), (301, "The general public has any rights in this work and is free to view a later version.", "")]
+    ordinary = [w for _, w, _, _ in word_grams(pa.array([text(25) for _ in range(600)]))]
+    found = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, want string"), fit_licenses(ordinary)).collect()
+    got = {r.doc_id: sorted({x.family for x in r.licenses if x.confirmed}) for r in found}
+    wrong = {d: (want, got[d]) for d, _, want in docs if got[d] != ([want] if want else [])}
+    assert all(not got[d] for d, _, want in docs if not want), wrong
+    assert len(wrong) <= 3, wrong
+
+
+def test_ordinal_fit_equals_a_plain_loop():
+    """The same mini-batches, one row and one feature at a time."""
+    rng = np.random.default_rng(3)
+    n, dims = 150, 12
+    y = rng.integers(0, 3, n)
+    rows = [[(int(c), 0.5 + 0.1 * int(c)) for c in sorted({int(y[k]), *(int(v) for v in rng.integers(3, dims, 4))})] for k in range(n)]
+    model = fit([np.array([c for c, _ in r]) for r in rows], [np.array([v for _, v in r]) for r in rows], y, epochs=3, least_rows=1)
+
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
+    w, g2 = [0.0] * dims, [1e-4] * dims
+    freq = [int((y == k).sum()) for k in range(3)]
+    share = [(freq[0] + 1) / (n + 3), (freq[0] + freq[1] + 2) / (n + 3)]
+    theta, t2 = [float(np.log(s / (1 - s))) for s in share], [1e-2, 1e-2]
+    order_of = np.random.default_rng(7)
+    for _ in range(3):
+        order = order_of.permutation(n)
+        for lo in range(0, n, 64):
+            batch = order[lo : lo + 64]
+            grad, d_theta = [1e-4 * x for x in w], [0.0, 0.0]
+            for k in batch:
+                score, grade = sum(w[c] * v for c, v in rows[k]), int(y[k])
+                upper = sigmoid(theta[grade] - score) if grade < 2 else 1.0
+                lower = sigmoid(theta[grade - 1] - score) if grade > 0 else 0.0
+                p = max(upper - lower, 1e-9)
+                scale = np.sqrt(n / (3 * freq[grade])) / len(batch)
+                slope = scale * (upper * (1 - upper) - lower * (1 - lower)) / p
+                for c, v in rows[k]:
+                    grad[c] += v * slope
+                if grade < 2:
+                    d_theta[grade] -= scale * upper * (1 - upper) / p
+                if grade > 0:
+                    d_theta[grade - 1] += scale * lower * (1 - lower) / p
+            for c in range(dims):
+                g2[c] += grad[c] ** 2
+                w[c] -= 0.15 * grad[c] / np.sqrt(g2[c])
+            for j in range(2):
+                t2[j] += d_theta[j] ** 2
+            theta = sorted(theta[j] - 0.1 * d_theta[j] / np.sqrt(t2[j]) for j in range(2))
+    assert np.allclose(model.weights[:dims], w, rtol=1e-4, atol=1e-6) and np.allclose(model.thresholds, theta, rtol=1e-6)
+
+
+def test_repeated_labels_and_documents_train_alike(spark):
+    """Repeated ratings count once, with the worst grade; repeated rows of a document count as often as they come."""
+    from pointweave.llm.quality_model import graded
+
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0), (2, 1, 1), (3, 0, 0), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(tuple(r) for r in graded(labels).collect()) == [(1, 2), (2, 0), (3, 1)]
