@@ -64,12 +64,19 @@ def restored_order(predictions: DataFrame) -> DataFrame:
 
 
 def trajectory(spark: SparkSession, path: str, least_t: float | None = None) -> DataFrame:
-    """t, px, py, pz, qx, qy, qz, qw of a space-separated trajectory; comments go, quaternions are normalised."""
+    """t, px, py, pz, qx, qy, qz, qw of a space-separated trajectory; comments go, quaternions are normalised.
+
+    In the order of t each quaternion is on its predecessor's side. A file is one trajectory, in one sort of its own.
+    """
+    from pointweave.operators.ordered import carried_sign
+
     names = ["t", "px", "py", "pz", "qx", "qy", "qz", "qw"]
     raw = spark.read.option("sep", " ").option("comment", "#").option("mode", "FAILFAST").schema(", ".join(f"{n} double" for n in names)).csv(path)
     norm = F.sqrt(sum((F.col(q) * F.col(q) for q in names[5:]), F.col("qx") * F.col("qx")))
-    out = raw.select("t", "px", "py", "pz", *((F.col(q) / norm).alias(q) for q in names[4:]))
-    return out if least_t is None else out.where(F.col("t") >= least_t)
+    out = raw.select(F.input_file_name().alias("_file"), "t", "px", "py", "pz", *((F.col(q) / norm).alias(q) for q in names[4:]))
+    out = out if least_t is None else out.where(F.col("t") >= least_t)
+    signed = carried_sign(out, ["_file"], "t", names[4:])
+    return signed.select("t", "px", "py", "pz", *((F.col(q) * F.col("sign")).alias(q) for q in names[4:]))
 
 
 def time_ns(text: Column) -> Column:

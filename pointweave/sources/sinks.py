@@ -56,6 +56,12 @@ def write_topics(topics: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("errorifexists").parquet(f"{path}/{name.strip('/').replace('/', '__')}")
 
 
+def write_features(features: DataFrame, path: str, log: str = "log") -> None:
+    """A cache of features, a folder per log, with each log's number of rows beside it; an existing one is an error."""
+    features.write.mode("errorifexists").partitionBy(log).parquet(f"{path}/features")
+    features.groupBy(log).agg(F.count("*").alias("n")).write.mode("errorifexists").parquet(f"{path}/counts")
+
+
 def json_report(rows: DataFrame) -> DataFrame:
     """Rows as JSON text; a NaN or an infinity is an error."""
     bad = F.lit(False)

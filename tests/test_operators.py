@@ -106,10 +106,24 @@ def test_z_buffer_hides_the_far_point(spark):
     assert rows(joins.z_buffer(px, 1, 1), "id", "visible", "edge") == [(1, True, True), (2, False, True), (3, True, False)]
 
 
-def test_points_in_boxes_ambiguity(spark):
-    p = spark.createDataFrame([(0, 1, 0, 0), (0, 2, 5, 0), (0, 3, 50, 0)], "frame int, id int, x long, y long")
-    b = spark.createDataFrame([(0, 7, 0, 0, 5, 1), (0, 8, 5, 0, 1, 1)], "frame int, box int, cx long, cy long, hx long, hy long")
-    assert rows(joins.points_in_boxes(p, b).fillna(-9), "id", "owner") == [(1, 7), (2, -2), (3, -9)]
+def boxes_of(spark, *boxes):
+    names = "frame int, box int, label int, annotated int, cx double, cy double, cz double, qw double, qx double, qy double, qz double, length double, width double, height double"
+    return spark.createDataFrame(list(boxes), names)
+
+
+def test_points_in_a_turned_box(spark):
+    """A box of width 2, length 8 and height 2, turned by a right angle: seven points along y lie in it, one beside it does not."""
+    at = [(10.0, 17.0 + k) for k in range(7)] + [(13.0, 20.0)]
+    p = spark.createDataFrame([(0, k, x, y, 0.0, 5) for k, (x, y) in enumerate(at)], "frame int, id int, x double, y double, z double, cls int")
+    half = 0.5**0.5
+    box = (0, 7, 5, 9, 10.0, 20.0, 0.0, half, 0.0, 0.0, half, 8.0, 2.0, 2.0)
+    owned = joins.points_in_boxes(p, boxes_of(spark, box), 3, 1e-5)
+    assert rows(owned.fillna(-9), "id", "owner") == [(k, 7) for k in range(7)] + [(7, -9)]
+    assert rows(joins.box_groups(owned), "frame", "owner", "n") == [(0, 7, 7)]
+    doubled = joins.points_in_boxes(p, boxes_of(spark, box, (0, 8, *box[2:])), 3, 1e-5)
+    assert rows(doubled.fillna(-9), "id", "owner") == [(k, -2) for k in range(7)] + [(7, -9)] and joins.box_groups(doubled).count() == 0
+    for other in ((0, 7, 4, *box[3:]), (0, 7, 5, 4, *box[4:]), (1, *box[1:])):  # another label, too few annotated points, another frame
+        assert joins.points_in_boxes(p, boxes_of(spark, other), 3, 1e-5).where("owner IS NOT NULL").count() == 0
 
 
 def test_episodes(spark):
@@ -223,7 +237,7 @@ def test_readers_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="whole records"):
         readers.scans(spark, str(tmp_path)).collect()
     (tmp_path / "traj.txt").write_text("# comment\n1.5 0 0 0 0 0 0 2\n0.5 1 1 1 0 0 0 -1\n")
-    assert rows(readers.trajectory(spark, str(tmp_path / "traj.txt")), "t", "qw") == [(0.5, -1.0), (1.5, 1.0)]
+    assert rows(readers.trajectory(spark, str(tmp_path / "traj.txt")), "t", "qw") == [(0.5, -1.0), (1.5, -1.0)]
     (tmp_path / "calib.txt").write_text("calib_time: 09-Jan\nP0: 1.0 2e0 3\n")
     assert rows(readers.calibration(spark, str(tmp_path / "calib.txt")), "key", "value") == [("P0", [1.0, 2.0, 3.0])]
     (tmp_path / "a.json").write_text('[{"s": "} , ["}, {"s": "x"}]')
