@@ -176,12 +176,12 @@ def _with_prior(df: DataFrame, letter: str, prior: float) -> DataFrame:
     return df.crossJoin(F.broadcast(pooled)).select("grp", *(((n * F.col(f"{letter}{k}") + prior * F.col(f"p{k}")) / (n + prior)).alias(f"{letter}{k}") for k in range(1, 5)))
 
 
-def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int = 12, cutoff: float = 0.9999, prior: float = 30.0) -> DataFrame:
+def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int = 6, tolerance: float = 1e-2, cutoff: float = 0.9999, prior: float = 30.0) -> DataFrame:
     """stats plus base_failed, distance and kept, by minimum-covariance-determinant estimates per lang and source.
 
     Rows that pass the base rules are described by log mean word length, root of the symbol share, share of repeated
     lines and share of repeated words. From two starts, each concentration step re-estimates mean and covariance from
-    the ``share`` of a group's rows with the least distance, until no determinant changes (at most most_steps steps);
+    the ``share`` of a group's rows with the least distance, until no log determinant's half changes by more than ``tolerance`` (at most most_steps steps);
     the start that ends with the least determinant stands. A last step uses all rows within the 0.975 quantile. The
     distance that bounds the share comes from a histogram of log distances (32 bins per factor e), so a group's rows are
     never sorted or gathered; a group's estimate is one row of sums. Rows beyond the ``cutoff`` quantile of
@@ -219,17 +219,17 @@ def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int =
                 F.coalesce(acc["bin"], F.when(acc["sum"] + x["count"] >= F.ceil(F.col("total") * share), x["bin"])).alias("bin"),
             ),
         )["bin"]
-        bounded = materialise(now.join(total.select("grp", "start", bound.alias("bound")), ["grp", "start"]), "bounds")
+        bounded = now.join(total.select("grp", "start", bound.alias("bound")), ["grp", "start"])
         core = _distance(_with_groups(rows, bounded, groups)).where(F.floor(F.log(F.col("d2") + 1e-6) * 32) <= F.col("bound"))
-        later = materialise(_estimates(core, _consistency(share), prior), "estimates")
-        moved = later.join(now.select("grp", "start", F.col("size").alias("was")), ["grp", "start"]).where("was IS NULL OR abs(size - was) > 1e-6")
-        settled = not moved.head(1)
-        release(now, bounded)
-        now = later
-        if settled:
+        later = _estimates(core, _consistency(share), prior).join(now.select("grp", "start", F.col("size").alias("was")), ["grp", "start"], "left")
+        later = materialise(later.withColumn("moved", F.coalesce(F.abs(F.col("size") - F.col("was")) > tolerance, F.lit(True))).drop("was"), "estimates")
+        release(now)
+        now = later.drop("moved")
+        now.stored_path = later.stored_path
+        if not later.where("moved").head(1):
             break
     best = now.groupBy("grp").agg(F.min(F.struct("size", "start")).alias("best")).select("grp", "best.start")
-    near = _distance(_with_groups(rows, materialise(now.join(best, ["grp", "start"]), "estimates"), groups))
+    near = _distance(_with_groups(rows, now.join(best, ["grp", "start"]), groups))
     last = materialise(_estimates(near.where(F.col("d2") <= chi2_4_quantile(0.975)), _consistency(0.975), prior), "estimates").drop("start", "size")
     out = _distance(_with_groups(stats, last, groups, "left")).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(chi2_4_quantile(cutoff)), F.lit(False))

@@ -54,8 +54,8 @@ def rows_of(n, seed=5):
 def test_outliers_equal_a_plain_estimate(spark):
     data = rows_of(400)
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
-    found = {r.doc_id: r for r in quality_rules(df).collect()}
-    assert {i for i, r in found.items() if not r.kept} == {i for i, *_ in data if i % 25 == 0}
+    assert {r.doc_id for r in quality_rules(df).collect() if not r.kept} == {i for i, *_ in data if i % 25 == 0}
+    found = {r.doc_id: r for r in covariance_outliers(text_statistics(df), most_steps=12, tolerance=0.0).collect()}
     # The same steps in NumPy give the same distances, in a large group and in one of a few rows.
     from pointweave.llm import quality_rules as q
 
