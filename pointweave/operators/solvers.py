@@ -141,3 +141,56 @@ def pose_graph(n: int, edges: list[tuple[int, int, np.ndarray, float]], start: n
         else:
             damping *= 16
     return p
+
+
+def _compose(p: np.ndarray, z: np.ndarray) -> np.ndarray:
+    c, s = math.cos(p[2]), math.sin(p[2])
+    return np.array([p[0] + c * z[0] - s * z[1], p[1] + s * z[0] + c * z[1], p[2] + z[2]])
+
+
+def _inverse(p: np.ndarray) -> np.ndarray:
+    c, s = math.cos(p[2]), math.sin(p[2])
+    return np.array([-c * p[0] - s * p[1], s * p[0] - c * p[1], -p[2]])
+
+
+def chained(steps: np.ndarray) -> np.ndarray:
+    """Poses from odometry steps (x, y, angle), the first at the origin."""
+    out = [np.zeros(3)]
+    for z in steps:
+        out.append(_compose(out[-1], z))
+    return np.array(out)
+
+
+def graph_corrections(edges: DataFrame, by: list[str], most: int = 1000, rounds: int = 15) -> DataFrame:
+    """by, version, node, x, y, angle, dx, dy, da: each log's planar pose graph, solved anew whenever a loop closes.
+
+    edges(by, i, j, x, y, angle, weight) are odometry where j = i + 1, else loops, i < j. Version 0 is before the first
+    loop: raw odometry, no correction. Version k holds loops 1 .. k in the order of their later node and all odometry up
+    to it; it tells that node's pose and the correction that takes its raw pose there. Odometry edges are always the raw
+    ones, so a wrong loop never bends them. Logs are solved side by side; one of more than ``most`` poses is an error.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        odometry = pdf[pdf["j"] == pdf["i"] + 1].sort_values("i")
+        loops = pdf[pdf["j"] != pdf["i"] + 1].sort_values(["j", "i"])
+        if len(odometry) + 1 > most:
+            raise ValueError(f"a log of {len(odometry) + 1} poses; split logs beyond {most}")
+        if odometry["i"].tolist() != list(range(len(odometry))):
+            raise ValueError("odometry must lead from each pose to the next")
+        z = odometry[["x", "y", "angle"]].to_numpy(float)
+        raw, w = chained(z), odometry["weight"].to_numpy(float)
+        out, used, last = [(0, 0, *raw[0], 0.0, 0.0, 0.0)], [], None
+        for version, r in enumerate(loops.itertuples(index=False), 1):
+            used.append((int(r.i), int(r.j), np.array([r.x, r.y, r.angle]), float(r.weight)))
+            n = int(r.j) + 1
+            chain = [(k, k + 1, z[k], w[k]) for k in range(n - 1)]
+            # The last solution is where the next one starts; newer poses follow it by odometry.
+            start = raw[:n] if last is None else np.array([*last[:n], *(_compose(last[-1], _compose(_inverse(raw[len(last) - 1]), raw[k])) for k in range(len(last), n))])
+            last = pose_graph(n, chain + used, start, rounds)
+            change = _compose(last[-1], _inverse(raw[n - 1]))
+            out.append((version, n - 1, *last[-1], *change))
+        found = pd.DataFrame(out, columns=["version", "node", "x", "y", "angle", "dx", "dy", "da"])
+        return pd.concat([pd.DataFrame({c: [pdf[c].iloc[0]] * len(found) for c in by}), found], axis=1)
+
+    key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in by)
+    return edges.groupBy(*by).applyInPandas(solve, f"{key}, version int, node int, x double, y double, angle double, dx double, dy double, da double")

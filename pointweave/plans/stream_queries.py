@@ -208,3 +208,37 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = draws.join(place, "k").groupBy("draw").agg((F.sum("hit") / F.sum("n")).alias("rate"))
     q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return rate.agg(q.alias("q")).select(*(F.col("q")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))))
+
+
+@query()
+def pose_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SOL02, SOL03, GRF03: each user's walk as a pose graph of odometry and loops, solved again at every loop."""
+    w = W.partitionBy("user_id").orderBy("t_us", "event_id")
+    t = ticks(spark, sf_dir).withColumn("k", F.row_number().over(w) - 1).withColumn("log", F.floor(F.col("k") / 50).cast("int"))
+    t = t.withColumn("k", (F.col("k") % 50).cast("int"))
+    step = {"x": 1 + F.pmod("v_cent", F.lit(7)) / 10.0, "y": F.pmod("v_cent", F.lit(5)) / 10.0 - 0.2, "angle": (F.pmod("v_cent", F.lit(9)) - 4) / 10.0}
+    odometry = t.where("k > 0").select("user_id", "log", (F.col("k") - 1).alias("i"), F.col("k").alias("j"), *(c.alias(n) for n, c in step.items()), F.lit(1.0).alias("weight"))
+    loops = t.where("k % 16 = 15").select("user_id", "log", (F.col("k") - 12).alias("i"), F.col("k").alias("j"), F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("angle"), F.lit(10.0).alias("weight"))
+    return solvers.graph_corrections(odometry.unionByName(loops), ["user_id", "log"], most=50)
+
+
+def _costs(t: DataFrame) -> DataFrame:
+    return t.select("user_id", "event_id", "t_us", (F.col("v_cent") * 3_000_000).alias("cost"))
+
+
+@query()
+def queue_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01: a worker with two waiting rows at most; later ones are dropped and counted."""
+    rows = _costs(_event_stream(spark, sf_dir))
+    out = machines.fold_stream(rows, ["user_id"], ["t_us", "event_id"], lambda: machines.BoundedQueue("user_id", 2), "user_id long, event_id long, served boolean, wait long, dropped long")
+    return runs.append_all(out, "queue")
+
+
+@query(f"""WITH RECURSIVE {TICKS}, r AS (SELECT user_id, event_id, t_us, least(greatest(2 * v_cent * 3000000, 3600000000), {DAY}) AS pause, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS k FROM ticks),
+f AS (SELECT user_id, k, event_id, true AS published, t_us + pause AS due FROM r WHERE k = 1
+UNION ALL SELECT r.user_id, r.k, r.event_id, r.t_us >= f.due, CASE WHEN r.t_us >= f.due THEN r.t_us + r.pause ELSE f.due END FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+SELECT user_id, event_id, published FROM f""")
+def snapshot_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-17: snapshots no more often than their cost allows."""
+    out = machines.fold_stream(_costs(_event_stream(spark, sf_dir)), ["user_id"], ["t_us", "event_id"], lambda: machines.Throttle("user_id", 2, 3_600_000_000, DAY), "user_id long, event_id long, published boolean")
+    return runs.append_all(out, "throttled")

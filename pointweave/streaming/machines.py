@@ -77,6 +77,41 @@ class Keyframes:
         return {self.key: row[self.key], "t_us": t, "status": status}
 
 
+class BoundedQueue:
+    """Rows that one worker serves in order, ``depth`` of them waiting at most: what comes to a full queue is dropped and counted."""
+
+    def __init__(self, key: str, depth: int):
+        self.key, self.depth, self.ends, self.dropped = key, depth, deque(), 0
+
+    def step(self, row: dict) -> dict:
+        t = int(row["t_us"])
+        while self.ends and self.ends[0] <= t:
+            self.ends.popleft()
+        served = len(self.ends) <= self.depth  # the first of them is being served
+        wait = None
+        if served:
+            begin = self.ends[-1] if self.ends else t
+            wait = begin - t
+            self.ends.append(begin + int(row["cost"]))
+        else:
+            self.dropped += 1
+        return {self.key: row[self.key], "event_id": int(row["event_id"]), "served": served, "wait": wait, "dropped": self.dropped}
+
+
+class Throttle:
+    """Publishes a snapshot when the last one is long enough ago: ``factor`` times what it cost, within bounds."""
+
+    def __init__(self, key: str, factor: int, least: int, most: int):
+        self.key, self.factor, self.least, self.most, self.next = key, factor, least, most, None
+
+    def step(self, row: dict) -> dict:
+        t = int(row["t_us"])
+        publish = self.next is None or t >= self.next
+        if publish:
+            self.next = t + min(max(self.factor * int(row["cost"]), self.least), self.most)
+        return {self.key: row[self.key], "event_id": int(row["event_id"]), "published": publish}
+
+
 class PoseBuffer:
     """Appends poses in order, answers queries from them: interpolated inside, held for a while after, else nothing."""
 

@@ -204,3 +204,32 @@ def test_idle_keys_lose_their_machine(spark, tmp_path):
     found = rows(runs.append_all(out, "idle"), "user_id", "t_us", "status")
     assert (1, 11 * day + 5, "accepted") in found  # a kept machine would have said that the interval is too short
     assert (2, 11 * day + 5, "insufficient") in found
+
+
+def test_pose_graphs_close_loops_and_keep_raw_odometry(spark):
+    from pointweave.operators import solvers
+
+    turn = math.pi / 2
+    square = [(k, k + 1, 1.0, 0.0, turn + 0.05, 1.0) for k in range(8)]  # a square walked twice, turning a little too far
+    loops = [(0, 4, 0.0, 0.0, 0.0, 100.0), (0, 8, 0.0, 0.0, 0.0, 100.0)]
+    schema = "log int, i int, j int, x double, y double, angle double, weight double"
+    edges = spark.createDataFrame([(0, *e) for e in square + loops] + [(1, *e) for e in square], schema)
+    found = {(r.log, r.version): r for r in solvers.graph_corrections(edges, ["log"]).collect()}
+    assert set(found) == {(0, 0), (0, 1), (0, 2), (1, 0)}
+    assert all(found[k].dx == found[k].dy == found[k].da == 0 for k in ((0, 0), (1, 0)))
+    for version, node in ((1, 4), (2, 8)):
+        r = found[0, version]
+        assert r.node == node and math.hypot(r.x, r.y) < 0.05
+        raw = solvers.chained([[1.0, 0.0, turn + 0.05]] * node)[-1]
+        c, s = math.cos(r.da), math.sin(r.da)
+        assert abs(r.dx + c * raw[0] - s * raw[1] - r.x) < 1e-9 and abs(r.dy + s * raw[0] + c * raw[1] - r.y) < 1e-9 and abs(r.da + raw[2] - r.angle) < 1e-9
+    with pytest.raises(Exception, match="split logs"):
+        solvers.graph_corrections(edges, ["log"], most=5).collect()
+
+
+def test_queue_and_throttle():
+    queue = machines.BoundedQueue("k", 1)
+    got = [queue.step({"k": 0, "event_id": i, "t_us": t, "cost": 10}) for i, t in enumerate([0, 1, 2, 10, 11, 12, 40])]
+    assert [(r["served"], r["wait"], r["dropped"]) for r in got] == [(True, 0, 0), (True, 9, 0), (False, None, 1), (True, 10, 1), (False, None, 2), (False, None, 3), (True, 0, 3)]
+    throttle = machines.Throttle("k", 2, 5, 30)
+    assert [throttle.step({"k": 0, "event_id": 0, "t_us": t, "cost": c})["published"] for t, c in [(0, 1), (4, 1), (5, 10), (20, 1), (25, 100), (54, 1), (55, 1)]] == [True, False, True, False, True, False, True]
