@@ -91,7 +91,20 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             yield np.array([at]), np.array([lo]), part, np.array([0, len(part)])
 
 
-RUNS = "key long, context long, doc_id long, lo int, hi int, at int, again boolean"
+RUNS = "key long, context long, doc_id long, run long"
+
+
+def packed_runs(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """A run in one number: first window, and last window and anchor counted from it, of 7 bits each; then again and hot.
+
+    The last window and the anchor are less than SPAN places from the first. Numbers sort by the first window.
+    """
+    return (lo.astype(np.int64) << 16) | ((hi - lo).astype(np.int64) << 9) | ((at - lo).astype(np.int64) << 2) | again.astype(np.int64)
+
+
+def unpacked_runs(run: np.ndarray) -> dict[str, np.ndarray]:
+    lo = run >> 16
+    return {"lo": lo, "hi": lo + ((run >> 9) & 127), "at": lo + ((run >> 2) & 127), "again": (run & 1) > 0, "hot": (run & 2) > 0}
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +124,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(order), bool)
         again[order] = same & ((doc[first] != doc[order]) | (lo[first] != lo[order]))
         key = np.where(again, mix(key + lo.astype(U64) * U64(31) + doc.astype(U64)), key)
-        columns = [key.view(np.int64), context.view(np.int64), doc, lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32), again]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "context", "doc_id", "lo", "hi", "at", "again"])
+        columns = [key.view(np.int64), context.view(np.int64), doc, packed_runs(lo, hi, at, again)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "context", "doc_id", "run"])
 
 
-def _flat(column: pa.Array, at: int, end: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(row of each element, fields) of rows at .. end of a column of arrays of structs, without an object per element."""
+def _flat(column: pa.Array, at: int, end: int) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of rows at .. end of a column of arrays, without an object per element."""
     part = column.slice(at, end - at)
     lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(False)
-    flat = part.flatten()
-    fields = {f.name: flat.field(k).to_numpy(False) for k, f in enumerate(flat.type)}
-    return np.repeat(np.arange(len(part)), lengths), fields
+    return np.repeat(np.arange(len(part)), lengths), part.flatten()
 
 
 def _ranges(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -142,11 +153,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
         for at, end, data, offsets in text_slices(batch.column("text")):
             rows, runs = _flat(batch.column("runs"), at, end)
+            runs = unpacked_runs(runs.to_numpy(False))
             # Runs of another text of the same doc_id may reach beyond this one.
-            used = np.flatnonzero(~runs["again"].astype(bool) & (runs["hi"] + LENGTH <= (offsets[1:] - offsets[:-1])[rows])) if len(rows) else rows
+            used = np.flatnonzero(~runs["again"] & (runs["hi"] + LENGTH <= (offsets[1:] - offsets[:-1])[rows]))
             if not len(used):
                 continue
-            rows, lo, hi, place, hot = rows[used], *(runs[k][used].astype(np.int64) for k in ("lo", "hi", "at")), runs["hot"][used].astype(bool)
+            rows, lo, hi, place, hot = rows[used], *(runs[k][used] for k in ("lo", "hi", "at", "hot"))
             total, base, doc = _prefix_hashes(data), offsets[rows], ids[at:end][rows].astype(np.int64)
             cut = place - NEAR
             for side, first, last in ((0, np.maximum(lo, cut), hi), (1, lo, np.minimum(hi, cut - 1))):
@@ -303,10 +315,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, data, offsets in text_slices(batch.column("text")):
             size = np.diff(offsets)
             (r1, runs), (r2, spans) = _flat(batch.column("runs"), at, end), _flat(batch.column("spans"), at, end)
-            again = runs["again"].astype(bool)
+            runs, (start, stop) = unpacked_runs(runs.to_numpy(False)), (spans.field(k).to_numpy(False).astype(np.int64) for k in (0, 1))
+            again = runs["again"]
             row = np.concatenate([r1[again], r2])
-            a = np.minimum(np.concatenate([runs["lo"][again], spans["start"]]).astype(np.int64), size[row])
-            b = np.minimum(np.concatenate([runs["hi"][again] + LENGTH, spans["end"]]).astype(np.int64), size[row])
+            a = np.minimum(np.concatenate([runs["lo"][again], start]), size[row])
+            b = np.minimum(np.concatenate([runs["hi"][again] + LENGTH, stop]), size[row])
             some = b > a
             row, a, b = row[some], a[some] + offsets[row[some]], b[some] + offsets[row[some]]
             order = np.lexsort((a, row))
@@ -337,11 +350,13 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     runs = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_runs, RUNS)
     by_key = W.partitionBy("key")
     runs = runs.withColumns({"n": F.count("*").over(by_key), "c1": F.min("context").over(by_key), "c2": F.max("context").over(by_key)})
-    runs = runs.where("n > 1 OR again")
-    place = F.struct("doc_id", "lo")
-    runs = runs.withColumn("again", F.col("again") | (place != F.min(place).over(W.partitionBy("key", "context"))))
-    run = F.struct("lo", "hi", "at", "again", (F.col("n") > HOT).alias("hot"))
-    runs = runs.where("again OR c1 <> c2").groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
+    settled = F.col("run").bitwiseAND(F.lit(1).cast("long")) == 1
+    runs = runs.where((F.col("n") > 1) | settled)
+    place = F.struct("doc_id", "run")
+    again = settled | (place != F.min(place).over(W.partitionBy("key", "context")))
+    flags = F.when(again, 1).otherwise(0) + F.when(F.col("n") > HOT, 2).otherwise(0)
+    runs = runs.select("doc_id", "c1", "c2", again.alias("again"), F.col("run").bitwiseOR(flags.cast("long")).alias("run"))
+    runs = runs.where("again OR c1 <> c2").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     return docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
 
 
