@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.arrays import argmax, blend
+from pointweave.operators.joins import moved
 
 
 @dataclass(frozen=True)
 class ConsistencyRules:
     radius: float = 0.25
+    radial: float = math.inf
     most_age: float = 1.5
     history_least: float = 0.8
     advantage: float = 0.1
@@ -23,14 +25,16 @@ class ConsistencyRules:
     excluded: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 8, 9)
 
     def __post_init__(self) -> None:
-        if min(self.radius, self.most_age, self.decay) <= 0 or not all(0 <= v <= 1 for v in (self.history_least, self.advantage, self.veto, self.weight)):
+        if min(self.radius, self.radial, self.most_age, self.decay) <= 0 or not all(0 <= v <= 1 for v in (self.history_least, self.advantage, self.veto, self.weight)):
             raise ValueError("rules out of range")
 
 
-def consistent(points: DataFrame, rules: ConsistencyRules = ConsistencyRules()) -> DataFrame:
+def consistent(points: DataFrame, rules: ConsistencyRules = ConsistencyRules(), relative: DataFrame | None = None) -> DataFrame:
     """points(stream, frame, stamp, pt, x, y, z, p) plus label, raw, and weight of the previous frame.
 
-    Matches are reciprocal nearest neighbours between a frame and the one before, over all points, so that a mover
+    Points are in their own sensor's coordinates; relative(stream, frame, r11 .. r33, tx, ty, tz) moves the points of
+    the frame before into those of a frame (None: the sensor stands still). A match may be apart by ``radial`` at most
+    along either sensor's ray. Matches are reciprocal nearest neighbours between a frame and the one before, over all points, so that a mover
     cannot expose what lies behind it. Only then do the gates apply: static classes, confident history with an
     advantage, no confident present. Every frame is matched against raw posteriors, never against enhanced ones, so
     frames are independent of each other: the whole sequence is one plan.
@@ -42,12 +46,14 @@ def consistent(points: DataFrame, rules: ConsistencyRules = ConsistencyRules())
     offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in side for b in side for c in side)))
     now = base.select("stream", "frame", "stamp", "pt", "x", "y", "z", offsets.alias("o"), "gx", "gy", "gz")
     now = now.select("stream", "frame", F.col("stamp").alias("t"), F.col("pt").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *((F.col(f"g{a}") + F.col(f"o.{o}")).alias(f"g{a}") for a, o in zip("xyz", "abc", strict=True)))
-    past = base.select("stream", (F.col("frame") + 1).alias("frame"), "stamp", F.col("pt").alias("j"), "x", "y", "z", "gx", "gy", "gz")
+    past = base.select("stream", (F.col("frame") + 1).alias("frame"), "stamp", F.col("pt").alias("j"), "x", "y", "z")
+    past = past.withColumns({c: F.lit(0.0) for c in ("tx", "ty", "tz")}) if relative is None else moved(past, relative, ["stream", "frame"])
+    past = past.withColumns({f"g{c}": cell(c) for c in "xyz"})
     d2 = (F.col("xi") - F.col("x")) ** 2 + (F.col("yi") - F.col("y")) ** 2 + (F.col("zi") - F.col("z")) ** 2
     near = now.join(past, ["stream", "frame", "gx", "gy", "gz"]).withColumn("d2", d2).where((F.col("d2") <= rules.radius**2) & (F.col("t") - F.col("stamp") <= rules.most_age))
-    forth = near.groupBy("stream", "frame", "i").agg(F.min(F.struct("d2", "j")).alias("m"), F.first(F.col("t") - F.col("stamp")).alias("age")).select("stream", "frame", "i", F.col("m.j").alias("j"), "age")
+    forth = near.groupBy("stream", "frame", "i").agg(F.min(F.struct("d2", "j", (F.col("t") - F.col("stamp")).alias("age"), "xi", "yi", "zi", "x", "y", "z", "tx", "ty", "tz")).alias("m")).select("stream", "frame", "i", "m.*")
     back = near.groupBy("stream", "frame", "j").agg(F.min(F.struct("d2", "i")).alias("m")).select("stream", "frame", "j", F.col("m.i").alias("i"))
-    pairs = forth.join(back, ["stream", "frame", "i", "j"])
+    pairs = forth.join(back, ["stream", "frame", "i", "j"]).where(within_rays(rules.radial)).select("stream", "frame", "i", "j", "age")
     history = base.select("stream", (F.col("frame") + 1).alias("frame"), F.col("pt").alias("j"), F.col("p").alias("hp"), F.col("top").alias("htop"), F.col("raw").alias("hraw"))
     matched = base.join(pairs.withColumnRenamed("i", "pt"), ["stream", "frame", "pt"], "left").join(history, ["stream", "frame", "j"], "left")
     excluded = list(rules.excluded)
@@ -58,5 +64,17 @@ def consistent(points: DataFrame, rules: ConsistencyRules = ConsistencyRules())
     return out.withColumn("mixed", mixed).select("stream", "frame", "pt", "raw", argmax(F.col("mixed")).alias("label"), "weight")
 
 
+def within_rays(radial: float) -> Column:
+    """Is the way from x, y, z to xi, yi, zi at most ``radial`` long along the rays from the origin and from tx, ty, tz."""
+    if math.isinf(radial):
+        return F.lit(True)
+    good = F.lit(True)
+    for ray in ({c: F.col(f"{c}i") for c in "xyz"}, {c: F.col(c) - F.col(f"t{c}") for c in "xyz"}):
+        along = sum(((F.col(f"{c}i") - F.col(c)) * ray[c] for c in "yz"), (F.col("xi") - F.col("x")) * ray["x"])
+        length = F.sqrt(ray["x"] * ray["x"] + ray["y"] * ray["y"] + ray["z"] * ray["z"])
+        good &= (length > 1e-6) & (F.abs(along) <= F.lit(radial) * length)
+    return good
+
+
 def age_factor(rules: ConsistencyRules, age: float) -> float:
     return rules.weight * math.exp(-age / rules.decay)

@@ -127,7 +127,7 @@ def reciprocal(left: DataFrame, right: DataFrame, radius2: int, by: tuple[str, .
     return to_right.join(to_left, ["id_a", "id_b"])
 
 
-def moved(points: DataFrame, relative: DataFrame, by: str = "frame") -> DataFrame:
+def moved(points: DataFrame, relative: DataFrame, by: str | list[str] = "frame") -> DataFrame:
     """points with x, y, z turned and shifted by relative(by, r11 .. r33, tx, ty, tz), which are kept as tx, ty, tz."""
     turned = {c: sum((F.col(f"r{k}{j}") * F.col(v) for j, v in ((2, "y"), (3, "z"))), F.col(f"r{k}1") * F.col("x")) + F.col(f"t{c}") for k, c in ((1, "x"), (2, "y"), (3, "z"))}
     return points.join(relative, by).withColumns(turned).drop(*(f"r{k}{j}" for k in (1, 2, 3) for j in (1, 2, 3)))

@@ -164,12 +164,14 @@ def main_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def causal_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-09: points of consecutive frames, matched and mixed; tested against brute force."""
+    """STM-09: points of consecutive frames, moved by the relative pose, matched within bounds along their rays, and mixed."""
     p = points(spark, sf_dir)
     top = 0.4 + F.pmod("w_micro", F.lit(7)) / 10.0 * 0.9
     posterior = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.when(k == F.col("cls"), top).otherwise((1 - top) / 15))
     rows = p.select(F.lit(0).alias("stream"), "frame", (F.col("frame") * 0.5).alias("stamp"), "pt", *((F.col(f"{a}_mm") / 1000.0).alias(a) for a in "xyz"), posterior.alias("p"))
-    return consistent(rows, ConsistencyRules(radius=2.0))
+    turn = {f"r{i}{j}": F.lit(1.0 if i == j else 0.0) for i in (1, 2, 3) for j in (1, 2, 3)}
+    relative = rows.select("stream", "frame").distinct().withColumns({**turn, "tx": F.pmod("frame", F.lit(3)) * 0.3, "ty": F.lit(-0.2), "tz": F.lit(0.0)})
+    return consistent(rows, ConsistencyRules(radius=2.0, radial=0.8), relative)
 
 
 @query()

@@ -233,3 +233,18 @@ def test_queue_and_throttle():
     assert [(r["served"], r["wait"], r["dropped"]) for r in got] == [(True, 0, 0), (True, 9, 0), (False, None, 1), (True, 10, 1), (False, None, 2), (False, None, 3), (True, 0, 3)]
     throttle = machines.Throttle("k", 2, 5, 30)
     assert [throttle.step({"k": 0, "event_id": 0, "t_us": t, "cost": c})["published"] for t, c in [(0, 1), (4, 1), (5, 10), (20, 1), (25, 100), (54, 1), (55, 1)]] == [True, False, True, False, True, False, True]
+
+
+def test_consistency_follows_the_sensor_and_its_rays(spark):
+    from pointweave.operators.consistency import ConsistencyRules, consistent
+
+    p = lambda k, top: [top if c == k else (1 - top) / 15 for c in range(16)]
+    # The sensor moves by one along x, so what stood at x + 1 is now at x; the last point is nearer along its ray by 0.2.
+    before = [(0, 0, 0.0, i, 6.0, float(i), 0.0, p(10, 0.99)) for i in range(3)]
+    after = [(0, 1, 0.5, i, 5.0 - (0.2 if i == 2 else 0.0), float(i), 0.0, p(12, 0.4)) for i in range(3)]
+    df = spark.createDataFrame(before + after, "stream int, frame int, stamp double, pt int, x double, y double, z double, p array<double>")
+    move = spark.createDataFrame([(0, 1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, -1.0, 0.0, 0.0)], "stream int, frame int, " + ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", tx double, ty double, tz double")
+    labels = lambda rules, relative: [r.label for r in consistent(df, rules, relative).where("frame = 1").orderBy("pt").collect()]
+    assert labels(ConsistencyRules(), None) == [12, 12, 12]
+    assert labels(ConsistencyRules(), move) == [10, 10, 10]
+    assert labels(ConsistencyRules(radial=0.1), move) == [10, 10, 12]
