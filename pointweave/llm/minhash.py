@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rep").take(whole), part.column("form").take(whole), pa.array(np.repeat(sizes, sizes)), shingles], names=["rep", "form", "size", "shingle"])
 
 
-def _prefix_links(placed: DataFrame, tried: DataFrame, docs: DataFrame) -> DataFrame:
+def _prefix_links(placed: DataFrame, tried: DataFrame, docs: DataFrame, step_table: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links (a, b) between different components of placed(rep, component), except those among tried, by a prefix filter.
 
     Sets of sizes s and t with Jaccard similarity 0.75 share at least n = 3/7 (s + t) shingles, so with shingles in any
@@ -122,14 +122,14 @@ def _prefix_links(placed: DataFrame, tried: DataFrame, docs: DataFrame) -> DataF
     open_reps = placed.select(F.col("rep").alias("doc_id"), "component").distinct()
     texts = docs.join(open_reps.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("form"), "text")
     texts = texts.where("text IS NOT NULL").dropDuplicates(["rep", "form"])
-    shingles = materialise(texts.mapInArrow(_shingles, "rep long, form long, size long, shingle long"), "shingles")
+    shingles = step_table(texts.mapInArrow(_shingles, "rep long, form long, size long, shingle long"), "shingles")
     counts = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # Shingles of one text alone come first in its order and meet no other text: only their number matters.
     own_text = W.partitionBy("rep", "form")
     shared = shingles.join(counts, "shingle").withColumn("own", F.col("size") - F.count("*").over(own_text))
     place = F.col("own") + F.row_number().over(own_text.orderBy("n", "shingle"))
     shared = shared.withColumn("place", place).where("4 * (place - 1) <= size").join(open_reps.withColumnRenamed("doc_id", "rep"), "rep")
-    postings = materialise(shared.select("rep", "form", "component", "size", "shingle", "place", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "postings")
+    postings = step_table(shared.select("rep", "form", "component", "size", "shingle", "place", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "postings")
     x = postings.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     y = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = (d.select("shingle", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "form", "component", "size", "place"))) for d, k in ((x, "a"), (y, "b")))
@@ -139,10 +139,7 @@ def _prefix_links(placed: DataFrame, tried: DataFrame, docs: DataFrame) -> DataF
     left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     met = met.groupBy("rep_a", "form_a", "rep_b", "form_b").agg((F.count("*") + F.min(left)).alias("most"), F.first(need).alias("need")).where("most >= need")
     pairs = met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verify(pairs, docs), "links")
-    release(shingles, postings, pairs)
-    return links
+    return step_table(verify(step_table(pairs, "pairs"), docs), "links")
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
@@ -163,22 +160,30 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
     component is the smallest doc_id of its class's component, null if there is none, and it is kept only if alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
+    scratch: list[DataFrame] = []
+
+    def step_table(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialise(df, name))
+        return scratch[-1]
+
+    sig = step_table(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = step_table(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = sig.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     members = materialise(members, "members")
     reps = some.join(classes.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "reps")
+    reps = step_table(reps.select(F.col("doc_id").alias("rep"), "bands"), "reps")
+    release(sig, classes)
+    del scratch[:2]
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
-    entries = materialise(entries.join(materialise(full.select("bucket", "n"), "buckets"), "bucket"), "entries")
-    central = materialise(entries.groupBy("rep").agg(F.sum("n").alias("central")), "central")
+    entries = step_table(entries.join(step_table(full.select("bucket", "n"), "buckets"), "bucket"), "entries")
+    central = step_table(entries.groupBy("rep").agg(F.sum("n").alias("central")), "central")
     best = F.max(F.struct("central", (-F.col("rep")).alias("low"), "rep")).alias("hub")
-    hubs = materialise(entries.join(central, "rep").groupBy("bucket").agg(best).select("bucket", F.col("hub.rep").alias("hub")), "hubs")
+    hubs = step_table(entries.join(central, "rep").groupBy("bucket").agg(best).select("bucket", F.col("hub.rep").alias("hub")), "hubs")
     pairs = entries.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    tried = materialise(pairs, "pairs")
-    links = materialise(verify(tried, docs), "links")
+    tried = step_table(pairs, "pairs")
+    links = step_table(verify(tried, docs), "links")
     several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2")).where("r1 <> r2")
     if several.head(1):
         links = links.union(members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
@@ -188,20 +193,22 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 1) -> DataFrame:
         placed = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
         order = F.struct(F.xxhash64("rep", F.lit(step)).alias("order"), "rep", "component")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(order).alias("hub")).where("c1 <> c2")
-        mixed = materialise(mixed.select("bucket", "hub.rep", "hub.component").toDF("bucket", "hub", "hub_component"), "mixed")
-        placed = materialise(placed.join(mixed, "bucket"), "open")
+        mixed = step_table(mixed.select("bucket", "hub.rep", "hub.component").toDF("bucket", "hub", "hub_component"), "mixed")
+        placed = step_table(placed.join(mixed, "bucket"), "open")
         if step < hub_rounds:
             pairs = placed.where("component <> hub_component").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-            pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            more = materialise(verify(pairs, docs), "links")
+            pairs = step_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = step_table(verify(pairs, docs), "links")
             tried = tried.union(pairs)
         elif placed.head(1):
-            more = _prefix_links(placed, tried, docs)
+            more = _prefix_links(placed, tried, docs, step_table)
         else:
             break
         if more.head(1):
             links = links.union(more)
             found = connected_components(links)
+    # The result reads the members and the last components only.
+    release(*scratch)
 
     out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.llm.shared import GAP, WORD, materialise, stable_hash
+from pointweave.llm.shared import WORD, materialise, release, stable_hash
 
 #: Bits of the document hash that one histogram level resolves, and the levels in all: 48 bits.
 LEVEL_BITS = (12, 12, 12, 12)
@@ -85,13 +85,15 @@ def hash_threshold_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ma
         left -= bits
         nearer = (F.col("edge.upto") - F.col("budget")) < (F.col("budget") - F.col("edge.under"))
         last_step = F.when(nearer, F.lit(1)).otherwise(F.lit(0)) if not left else F.lit(0)
-        state = state.join(edge, state.source.eqNullSafe(edge.s), "left").select(
+        kept = state.join(edge, state.source.eqNullSafe(edge.s), "left").select(
             "source", "source_size", "numer", "denom", "base", "budget",
             F.coalesce(F.col("edge.bin") + last_step, whole).alias("prefix"),
             F.coalesce(F.col("edge.under"), F.col("below")).alias("below"),
         )
-        state = materialise(state, "targets")
+        before, state = state, materialise(kept, "targets")
+        release(before)
 
+    release(slim)
     last = state.select(F.col("source").alias("s"), "source_size", (F.col("numer") / F.col("denom")).alias("target"), "base", "prefix")
     own = [c for c in ("source_size", "target", "copies", "taken", "s", "base", "prefix") if c in docs.columns]
     out = sized.drop(*own).join(last, sized.source.eqNullSafe(last.s), "left")
