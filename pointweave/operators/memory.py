@@ -41,3 +41,18 @@ def retrieved(queries: DataFrame, held: DataFrame, radius2: int, k: int) -> Data
     near = near.withColumn("d2", d2).where(F.col("d2") <= radius2)
     best = near.withColumn("place", F.row_number().over(W.partitionBy("id_a").orderBy("d2", "id_b"))).where(F.col("place") <= k)
     return best.withColumn("age", (F.col("frame_a") - F.col("frame_b")).cast("int")).drop("place", "at", *CELL)
+
+
+def cleared(held: DataFrame, fronts: DataFrame, margin: int) -> DataFrame:
+    """held rows (at, id, ray, r) that no sweep has seen through, plus readable, by fronts(at, ray, front).
+
+    A record that lies in front of a sweep's nearest return of its ray by more than the margin was seen through: it is
+    revoked from that frame on, for good. One that lies behind it by more is occluded: held, but not readable there. A
+    ray without a return tells nothing. A revoked record frees no place in its cell.
+    """
+    seen = held.join(fronts, ["at", "ray"], "left")
+    free = F.coalesce(F.col("r") < F.col("front") - margin, F.lit(False))
+    hidden = F.coalesce(F.col("r") > F.col("front") + margin, F.lit(False))
+    first = F.min(F.when(free, F.col("at"))).over(W.partitionBy("id"))
+    kept = seen.withColumns({"first_free": first, "readable": ~hidden}).where("first_free IS NULL OR at < first_free")
+    return kept.drop("front", "first_free")

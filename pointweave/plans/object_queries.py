@@ -168,7 +168,7 @@ def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def packet_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-07: packets claimed once by the graph that covers them, the oldest evicted beyond a bound."""
+    """STM-07: packets claimed once by the graph that covers them; the oldest are evicted beyond a number or an age of five days."""
     t = ticks(spark, sf_dir).where("event_type IN ('view', 'signup')").withColumn("kind", F.when(F.col("event_type") == "signup", "graph").otherwise("packet"))
     rows = t.select("user_id", "t_us", F.floor(F.col("t_us") / 1_000_000).alias("stamp"), "kind")
-    return machines.fold(rows, ["user_id"], ["t_us"], lambda: machines.Claims("user_id", 3), "user_id long, claimed array<long>, evicted array<long>")
+    return machines.fold(rows, ["user_id"], ["t_us"], lambda: machines.Claims("user_id", 3, 432_000), "user_id long, claimed array<long>, evicted array<long>")

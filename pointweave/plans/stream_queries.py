@@ -134,13 +134,34 @@ def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def instance_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-08, EVL09: the instance state machine over observations; its rules are tested on small fixtures."""
-    t = ticks(spark, sf_dir)
+def stream_packet_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-07 in a stream; equals packet_claims."""
+    t = _event_stream(spark, sf_dir).where("event_type IN ('view', 'signup')").withColumn("kind", F.when(F.col("event_type") == "signup", "graph").otherwise("packet"))
+    rows = t.select("user_id", "t_us", F.floor(F.col("t_us") / 1_000_000).alias("stamp"), "kind")
+    out = machines.fold_stream(rows, ["user_id"], ["t_us"], lambda: machines.Claims("user_id", 3, 432_000), "user_id long, claimed array<long>, evicted array<long>")
+    return runs.append_all(out, "claims")
+
+
+INSTANCE = "user_id long, track int, t double, epoch int, reason string, label int"
+
+
+def _observations(t: DataFrame) -> DataFrame:
     k = F.pmod("v_cent", F.lit(3))
     p = F.array(*(F.when(k == c, 0.7).otherwise(0.15) for c in range(3)))
-    rows = t.select("user_id", F.lit("s").alias("session"), (F.col("t_us") / 1e12).alias("t"), F.pmod("event_id", F.lit(4)).alias("track"), (F.col("v_cent") % 50 / 100.0).alias("x"), p.alias("p"))
-    return machines.fold(rows, ["user_id"], ["t", "track"], lambda: machines.Instances("user_id"), "user_id long, track int, t double, epoch int, reason string, label int")
+    return t.select("user_id", F.lit("s").alias("session"), (F.col("t_us") / 1e12).alias("t"), F.pmod("event_id", F.lit(4)).alias("track"), (F.col("v_cent") % 50 / 100.0).alias("x"), p.alias("p"))
+
+
+@query()
+def instance_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-08, EVL09: the instance state machine over observations; its rules are tested on small fixtures."""
+    return machines.fold(_observations(ticks(spark, sf_dir)), ["user_id"], ["t", "track"], lambda: machines.Instances("user_id"), INSTANCE)
+
+
+@query()
+def stream_instance_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-08 in a stream; equals instance_semantics."""
+    out = machines.fold_stream(_observations(_event_stream(spark, sf_dir)), ["user_id"], ["t", "track"], lambda: machines.Instances("user_id"), INSTANCE)
+    return runs.append_all(out, "instances")
 
 
 @query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT DISTINCT frame, cls, {key_sql('x_mm', 'y_mm', 'z_mm', 2500)} AS key, CAST(floor(x_mm / 2500.0) AS BIGINT) AS x, CAST(floor(y_mm / 2500.0) AS BIGINT) AS y, CAST(floor(z_mm / 2500.0) AS BIGINT) AS z FROM points),

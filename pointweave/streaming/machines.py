@@ -193,18 +193,22 @@ class Sessions:
 
 
 class Claims:
-    """Packets wait, in a bounded queue, for a graph that covers their stamp; each is claimed once, the oldest are evicted."""
+    """Packets wait, in a bounded queue, for a graph that covers their stamp; each is claimed once.
 
-    def __init__(self, key: str, capacity: int):
-        self.key, self.capacity, self.pending, self.graph = key, capacity, deque(), None
+    The oldest are evicted from a full queue, and so are those that are ``lifetime`` older than the newest stamp seen.
+    """
+
+    def __init__(self, key: str, capacity: int, lifetime: float = math.inf):
+        self.key, self.capacity, self.lifetime, self.pending, self.graph, self.newest = key, capacity, lifetime, deque(), None, -math.inf
 
     def step(self, row: dict) -> dict | None:
+        self.newest = max(self.newest, int(row["stamp"]))
         if row["kind"] == "graph":
             self.graph = int(row["stamp"]) if self.graph is None else max(self.graph, int(row["stamp"]))
         else:
             self.pending.append(int(row["stamp"]))
         evicted = []
-        while len(self.pending) > self.capacity:
+        while self.pending and (len(self.pending) > self.capacity or self.newest - self.pending[0] > self.lifetime):
             evicted.append(self.pending.popleft())
         claimed = []
         while self.pending and self.graph is not None and self.pending[0] <= self.graph:

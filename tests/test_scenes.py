@@ -248,3 +248,24 @@ def test_consistency_follows_the_sensor_and_its_rays(spark):
     assert labels(ConsistencyRules(), None) == [12, 12, 12]
     assert labels(ConsistencyRules(), move) == [10, 10, 10]
     assert labels(ConsistencyRules(radial=0.1), move) == [10, 10, 12]
+
+
+def test_memory_revokes_what_is_seen_through(spark):
+    held = spark.createDataFrame([(at, i, 7, r) for i, r in ((1, 50), (2, 80), (3, 120)) for at in (1, 2, 3)], "at int, id int, ray int, r int")
+    fronts = spark.createDataFrame([(2, 7, 80), (3, 7, 40)], "at int, ray int, front int")
+    # Nothing returns in frame 1; in frame 2 record 1 is seen through, 2 is the surface, 3 is behind it; in 3 both are behind.
+    assert rows(memory.cleared(held, fronts, 10), "at", "id", "readable") == [(1, 1, True), (1, 2, True), (1, 3, True), (2, 2, True), (2, 3, False), (3, 2, False), (3, 3, False)]
+
+
+def test_streams_equal_their_batch_forms(spark):
+    from pointweave.plans import QUERIES
+
+    for name in ("packet_claims", "instance_semantics"):
+        batch, stream = (sorted(map(str, QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in (name, f"stream_{name}"))
+        assert batch == stream and batch
+
+
+def test_stale_packets_are_evicted():
+    claims = machines.Claims("k", 10, 100)
+    got = [claims.step({"k": 0, "kind": kind, "stamp": stamp}) for kind, stamp in [("packet", 0), ("packet", 50), ("packet", 101), ("graph", 60), ("graph", 500)]]
+    assert [(r["claimed"], r["evicted"]) if r else None for r in got] == [None, None, ([], [0]), ([50], []), ([], [101])]
