@@ -19,6 +19,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Strings that the Markov models judge: runs of the characters of keys and identifiers.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
+#: Of the text in lower case, what a match of a pattern holds in any case; texts without any of it need no regular expression.
+HOLDS = {ASSIGN: ("password", "passwd", "secret", "token", "api"), ACCESS: ("akia",)}
 
 #: Characters of candidates; every other is one class of its own at place 0.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
@@ -49,6 +51,17 @@ def running(values: Column, combine) -> Column:
     return _bind(values, scan)
 
 
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """The leftmost non-overlapping matches of a pattern, or a group of each, in order."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if pattern not in HOLDS:
+        return found
+    low, some = F.lower(text), F.lit(False)
+    for part in HOLDS[pattern]:
+        some |= F.contains(low, F.lit(part))
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+
+
 def pattern_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, s>> of a pattern's leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -61,7 +74,7 @@ def pattern_spans(text: Column, pattern: str) -> Column:
         ends = running(F.zip_with(hits, gaps, lambda h, g: F.length(h) + F.length(g)), lambda a, b: a + b)
         return F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("s")))
 
-    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(placed(hits)))
+    return _bind(matches(text, pattern), lambda hits: F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(placed(hits)))
 
 
 def free_of(spans: Column, taken: Column) -> Column:
@@ -157,8 +170,8 @@ def labelled_samples(docs: DataFrame, per_class: int, ordinary_from: DataFrame |
     Ordinary are words that no base match has as its value, and whose digits, if any, stand in one place; so keys that
     no pattern labels do not pass for ordinary. Taken in the order of a hash of the string, so that every run takes the same ones.
     """
-    found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    hits = docs.select(F.explode(F.concat(F.filter(found(ASSIGN, 2), lambda v: F.length(v) >= 6), found(ACCESS, 0), found(HEX, 0))).alias("s"))
+    text = F.col("text")
+    hits = docs.select(F.explode(F.concat(F.filter(matches(text, ASSIGN, 2), lambda v: F.length(v) >= 6), matches(text, ACCESS), matches(text, HEX))).alias("s"))
     words = (docs if ordinary_from is None else ordinary_from).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{8,40}"), F.lit(0))).alias("s"))
     hits = materialise(hits.distinct(), "labelled")
     ordinary = words.where(~F.col("s").rlike(r"^AKIA|[0-9][^0-9]+[0-9]")).distinct().join(hits, "s", "left_anti").withColumn("random", F.lit(False))
