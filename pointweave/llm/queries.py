@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.llm.collocations import collocations
 from pointweave.llm.embeddings import similar_vectors
+from pointweave.llm.fingerprints import edit_report
 from pointweave.llm.licenses import license_report
 from pointweave.llm.minhash import near_duplicates
 from pointweave.llm.mixing import hash_threshold_mix
@@ -12,6 +14,7 @@ from pointweave.llm.pieces import encode_texts
 from pointweave.llm.quality_model import classify
 from pointweave.llm.quality_rules import quality_rules
 from pointweave.llm.repeats import repeat_report
+from pointweave.llm.search import ranked_search
 from pointweave.llm.secrets import secret_report
 from pointweave.llm.sharding import TABLE_SIZE, assign_shards, lookup_table
 from pointweave.llm.shared import read
@@ -70,6 +73,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, read(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -106,6 +121,38 @@ d AS (SELECT doc_id, source, n_chars, CAST('0x' || substr(md5(coalesce(CAST(doc_
 SELECT doc_id, source, n_chars, slot, shards[slot + 1] AS shard FROM d, t
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, unnest(range(1, len(w) + 1)) AS i, w FROM p),
+o AS (SELECT lang, unnest(range(1, 6)) AS size, i, w FROM g),
+f AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM o WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, t.n, (1000 * k.a * t.n) // (l.f * r.f) AS score
+  FROM k JOIN t ON t.lang = k.lang JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1 : k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a)),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM y WHERE rank <= 2000
+"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP13_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark),
+w AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+e AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // words AS m FROM d, c),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN e USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_embeddings": op2_embeddings,
@@ -117,5 +164,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_collocations": op11_collocations,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_search": op13_search,
 }
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op7_shard_documents": OP7_SQL}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op7_shard_documents": OP7_SQL, "op11_collocations": OP11_SQL, "op13_search": OP13_SQL}

@@ -62,13 +62,13 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         at = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; words never cross rows."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SEPARATOR[data]
+    word = ~separator[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     first = word.copy()
@@ -79,6 +79,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Every word as an Arrow string, and its row. Separators are ASCII, so words are whole UTF-8."""
+    starts, ends, rows = word_bounds(data, offsets, separator)
+    ends_in_body = np.cumsum(np.append(0, ends - starts))
+    body = data[~separator[data]]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends_in_body), pa.py_buffer(body)), rows
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     up, down = powers(len(data) + 1)
