@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointweave.operators.positions import in_order
+
 
 def top(rows: DataFrame, by: list[str], order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each group in an order."""
@@ -35,14 +37,14 @@ def priority(*parts: Column | str, salt: str) -> Column:
 
 def hash_ranked_split(groups: DataFrame, name: str, salt: str, sizes: dict[str, int]) -> DataFrame:
     """name, part: groups in the order of sha256(salt + name), dealt to disjoint parts of the given sizes; others get none."""
-    ranked = groups.select(name).distinct().withColumn("_place", F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(salt), F.col(name).cast("string")), 256))))
+    ranked = in_order(groups.select(name).distinct(), [F.sha2(F.concat(F.lit(salt), F.col(name).cast("string")), 256)], "_place")
     part, upto = F.lit(None).cast("string"), 0
     bounds = []
     for label, size in sizes.items():
         bounds.append((label, upto, upto + size))
         upto += size
     for label, lo, hi in reversed(bounds):
-        part = F.when((F.col("_place") > lo) & (F.col("_place") <= hi), F.lit(label)).otherwise(part)
+        part = F.when((F.col("_place") >= lo) & (F.col("_place") < hi), F.lit(label)).otherwise(part)
     return ranked.withColumn("part", part).where("part IS NOT NULL").drop("_place")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.operators.positions import in_order
+
 
 def cell_covariances(points: DataFrame, size: int) -> DataFrame:
     """gx, gy, n and the six entries of the covariance of each column cell, from ten integer sums."""
@@ -194,3 +196,12 @@ def graph_corrections(edges: DataFrame, by: list[str], most: int = 1000, rounds:
 
     key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in by)
     return edges.groupBy(*by).applyInPandas(solve, f"{key}, version int, node int, x double, y double, angle double, dx double, dy double, da double")
+
+
+def resampled_rates(groups: DataFrame, by: list[str], hit: str, n: str, draws: int) -> DataFrame:
+    """draw, rate: sum(hit) / sum(n) over as many groups as there are, drawn with replacement; hashes draw, so reruns agree."""
+    placed = in_order(groups, by, "k")
+    count = placed.count()
+    drawn = placed.select(F.col("k").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.select("draw", F.pmod(F.xxhash64("draw", "i"), F.lit(max(1, count))).alias("k"))
+    return drawn.join(placed.select("k", hit, n), "k").groupBy("draw").agg((F.sum(hit) / F.sum(n)).alias("rate"))

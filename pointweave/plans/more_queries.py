@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import arrays as A
 from pointweave.functions import geometry as G
-from pointweave.operators import ordered, selection
+from pointweave.operators import ordered, positions, selection
 from pointweave.plans.adapters import POINTS, TICKS, TRACKS, key_sql, points, table, ticks, tracks
 from pointweave.plans.queries import query
 
@@ -328,6 +328,22 @@ def even_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.evenly(points(spark, sf_dir), ["frame"], ["pt"], 100).select("frame", "pt")
 
 
+@query(f"""WITH {POINTS}, v AS (SELECT CAST(floor(x_mm / 2000.0) AS BIGINT) AS gx, CAST(floor(y_mm / 2000.0) AS BIGINT) AS gy, CAST(floor(z_mm / 2000.0) AS BIGINT) AS gz, count(*) AS n FROM points GROUP BY ALL)
+SELECT gx, gy, gz, n, row_number() OVER (ORDER BY gx, gy, gz) - 1 AS place FROM v""")
+def map_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP01, WIN02: every voxel of the map with its place in the order of x, y, z, over all partitions."""
+    grid = [G.cell(f"{a}_mm", 2000).alias(f"g{a}") for a in "xyz"]
+    v = points(spark, sf_dir).groupBy(*grid).agg(F.count("*").alias("n"))
+    return positions.in_order(v, ["gx", "gy", "gz"], "place")
+
+
+@query(f"""WITH {POINTS}, o AS (SELECT frame, pt, row_number() OVER (ORDER BY frame, pt) - 1 AS i, count(*) OVER () AS n FROM points)
+SELECT frame, pt FROM o WHERE i IN (SELECT floor(j * n / 1000) FROM range(1000) t(j), (SELECT any_value(n) AS n FROM o)) OR n <= 1000""")
+def display_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP02, TOP09: a thousand points at even places of the whole cloud's order."""
+    return positions.evenly_placed(points(spark, sf_dir).select("frame", "pt"), ["frame", "pt"], 1000).select("frame", "pt")
+
+
 @query(f"""WITH {POINTS}, p AS (SELECT frame, pt, gt, md5('prio|' || frame || '|' || pt) AS h FROM points), k AS (SELECT frame, count(*) FILTER (gt = 4) AS k FROM points GROUP BY frame)
 SELECT frame, pt FROM (SELECT p.*, k, row_number() OVER (PARTITION BY p.frame ORDER BY h, pt) AS place FROM p JOIN k ON p.frame = k.frame) WHERE place <= k""")
 def seeded_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

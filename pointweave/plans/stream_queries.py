@@ -221,14 +221,10 @@ def trajectory_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG40: percentile interval of a rate by resampling whole scenes; draws come from a hash, so reruns agree."""
+    """AGG40: percentile interval of a rate by 5,000 resamples of whole scenes; draws come from a hash, so reruns agree."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     scenes = o.groupBy(F.col("c_nationkey").alias("scene")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("hit"), F.count("*").alias("n"))
-    count = scenes.agg(F.count("*").alias("scenes"))
-    place = scenes.withColumn("k", F.row_number().over(W.orderBy("scene")) - 1)
-    draws = count.select("scenes", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("draw")).select("draw", F.explode(F.sequence(F.lit(0), F.col("scenes") - 1)).alias("i"), "scenes")
-    draws = draws.select("draw", F.pmod(F.xxhash64("draw", "i"), F.col("scenes")).alias("k"))
-    rate = draws.join(place, "k").groupBy("draw").agg((F.sum("hit") / F.sum("n")).alias("rate"))
+    rate = solvers.resampled_rates(scenes, ["scene"], "hit", "n", 5_000)
     q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return rate.agg(q.alias("q")).select(*(F.col("q")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))))
 
