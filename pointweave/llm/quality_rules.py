@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.llm.shared import GAP, materialise, release
@@ -120,13 +121,17 @@ def _cholesky(df: DataFrame) -> DataFrame:
     return df
 
 
-def _moments(rows: DataFrame, by: list[str], names: tuple[str, ...], prior: float) -> DataFrame:
-    """by, and mean s and covariance q of the named columns, from sums that combine map-side.
+def _sums(names: tuple[str, ...]) -> dict[str, Column]:
+    """The row count and the sums of the named columns and of their products, under the names that _completed reads."""
+    own = {"n": F.count("*").cast("double")} | {f"s{k}": F.sum(x) for k, x in enumerate(names, 1)}
+    return own | {f"q{k}{j}": F.sum(F.col(names[k - 1]) * F.col(names[j - 1])) for k, j in LOWER}
+
+
+def _completed(own: DataFrame, by: list[str], prior: float) -> DataFrame:
+    """by, and mean s and covariance q of each group from its sums.
 
     Every group but the pooled one gets ``prior`` rows more, which are like the pooled ones on average.
     """
-    sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(names, 1)] + [F.sum(F.col(names[k - 1]) * F.col(names[j - 1])).alias(f"q{k}{j}") for k, j in LOWER]
-    own = rows.groupBy(*by).agg(F.count("*").cast("double").alias("n"), *sums)
     parts = [c for c in own.columns if c not in (*by, "n")]
     others = [c for c in by if c != "grp"]
     pooled = own.where(F.col("grp") == POOLED).select(*others, *((F.col(c) / F.col("n")).alias(f"p_{c}") for c in parts))
@@ -136,14 +141,28 @@ def _moments(rows: DataFrame, by: list[str], names: tuple[str, ...], prior: floa
     return both.withColumns({f"q{k}{j}": F.col(f"q{k}{j}") - F.col(f"s{k}") * F.col(f"s{j}") for k, j in LOWER})
 
 
-def _estimates(rows: DataFrame, scale: float, prior: float) -> DataFrame:
-    """Mean m and Cholesky factor l of the floored covariance of the rows of each grp and start, and its log determinant."""
-    own = _moments(rows, ["grp", "start"], FEATURES, prior)
+def _estimates(own: DataFrame, scale: float, prior: float) -> DataFrame:
+    """Mean m and Cholesky factor l of the floored covariance of each grp and start, by its sums, and its log determinant's half."""
+    own = _completed(own, ["grp", "start"], prior)
     own = own.withColumns({f"v{k}{j}": F.greatest(F.col(f"q{k}{j}") * scale, F.lit(0.0)) + F.lit(FLOORS[k - 1] ** 2) if k == j else F.col(f"q{k}{j}") * scale for k, j in LOWER})
     own = _cholesky(own.withColumnsRenamed({f"s{k}": f"m{k}" for k in range(1, 5)}))
     return own.select("grp", "start", *ESTIMATE, sum(F.log(F.col(f"l{k}{k}")) for k in range(1, 5)).alias("size"))
 
 
+def _core_sums(placed: DataFrame, share: float) -> DataFrame:
+    """The sums of the ``share`` of each grp and start's rows with the least d2, in one pass without sorting rows.
+
+    Rows are summed by bins of log d2 (32 per factor e, some thousand bins for a group at most, whatever its rows). The
+    bin on the boundary counts with the part that the share still lacks, so the weights add up to the share exactly and
+    change continuously with the estimate.
+    """
+    bins = placed.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32)).groupBy("grp", "start", "bin").agg(*(c.alias(name) for name, c in _sums(FEATURES).items()))
+    own = W.partitionBy("grp", "start")
+    lacking = F.ceil(F.sum("n").over(own) * share) - (F.sum("n").over(own.orderBy("bin")) - F.col("n"))
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lacking / F.col("n")))
+    return bins.withColumn("weight", weight).groupBy("grp", "start").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in _sums(FEATURES)))
+
+
 def _with_groups(rows: DataFrame, known: DataFrame, groups: int, how: str = "inner") -> DataFrame:
     """rows joined with known(grp, ...): by broadcast up to MOST_BROADCAST groups, else by grp and a part of its rows."""
     if groups <= MOST_BROADCAST:
@@ -160,7 +179,7 @@ def _starts(rows: DataFrame, groups: int, prior: float) -> DataFrame:
     spread = _with_prior(apart, "a", prior).select("grp", *(F.sqrt((1.4826 * F.col(f"a{k}")) ** 2 + FLOORS[k - 1] ** 2).alias(f"a{k}") for k in range(1, 5)))
     known = materialise(middle.join(spread, "grp"), "starts")
     scores = _with_groups(rows, known, groups).select("grp", *(F.tanh((F.col(x) - F.col(f"c{k}")) / F.col(f"a{k}")).alias(x) for k, x in enumerate(FEATURES, 1)))
-    linked = known.join(_moments(scores, ["grp"], FEATURES, prior), "grp")
+    linked = known.join(_completed(scores.groupBy("grp").agg(*(c.alias(name) for name, c in _sums(FEATURES).items())), ["grp"], prior), "grp")
     one = {f"v{k}{j}": F.col(f"a{k}") * F.col(f"a{j}") * (F.lit(1.0) if j == k else F.lit(0.0)) for k, j in LOWER}
     own = lambda k, j: F.col(f"q{k}{j}") / F.sqrt(F.greatest(F.col(f"q{k}{k}") * F.col(f"q{j}{j}"), F.lit(1e-12)))
     two = one | {f"v{k}{j}": F.col(f"a{k}") * F.col(f"a{j}") * own(k, j) for k, j in LOWER if j < k}
@@ -176,16 +195,16 @@ def _with_prior(df: DataFrame, letter: str, prior: float) -> DataFrame:
     return df.crossJoin(F.broadcast(pooled)).select("grp", *(((n * F.col(f"{letter}{k}") + prior * F.col(f"p{k}")) / (n + prior)).alias(f"{letter}{k}") for k in range(1, 5)))
 
 
-def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int = 6, tolerance: float = 1e-2, cutoff: float = 0.9999, prior: float = 30.0) -> DataFrame:
+def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int = 200, tolerance: float = 1e-6, cutoff: float = 0.9999, prior: float = 30.0) -> DataFrame:
     """stats plus base_failed, distance and kept, by minimum-covariance-determinant estimates per lang and source.
 
     Rows that pass the base rules are described by log mean word length, root of the symbol share, share of repeated
     lines and share of repeated words. From two starts, each concentration step re-estimates mean and covariance from
-    the ``share`` of a group's rows with the least distance, until no log determinant's half changes by more than ``tolerance`` (at most most_steps steps);
-    the start that ends with the least determinant stands. A last step uses all rows within the 0.975 quantile. The
-    distance that bounds the share comes from a histogram of log distances (32 bins per factor e), so a group's rows are
-    never sorted or gathered; a group's estimate is one row of sums. Rows beyond the ``cutoff`` quantile of
-    chi-square(4) are not kept.
+    the ``share`` of a group's rows with the least distance (see _core_sums), until no log determinant's half changes by
+    more than ``tolerance``; an error tells if that takes over most_steps steps. Groups that have settled are left out
+    of further steps, unless the pooled rows move them. The start that ends with the least determinant stands. A last
+    step uses all rows within the 0.975 quantile. A group's rows are never sorted or gathered; its estimate is one row
+    of sums. Rows beyond the ``cutoff`` quantile of chi-square(4) are not kept.
 
     Every group's sums are completed by those of ``prior`` average rows of the pooled estimate over all rows: a small
     group leans on the whole, a large one hardly, and no number of rows switches between them. Null lang or source
@@ -205,32 +224,27 @@ def covariance_outliers(stats: DataFrame, share: float = 0.75, most_steps: int =
     own = stats.where("NOT base_failed").select("grp", *FEATURES)
     groups = own.select("grp").distinct().count()
     rows = own.unionByName(own.withColumn("grp", F.lit(POOLED)))
-    now = materialise(_starts(rows, groups, prior), "estimates")
-    for _ in range(most_steps):
-        binned = _distance(_with_groups(rows, now, groups)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
-        bins = binned.groupBy("grp", "start", "bin").count()
-        total = bins.groupBy("grp", "start").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))
-        # A group has at most some thousand bins, whatever its rows.
-        bound = F.aggregate(
-            "bins",
-            F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("bin")),
-            lambda acc, x: F.struct(
-                (acc["sum"] + x["count"]).alias("sum"),
-                F.coalesce(acc["bin"], F.when(acc["sum"] + x["count"] >= F.ceil(F.col("total") * share), x["bin"])).alias("bin"),
-            ),
-        )["bin"]
-        bounded = now.join(total.select("grp", "start", bound.alias("bound")), ["grp", "start"])
-        core = _distance(_with_groups(rows, bounded, groups)).where(F.floor(F.log(F.col("d2") + 1e-6) * 32) <= F.col("bound"))
-        later = _estimates(core, _consistency(share), prior).join(now.select("grp", "start", F.col("size").alias("was")), ["grp", "start"], "left")
+    now = materialise(_starts(rows, groups, prior).withColumn("moved", F.lit(True)), "estimates")
+    sums = None
+    for step in range(most_steps + 1):
+        if step == most_steps:
+            raise RuntimeError(f"an estimate of covariance still moves after {most_steps} steps")
+        active = now.where("moved").drop("moved", "size")
+        fresh = _core_sums(_distance(_with_groups(rows, active, groups)), share)
+        if sums is not None:
+            fresh = fresh.unionByName(sums.join(active.select("grp", "start"), ["grp", "start"], "left_anti"))
+        before, sums = sums, materialise(fresh, "sums")
+        later = _estimates(sums, _consistency(share), prior).join(now.select("grp", "start", F.col("size").alias("was")), ["grp", "start"], "left")
         later = materialise(later.withColumn("moved", F.coalesce(F.abs(F.col("size") - F.col("was")) > tolerance, F.lit(True))).drop("was"), "estimates")
-        release(now)
-        now = later.drop("moved")
-        now.stored_path = later.stored_path
-        if not later.where("moved").head(1):
+        release(now, *([before] if before is not None else []))
+        now = later
+        if not now.where("moved").head(1):
             break
+    release(sums)
     best = now.groupBy("grp").agg(F.min(F.struct("size", "start")).alias("best")).select("grp", "best.start")
     near = _distance(_with_groups(rows, now.join(best, ["grp", "start"]), groups))
-    last = materialise(_estimates(near.where(F.col("d2") <= chi2_4_quantile(0.975)), _consistency(0.975), prior), "estimates").drop("start", "size")
+    near = near.where(F.col("d2") <= chi2_4_quantile(0.975)).groupBy("grp", "start").agg(*(c.alias(name) for name, c in _sums(FEATURES).items()))
+    last = materialise(_estimates(near, _consistency(0.975), prior), "estimates").drop("start", "size")
     out = _distance(_with_groups(stats, last, groups, "left")).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(chi2_4_quantile(cutoff)), F.lit(False))
     return out.withColumn("kept", kept).drop(*FEATURES, "grp", "d2", *ESTIMATE, "z1", "z2", "z3", "z4")

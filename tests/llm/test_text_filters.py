@@ -55,7 +55,7 @@ def test_outliers_equal_a_plain_estimate(spark):
     data = rows_of(400)
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     assert {r.doc_id for r in quality_rules(df).collect() if not r.kept} == {i for i, *_ in data if i % 25 == 0}
-    found = {r.doc_id: r for r in covariance_outliers(text_statistics(df), most_steps=12, tolerance=0.0).collect()}
+    found = {r.doc_id: r for r in covariance_outliers(text_statistics(df)).collect()}
     # The same steps in NumPy give the same distances, in a large group and in one of a few rows.
     from pointweave.llm import quality_rules as q
 
@@ -63,12 +63,13 @@ def test_outliers_equal_a_plain_estimate(spark):
     s = np.array([statistics(t) for _, t, *_ in data], float)
     x = np.c_[np.log(s[:, 1] / s[:, 0]), np.sqrt(s[:, 2] / s[:, 1]), s[:, 3] / 1, s[:, 4] / s[:, 0]]
     med = lambda v: np.sort(v, axis=0)[int(np.ceil(0.5 * len(v))) - 1]
-    moments = lambda v: np.c_[v.mean(0), v.T @ v / len(v)]
+    def moments(v, w=None):
+        w = np.ones(len(v)) if w is None else w
+        return np.c_[w @ v, (v * w[:, None]).T @ v] / w.sum()
 
-    def estimate(v, whole, scale):
-        m = moments(v)
+    def estimate(m, n, whole, scale):
         if whole is not None:
-            m = (len(v) * m + prior * moments(whole)) / (len(v) + prior)
+            m = (n * m + prior * whole) / (n + prior)
         return m[:, 0], (m[:, 1:] - np.outer(m[:, 0], m[:, 0])) * scale + np.diag(floor)
 
     def drawn(own, n, pooled):
@@ -87,17 +88,25 @@ def test_outliers_equal_a_plain_estimate(spark):
         for start in (1, 2):
             corr = np.eye(4) if start == 1 else cov / np.sqrt(np.maximum(np.outer(np.diag(cov), np.diag(cov)), 1e-12))
             np.fill_diagonal(corr, 1)
-            mean, scatter = c, corr * np.outer(sd, sd)
-            for step in range(12):
-                d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(scatter), v - mean)
-                bins = np.floor(np.log(d2 + 1e-6) * 32)
-                core = steps[start, step] = v[bins <= np.sort(bins)[int(np.ceil(0.75 * n)) - 1]]
-                mean, scatter = estimate(core, pooled and pooled[start, step], q._consistency(0.75))
-            ends.append((np.linalg.slogdet(scatter)[1] / 2, start, mean, scatter))
+            mean, scatter, size, settled = c, corr * np.outer(sd, sd), None, False
+            h = np.ceil(0.75 * n)
+            for step in range(200):
+                if not settled:
+                    d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(scatter), v - mean)
+                    bins = np.floor(np.log(d2 + 1e-6) * 32)
+                    below, within = (bins[None, :] < bins[:, None]).sum(1), (bins[None, :] == bins[:, None]).sum(1)
+                    core = moments(v, np.clip((h - below) / within, 0, 1))
+                steps[start, step] = core
+                mean, scatter = estimate(core, h, pooled and pooled[start, step], q._consistency(0.75))
+                was, size = size, np.linalg.slogdet(scatter)[1] / 2
+                settled = was is not None and abs(size - was) <= 1e-6
+            assert settled
+            ends.append((size, start, mean, scatter))
         _, _, mean, scatter = min(ends, key=lambda e: e[:2])
         d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(scatter), v - mean)
-        steps["last"] = v[d2 <= chi2_4_quantile(0.975)]
-        return steps, estimate(steps["last"], pooled and pooled["last"], q._consistency(0.975))
+        last = v[d2 <= chi2_4_quantile(0.975)]
+        steps["last"] = moments(last)
+        return steps, estimate(steps["last"], len(last), pooled and pooled["last"], q._consistency(0.975))
 
     whole, _ = fitted(x, None)
     for lang, source in (("en", "src0"), ("en", "src1"), ("xx", "few")):
