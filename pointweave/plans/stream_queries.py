@@ -45,7 +45,7 @@ def stream_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["keyframe_thinning"])
 def stream_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-04, WIN14: keyframes selected by a stateful fold per user."""
-    rows = _event_stream(spark, sf_dir).select("user_id", "t_us")
+    rows = _event_stream(spark, sf_dir).select("user_id", "ts", "t_us")
     out = machines.fold_stream(rows, ["user_id"], ["t_us"], lambda: machines.Keyframes("user_id", DAY), "user_id long, t_us long, status string")
     return runs.append_all(out, "keyframes").where("status = 'accepted'").select("user_id", "t_us")
 
@@ -113,14 +113,14 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_pose_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-02 in a stream: the buffer lives in each key's state."""
     t = _event_stream(spark, sf_dir).where("event_type IN ('purchase', 'click')").withColumn("kind", F.when(F.col("event_type") == "purchase", "pose").otherwise("query"))
-    out = machines.fold_stream(t.select("user_id", "event_id", "t_us", "v_cent", "kind"), ["user_id"], ["t_us"], lambda: machines.PoseBuffer("user_id", DAY), "user_id long, event_id long, mode string, v long")
+    out = machines.fold_stream(t.select("user_id", "ts", "event_id", "t_us", "v_cent", "kind"), ["user_id"], ["t_us"], lambda: machines.PoseBuffer("user_id", DAY), "user_id long, event_id long, mode string, v long")
     return runs.append_all(out, "poses")
 
 
 @query(ORACLE_SQL["session_restarts"])
 def stream_session_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-13 in a stream."""
-    t = _event_stream(spark, sf_dir).select("user_id", "event_id", "t_us", F.col("event_type").alias("session"))
+    t = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "t_us", F.col("event_type").alias("session"))
     out = machines.fold_stream(t, ["user_id"], ["t_us"], lambda: machines.Sessions("user_id"), "user_id long, event_id long, session string, accepted boolean")
     return runs.append_all(out, "restarts")
 
@@ -128,7 +128,7 @@ def stream_session_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["evidence_ledger"])
 def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-15 in a stream."""
-    t = _event_stream(spark, sf_dir).select("user_id", "event_id", "t_us", F.pmod("v_cent", F.lit(4)).alias("label"))
+    t = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "t_us", F.pmod("v_cent", F.lit(4)).alias("label"))
     out = machines.fold_stream(t, ["user_id"], ["t_us"], lambda: machines.Ledger("user_id", 3, DAY), "user_id long, event_id long, evidence long, label int")
     return runs.append_all(out, "evidence")
 
@@ -137,7 +137,7 @@ def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_packet_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-07 in a stream; equals packet_claims."""
     t = _event_stream(spark, sf_dir).where("event_type IN ('view', 'signup')").withColumn("kind", F.when(F.col("event_type") == "signup", "graph").otherwise("packet"))
-    rows = t.select("user_id", "t_us", F.floor(F.col("t_us") / 1_000_000).alias("stamp"), "kind")
+    rows = t.select("user_id", "ts", "t_us", F.floor(F.col("t_us") / 1_000_000).alias("stamp"), "kind")
     out = machines.fold_stream(rows, ["user_id"], ["t_us"], lambda: machines.Claims("user_id", 3, 432_000), "user_id long, claimed array<long>, evicted array<long>")
     return runs.append_all(out, "claims")
 
@@ -148,7 +148,8 @@ INSTANCE = "user_id long, track int, t double, epoch int, reason string, label i
 def _observations(t: DataFrame) -> DataFrame:
     k = F.pmod("v_cent", F.lit(3))
     p = F.array(*(F.when(k == c, 0.7).otherwise(0.15) for c in range(3)))
-    return t.select("user_id", F.lit("s").alias("session"), (F.col("t_us") / 1e12).alias("t"), F.pmod("event_id", F.lit(4)).alias("track"), (F.col("v_cent") % 50 / 100.0).alias("x"), p.alias("p"))
+    time = ["ts"] if "ts" in t.columns else []
+    return t.select("user_id", *time, F.lit("s").alias("session"), (F.col("t_us") / 1e12).alias("t"), F.pmod("event_id", F.lit(4)).alias("track"), (F.col("v_cent") % 50 / 100.0).alias("x"), p.alias("p"))
 
 
 @query()
@@ -242,7 +243,7 @@ def pose_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _costs(t: DataFrame) -> DataFrame:
-    return t.select("user_id", "event_id", "t_us", (F.col("v_cent") * 3_000_000).alias("cost"))
+    return t.select("user_id", "ts", "event_id", "t_us", (F.col("v_cent") * 3_000_000).alias("cost"))
 
 
 @query()

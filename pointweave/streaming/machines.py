@@ -1,7 +1,8 @@
 """Order-dependent operators as folds over a key's rows, runnable in batch and in Structured Streaming alike.
 
 A machine is a small object: ``step(row)`` takes rows of one key in event order and returns the output row or None.
-In batch a key's rows are folded in one go; in a stream the machine is kept, pickled, in the key's state.
+In batch a key's rows are folded in one go; in a stream the machine is kept, pickled, in the key's state, together
+with the rows that event time has not passed yet.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ import math
 import pickle
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pointweave.streaming import runs
+
 
 def _stepped(machine, rows: pd.DataFrame, order: list[str], columns: list[str]) -> pd.DataFrame:
     rows = rows.sort_values(order)
@@ -29,30 +34,78 @@ def fold(rows: DataFrame, by: list[str], order: list[str], make: Callable, schem
     return rows.groupBy(*by).applyInPandas(lambda pdf: _stepped(make(), pdf, order, columns), schema)
 
 
-def fold_stream(rows: DataFrame, by: list[str], order: list[str], make: Callable, schema: str, idle: tuple[str, int] | None = None) -> DataFrame:
-    """Stream form: the machine of a key lives on in its state. Rows of one micro-batch are put in order first.
+@dataclass
+class Reordered:
+    """What a stream keeps of a key: its machine, rows that may still be overtaken, and how many came too late."""
+
+    machine: object
+    waiting: pd.DataFrame | None = None
+    last_ms: int = 0
+    late: int = 0
+
 
-    ``idle`` is a time column, on which rows have a watermark, and milliseconds: a key that the watermark leaves behind
-    by more than these loses its machine, so that state does not grow with keys that are gone for good.
+def fold_stream(
+    rows: DataFrame, by: list[str], order: list[str], make: Callable, schema: str, time: str = "ts", delay: str = "40 days", late: str | None = None, idle: str | None = None, grace: str = "3650 days"
+) -> DataFrame:
+    """Stream form in event time: equals the batch form however rows are dealt to micro-batches, if none is over ``delay`` late.
+
+    Rows wait in their key's state until event time, the greatest ``time`` seen anywhere less ``delay``, has passed
+    them; timers then release them in order, so keys that get no more rows are released too. A row that comes after
+    event time has passed it is not stepped, but counted: with ``late``, a long column of the schema, every output row
+    tells how many rows of its key came too late before it, and a late row gives a row of its own that has nothing but
+    the key and this count. Spark's own watermark trails by ``grace`` more, so that it drops none of them before they
+    are counted; event times lie more than ``grace`` after 1970, where watermarks begin.
+
+    With ``idle``, a key whose newest row event time has passed by that much loses its state. Without, machines stay.
+    A stream over a finite table is closed by runs.append_all, which releases what still waits.
     """
     columns = [c.split()[0] for c in schema.split(", ")]
+    own = [c for c in columns if c != late]
+    ms = {k: int(pd.Timedelta(v).total_seconds() * 1000) if v else None for k, v in (("delay", delay), ("grace", grace), ("idle", idle))}
+    rows = runs.with_end(rows.withColumnRenamed(time, "_time"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        fresh = pd.concat([pdf for pdf in batches]) if not state.hasTimedOut else None
+        if fresh is not None:
+            fresh = fresh[~fresh["_end"]].drop(columns=["_end"])
+            if not len(fresh) and not state.exists:
+                return
+        kept: Reordered = pickle.loads(state.get[0]) if state.exists else Reordered(make())
+        mark = state.getCurrentWatermarkMs()
+        passed = mark + ms["grace"] if mark > 0 else 0
+        out = []
+        if fresh is not None and len(fresh):
+            at = fresh["_time"].astype("datetime64[ms]").astype("int64")
+            kept.last_ms = max(kept.last_ms, int(at.max()))
+            too_late = at < passed
+            if too_late.any():
+                kept.late += int(too_late.sum())
+                if late:
+                    out.append(pd.DataFrame([dict(zip(by, key, strict=True)) | {late: kept.late}], columns=columns))
+            fresh = fresh[~too_late].assign(_ms=at[~too_late])
+            kept.waiting = fresh if kept.waiting is None else pd.concat([kept.waiting, fresh])
+        if kept.waiting is not None:
+            due = kept.waiting["_ms"] < passed
+            if due.any():
+                stepped = _stepped(kept.machine, kept.waiting[due].drop(columns=["_time", "_ms"]), order, own)
+                out.append(stepped.assign(**{late: kept.late}) if late else stepped)
+            kept.waiting = None if due.all() else kept.waiting[~due]
+        if kept.waiting is not None:
+            state.update((cloudpickle.dumps(kept),))
+            state.setTimeoutTimestamp(max(int(kept.waiting["_ms"].min()) - ms["grace"] + 1, mark + 1))
+        elif ms["idle"] is not None and kept.last_ms + ms["idle"] < passed:
             state.remove()
-            return
-        machine = pickle.loads(state.get[0]) if state.exists else make()
-        pdf = pd.concat(list(batches))
-        last = pdf[idle[0]].max() if idle else None
-        out = _stepped(machine, pdf.drop(columns=[idle[0]]) if idle else pdf, order, columns)
-        state.update((pickle.dumps(machine),))
-        if idle:
-            until = int(last.timestamp() * 1000) + idle[1]
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield out
-
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*by).applyInPandasWithState(run, schema, "machine binary", "append", timeout)
+        else:
+            state.update((cloudpickle.dumps(kept),))
+            if ms["idle"] is not None:
+                state.setTimeoutTimestamp(max(kept.last_ms + ms["idle"] - ms["grace"] + 1, mark + 1))
+        for pdf in out:
+            yield pdf[columns]
+
+    marked = rows.withWatermark("_time", f"{ms['delay'] + ms['grace']} milliseconds")
+    out = marked.groupBy(*by).applyInPandasWithState(run, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
+    out.end_folder = rows.end_folder
+    return out
 
 
 class Keyframes:

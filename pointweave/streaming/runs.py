@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pointweave.operators.tables import new_path
 
@@ -20,12 +22,35 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: in
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.simpleString() == "timestamp_ntz"})
 
 
+#: A time after all events, which lets event time pass every row of a stream that has ended.
+END = datetime.datetime(2200, 1, 1)
+
+
+def with_end(rows: DataFrame) -> DataFrame:
+    """rows, whose event time is ``_time``, and ``_end``, false; rows put into the folder ``end_folder`` of the result end them."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("_end", F.lit(False))
+    folder = new_path(spark, "end")
+    spark.createDataFrame([], rows.schema).write.parquet(folder)
+    out = rows.unionByName(spark.readStream.schema(rows.schema).parquet(folder))
+    out.end_folder = folder, rows.schema
+    return out
+
+
 def append_all(rows: DataFrame, name: str) -> DataFrame:
-    """Runs a stream in append mode over all that is there, into a table, and reads the table."""
+    """Runs a stream in append mode over all that is there, into a table, and reads the table.
+
+    A stream of with_end is run once more with its end mark, from where it stopped, so that nothing stays in its state.
+    """
     spark = rows.sparkSession
-    out = new_path(spark, name)
-    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    out, progress = new_path(spark, name), new_path(spark, f"{name}-state")
+    for last in (False, True) if hasattr(rows, "end_folder") else (False,):
+        if last:
+            folder, schema = rows.end_folder
+            mark = spark.createDataFrame([tuple({"_time": END, "_end": True}.get(c) for c in schema.names)], StructType([StructField(f.name, f.dataType) for f in schema]))
+            mark.write.mode("append").parquet(folder)
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 

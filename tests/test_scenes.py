@@ -191,21 +191,6 @@ def test_versions_survive_a_restart(spark, tmp_path):
     assert run() == [(1, 12), (2, 6), (3, 1)] and run() == [(1, 12), (2, 6), (3, 1)]
 
 
-def test_idle_keys_lose_their_machine(spark, tmp_path):
-    """Each file is a micro-batch; the second one moves the watermark past key 1, whose machine then starts anew."""
-    source = f"{tmp_path}/in"
-    day = 86_400_000_000
-    for number, batch in enumerate([[(1, 0), (2, 0)], [(2, 10 * day)], [(2, 11 * day)], [(1, 11 * day + 5), (2, 11 * day + 5)]]):
-        df = spark.createDataFrame(batch, "user_id long, t_us long").withColumn("ts", F.timestamp_micros("t_us")).coalesce(1)
-        df.write.mode("append").parquet(f"{source}/{number}")
-    stream = spark.readStream.schema("user_id long, t_us long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{source}/*").withWatermark("ts", "1 day")
-    make = lambda: machines.Keyframes("user_id", 20 * day)
-    out = machines.fold_stream(stream, ["user_id"], ["t_us"], make, "user_id long, t_us long, status string", idle=("ts", 1000))
-    found = rows(runs.append_all(out, "idle"), "user_id", "t_us", "status")
-    assert (1, 11 * day + 5, "accepted") in found  # a kept machine would have said that the interval is too short
-    assert (2, 11 * day + 5, "insufficient") in found
-
-
 def test_pose_graphs_close_loops_and_keep_raw_odometry(spark):
     from pointweave.operators import solvers
 
