@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
+from pointweave.operators.nearest import nearest
 from pointweave.operators import joins, ordered, selection
 from pointweave.plans.adapters import POINTS, TICKS, TRACKS, key_sql, points, table, ticks, tracks
 from pointweave.plans.queries import MAP, VOXEL, query
@@ -140,23 +141,28 @@ def semantic_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("id_a").agg(F.count("*").alias("n"), F.bool_or(F.col("cls_a") != F.col("cls_b")).alias("boundary"))
 
 
-@query(f"""WITH {_near_sql()} SELECT id_a, CAST(min(d2) AS BIGINT) AS d2 FROM near GROUP BY id_a""")
+#: All pairs of a sweep's points and those of the one before.
+ALL_PAIRS = f"""{POINTS}, far AS (SELECT a.frame, CAST(a.frame AS BIGINT) * 1000000 + a.pt AS id_a, CAST(b.frame AS BIGINT) * 1000000 + b.pt AS id_b,
+  (a.x_mm - b.x_mm) * (a.x_mm - b.x_mm) + (a.y_mm - b.y_mm) * (a.y_mm - b.y_mm) + (a.z_mm - b.z_mm) * (a.z_mm - b.z_mm) AS d2 FROM points a JOIN points b ON b.frame = a.frame - 1)"""
+
+
+@query(f"""WITH {ALL_PAIRS} SELECT id_a, CAST(min(d2) AS BIGINT) AS d2 FROM far GROUP BY id_a""")
 def cloud_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN27: squared distance from each point to the nearest of the sweep before, within the radius."""
-    return joins.grid_neighbours(*_clouds(spark, sf_dir, 1200), 1_440_000, ("frame",)).groupBy("id_a").agg(F.min("d2").alias("d2"))
+    """JOIN27: squared distance from each point to the nearest of the sweep before, however far that is."""
+    current, past = (d.drop("key") for d in _clouds(spark, sf_dir, 1200))
+    return nearest(current, past, ("frame",), 1200).select("id_a", "d2")
 
 
-@query(f"""WITH {_near_sql()}, f AS (SELECT id_a // 1000000 AS frame, count(*) AS n, sum(d2) AS s FROM (SELECT id_a, min(d2) AS d2 FROM near GROUP BY id_a) GROUP BY 1),
-g AS (SELECT id_b // 1000000 + 1 AS frame, count(*) AS n, sum(d2) AS s FROM (SELECT id_b, min(d2) AS d2 FROM near GROUP BY id_b) GROUP BY 1), c AS (SELECT frame, count(*) AS own FROM points GROUP BY frame)
-SELECT CAST(f.frame AS BIGINT) AS frame, CAST(f.s AS DOUBLE) / f.n + CAST(g.s AS DOUBLE) / g.n AS chamfer2, CAST(f.n AS DOUBLE) / c.own AS matched FROM f JOIN g USING (frame) JOIN c USING (frame)""")
+@query(f"""WITH {ALL_PAIRS}, f AS (SELECT frame, avg(d2) AS m, count(*) FILTER (d2 <= 1440000) AS n FROM (SELECT frame, id_a, min(d2) AS d2 FROM far GROUP BY ALL) GROUP BY frame),
+g AS (SELECT frame, avg(d2) AS m FROM (SELECT frame, id_b, min(d2) AS d2 FROM far GROUP BY ALL) GROUP BY frame), c AS (SELECT frame, count(*) AS own FROM points GROUP BY frame)
+SELECT CAST(f.frame AS BIGINT) AS frame, f.m + g.m AS chamfer2, CAST(f.n AS DOUBLE) / c.own AS matched FROM f JOIN g USING (frame) JOIN c USING (frame)""")
 def chamfer_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN28: both ways, the mean squared nearest distance of a sweep and the one before; points without a neighbour
-    within the radius have none, and their share is told."""
-    near = joins.grid_neighbours(*_clouds(spark, sf_dir, 1200), 1_440_000, ("frame",))
-    mean = lambda side, name: near.groupBy("frame", f"id_{side}").agg(F.min("d2").alias("d2")).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias(name), F.count("*").alias(f"n_{side}"))
-    own = points(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("own"))
-    both = mean("a", "there").join(mean("b", "back"), "frame").join(own, "frame")
-    return both.select(F.col("frame").cast("long").alias("frame"), (F.col("there") + F.col("back")).alias("chamfer2"), (F.col("n_a") / F.col("own")).alias("matched"))
+    """JOIN28: both ways, the mean squared nearest distance of a sweep and the one before, over all their points; and the
+    share of points that have one within 1.2 m."""
+    current, past = (d.drop("key") for d in _clouds(spark, sf_dir, 1200))
+    there = nearest(current, past, ("frame",), 1200).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias("there"), F.count_if(F.col("d2") <= 1_440_000).alias("n"), F.count("*").alias("own"))
+    back = nearest(past, current, ("frame",), 1200).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias("back"))
+    return there.join(back, "frame").select(F.col("frame").cast("long").alias("frame"), (F.col("there") + F.col("back")).alias("chamfer2"), (F.col("n") / F.col("own")).alias("matched"))
 
 
 RECORDS = f"""{POINTS}, rec AS (SELECT frame, arg_min(CAST(frame AS BIGINT) * 1000000 + pt, pt) AS id, arg_min(x_mm, pt) AS x, arg_min(y_mm, pt) AS y, arg_min(z_mm, pt) AS z, arg_min(cls, pt) AS cls, gx, gy, gz
