@@ -43,16 +43,36 @@ def retrieved(queries: DataFrame, held: DataFrame, radius2: int, k: int) -> Data
     return best.withColumn("age", (F.col("frame_a") - F.col("frame_b")).cast("int")).drop("place", "at", *CELL)
 
 
-def cleared(held: DataFrame, fronts: DataFrame, margin: int) -> DataFrame:
-    """held rows (at, id, ray, r) that no sweep has seen through, plus readable, by fronts(at, ray, front).
+def kept_until(recorded: DataFrame, fronts: DataFrame, margin: int, per_cell: int, most_age: int) -> DataFrame:
+    """recorded(frame, cell, id, ray, r, ...) plus revoked_at and last: memory holds a record in the frames after its own up to ``last``.
 
-    A record that lies in front of a sweep's nearest return of its ray by more than the margin was seen through: it is
-    revoked from that frame on, for good. One that lies behind it by more is occluded: held, but not readable there. A
-    ray without a return tells nothing. A revoked record frees no place in its cell.
+    A record that lies in front of the nearest return of its ray (fronts: at, ray, front) by more than the margin was
+    seen through: it is revoked in that frame, before the frame writes, and frees its place. It also goes after most_age
+    frames, or when a frame writes into its cell and per_cell newer records are there that have neither been revoked nor
+    expired; that frame still reads it. An older record never stays where a newer one had to go, so the count needs no
+    simulation: of each record, only those of its cell in the most_age frames after it matter. revoked_at is null for a
+    record that was gone before. A ray without a return tells nothing.
     """
-    seen = held.join(fronts, ["at", "ray"], "left")
-    free = F.coalesce(F.col("r") < F.col("front") - margin, F.lit(False))
+    life = recorded.select("id", "frame", "ray", "r", F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + most_age)).alias("at"))
+    seen = life.join(fronts, ["at", "ray"]).where(F.col("r") < F.col("front") - margin)
+    through = seen.groupBy("id").agg(F.min("at").alias("through"))
+    own = recorded.join(through, "id", "left").withColumn("ends", F.least(F.col("frame") + most_age, F.coalesce(F.col("through") - 1, F.col("frame") + most_age)))
+    after = W.partitionBy(*CELL).orderBy("frame").rowsBetween(1, most_age)
+    own = own.withColumn("newer", F.collect_list(F.struct("frame", "ends")).over(after))
+    full = lambda w: F.size(F.filter("newer", lambda n: (n["frame"] <= w["frame"]) & (n["ends"] >= w["frame"]))) >= per_cell
+    evicted = F.array_min(F.transform(F.filter("newer", lambda w: (w["frame"] <= F.col("ends")) & full(w)), lambda w: w["frame"]))
+    own = own.withColumn("evicted", evicted)
+    return own.withColumns({"revoked_at": F.when(F.col("evicted").isNull(), F.col("through")), "last": F.least("ends", F.coalesce("evicted", "ends"))}).drop("newer", "evicted", "ends", "through")
+
+
+def evidence(recorded: DataFrame, fronts: DataFrame, margin: int, per_cell: int, most_age: int) -> DataFrame:
+    """recorded's columns, at, readable, revoked: a row for each frame that holds a record, and one where it is revoked.
+
+    A held record that lies behind the nearest return of its ray by more than the margin is occluded: not readable then.
+    """
+    own = kept_until(recorded, fronts, margin, per_cell, most_age)
+    until = F.coalesce("revoked_at", "last")
+    rows = own.where(until > F.col("frame")).withColumn("at", F.explode(F.sequence(F.col("frame") + 1, until)))
+    rows = rows.withColumn("revoked", F.col("at") > F.col("last")).join(fronts, ["at", "ray"], "left")
     hidden = F.coalesce(F.col("r") > F.col("front") + margin, F.lit(False))
-    first = F.min(F.when(free, F.col("at"))).over(W.partitionBy("id"))
-    kept = seen.withColumns({"first_free": first, "readable": ~hidden}).where("first_free IS NULL OR at < first_free")
-    return kept.drop("front", "first_free")
+    return rows.withColumn("readable", ~F.col("revoked") & ~hidden).drop("front", "last", "revoked_at")

@@ -39,9 +39,13 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables made by stored(). Nothing that is still to be computed may read them."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df.stored_path)

@@ -188,30 +188,27 @@ def memory_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where((16 - F.abs(F.col("cls_a") - F.col("cls_b"))) / 16 >= 0.7).select("id_a", "id_b", "d2", "age")
 
 
-@query(f"""WITH {RECORDS}, life AS (SELECT *, lead(frame, 3) OVER (PARTITION BY gx, gy, gz ORDER BY frame) AS gone, CAST(floor(x / 2500.0) AS BIGINT) * 1000 + CAST(floor(y / 2500.0) AS BIGINT) AS ray, CAST(z + 3000 AS BIGINT) AS r FROM rec),
-alive AS (SELECT l.*, f.frame AS seen_at FROM life l JOIN (SELECT unnest(range(1, 5)) AS step) s ON true JOIN (SELECT DISTINCT frame FROM points) f ON f.frame = l.frame + s.step AND (gone IS NULL OR gone >= f.frame)),
+@query(f"""WITH {RECORDS}, life AS (SELECT *, CAST(floor(x / 2500.0) AS BIGINT) * 1000 + CAST(floor(y / 2500.0) AS BIGINT) AS ray, CAST(z + 3000 AS BIGINT) AS r FROM rec),
 front AS (SELECT frame AS seen_at, CAST(floor(x_mm / 2500.0) AS BIGINT) * 1000 + CAST(floor(y_mm / 2500.0) AS BIGINT) AS ray, min(z_mm + 3000) AS front FROM points GROUP BY ALL),
-v AS (SELECT a.*, coalesce(r < front - 300, false) AS free, coalesce(r > front + 300, false) AS hidden FROM alive a LEFT JOIN front USING (seen_at, ray)),
-w AS (SELECT *, min(CASE WHEN free THEN seen_at END) OVER (PARTITION BY id) AS first_free FROM v)
-SELECT seen_at AS frame, count(*) FILTER (first_free IS NULL OR seen_at < first_free) AS held, count(*) FILTER ((first_free IS NULL OR seen_at < first_free) AND NOT hidden) AS readable, count(*) FILTER (seen_at = first_free) AS revoked FROM w GROUP BY seen_at""")
+t AS (SELECT id, min(seen_at) AS through FROM life JOIN front USING (ray) WHERE seen_at BETWEEN frame + 1 AND frame + 4 AND r < front - 300 GROUP BY id),
+e AS (SELECT life.*, through, least(frame + 4, coalesce(through - 1, frame + 4)) AS ends FROM life LEFT JOIN t USING (id)),
+g AS (SELECT id, min(written) AS gone FROM (SELECT i.id, j.frame AS written FROM e i JOIN e j ON (i.gx, i.gy, i.gz) = (j.gx, j.gy, j.gz) AND j.frame > i.frame AND j.frame <= i.ends
+  JOIN e k ON (i.gx, i.gy, i.gz) = (k.gx, k.gy, k.gz) AND k.frame > i.frame AND k.frame <= j.frame AND k.ends >= j.frame GROUP BY i.id, j.frame HAVING count(*) >= 3) GROUP BY id),
+h AS (SELECT e.*, least(ends, coalesce(gone, ends)) AS last, CASE WHEN gone IS NULL THEN through END AS revoked_at FROM e LEFT JOIN g USING (id)),
+a AS (SELECT h.*, f.frame AS seen_at FROM h JOIN (SELECT unnest(range(1, 5)) AS step) s ON true JOIN (SELECT DISTINCT frame FROM points) f ON f.frame = h.frame + s.step AND f.frame <= coalesce(revoked_at, last)),
+v AS (SELECT a.*, seen_at > last AS revoked, coalesce(r > front + 300, false) AS hidden FROM a LEFT JOIN front USING (seen_at, ray))
+SELECT seen_at AS frame, count(*) FILTER (NOT revoked) AS held, count(*) FILTER (NOT revoked AND NOT hidden) AS readable, count(*) FILTER (revoked) AS revoked FROM v GROUP BY seen_at""")
 def evidence_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-10, STM-11: what the bounded memory holds at each frame: revoked where a sweep sees through, unreadable where occluded."""
+    """STM-10, STM-11: what the bounded memory holds at each frame: revoked where a sweep sees through, which frees a place,
+    unreadable where occluded."""
     from pointweave.operators import memory
 
     p = points(spark, sf_dir).withColumns({"x": F.col("x_mm"), "y": F.col("y_mm"), "z": F.col("z_mm"), "id": F.col("frame").cast("long") * 1_000_000 + F.col("pt")})
-    ray, r = G.cell("x_mm", 2500) * 1000 + G.cell("y_mm", 2500), (F.col("z_mm") + 3000).alias("r")
-    p = p.withColumns({"ray": ray, "r": r})
-    held = memory.alive(memory.records(p, 2000, ["pt"], ["id", "ray", "r"]), 3, 4)
-    frames = p.select(F.col("frame").alias("at")).distinct()
-    held = held.join(frames, "at")
-    kept = memory.cleared(held, p.groupBy(F.col("frame").alias("at"), "ray").agg(F.min("r").alias("front")), 300)
-    counts = kept.groupBy("at").agg(F.count("*").alias("held"), F.count_if("readable").alias("readable"))
-    # A record is revoked in the first frame that it would have lived in and is not held.
-    lived = held.groupBy("id").agg(F.min("at").alias("first"), F.max("at").alias("last")).join(kept.groupBy("id").agg(F.max("at").alias("until")), "id", "left")
-    gone = held.join(lived.where("until IS NULL OR until < last"), "id").where("at > coalesce(until, first - 1)").groupBy("id").agg(F.min("at").alias("at"))
-    revoked = gone.groupBy("at").agg(F.count("*").alias("revoked"))
-    out = frames.join(counts, "at", "left").join(revoked, "at", "left").where("held IS NOT NULL OR revoked IS NOT NULL")
-    return out.select(F.col("at").alias("frame"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("held", "readable", "revoked")))
+    p = p.withColumns({"ray": G.cell("x_mm", 2500) * 1000 + G.cell("y_mm", 2500), "r": F.col("z_mm") + 3000})
+    fronts = p.groupBy(F.col("frame").alias("at"), "ray").agg(F.min("r").alias("front"))
+    held = memory.evidence(memory.records(p, 2000, ["pt"], ["id", "ray", "r"]), fronts, 300, 3, 4)
+    held = held.join(p.select(F.col("frame").alias("at")).distinct(), "at")
+    return held.groupBy(F.col("at").alias("frame")).agg(F.count_if(~F.col("revoked")).alias("held"), F.count_if("readable").alias("readable"), F.count_if("revoked").alias("revoked"))
 
 
 RAYS = f"""{POINTS}, r AS (SELECT frame, pt, CAST(floor(x_mm / 2500.0) AS BIGINT) * 1000 + CAST(floor(y_mm / 2500.0) AS BIGINT) AS ray, CAST(z_mm + 3000 AS BIGINT) AS r FROM points)"""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pointweave.functions import geometry as G
 from pointweave.operators import clusters, solvers
 from pointweave.operators.consistency import ConsistencyRules, consistent
+from pointweave.operators.tables import new_path
 from pointweave.plans.adapters import POINTS, TICKS, key_sql, points, table, ticks
 from pointweave.plans.queries import ORACLE_SQL, query
-from pointweave.streaming import machines, runs
+from pointweave.streaming import machines, maps, runs
 
 DAY = 86_400_000_000
 
@@ -61,18 +62,15 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT (l_partkey - 1000) * 50 AS x_mm, (l_suppkey - 50) * 500 AS y_mm, (CAST(l_quantity AS BIGINT) - 25) * 100 AS z_mm, CAST((l_partkey + l_linenumber) % 16 AS INTEGER) AS cls, 1000000 - CAST(round(l_discount * 100) AS BIGINT) * 10000 AS w_micro FROM lineitem) GROUP BY ALL)
 SELECT key, cls, w, n FROM k""")
 def stream_vote_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-05, STM-16: the vote table kept up to date by micro-batches, each version whole before it counts."""
+    """STM-05, STM-16: the vote table kept up to date by micro-batches, each of which writes only the tiles it touches."""
     line = runs.stream_of(spark, sf_dir, "lineitem")
+    at = {"x": (F.col("l_partkey") - 1000) * 50, "y": (F.col("l_suppkey") - 50) * 500, "z": (F.col("l_quantity").cast("long") - 25) * 100}
     rows = line.select(
-        G.voxel_key((F.col("l_partkey") - 1000) * 50, (F.col("l_suppkey") - 50) * 500, (F.col("l_quantity").cast("long") - 25) * 100, 2000).alias("key"),
-        F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(16)).cast("int").alias("cls"), (1_000_000 - F.round(F.col("l_discount") * 100).cast("long") * 10_000).alias("w"),
+        G.voxel_key(*at.values(), 2000).alias("key"), F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(16)).cast("int").alias("cls"),
+        (1_000_000 - F.round(F.col("l_discount") * 100).cast("long") * 10_000).alias("w"), F.lit(1).cast("long").alias("n"), G.voxel_key(*at.values(), 16_000).alias("tile"),
     )
-
-    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-        fresh = batch.groupBy("key", "cls").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-        return fresh if current is None else current.unionByName(fresh).groupBy("key", "cls").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-
-    return runs.incremental(rows, "votes", merge)
+    kept = maps.IncrementalMap(spark, new_path(spark, "votes"), ["key", "cls"], ["w", "n"], "tile")
+    return maps.follow(rows, kept).select("key", "cls", "w", "n")
 
 
 @query(f"""WITH {TICKS}, r AS (SELECT user_id, event_id, t_us, v_cent, event_type = 'purchase' AS pose FROM ticks WHERE event_type IN ('purchase', 'click')),

@@ -1,16 +1,14 @@
-"""Streams over tables: sources, sinks that keep the latest or the touched part, and runs over what is available now."""
+"""Streams over tables: sources, sinks, and runs over what is available now."""
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from pointweave.operators.tables import new_path
+from pointweave.operators.tables import delete, new_path
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -62,36 +60,8 @@ def complete_all(rows: DataFrame, name: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/{number}")
         batch.sparkSession.createDataFrame([(number,)], "number long").write.mode("overwrite").parquet(f"{base}/last")
+        delete(batch.sparkSession, f"{base}/{number - 1}")
 
     query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", new_path(spark, f"{name}-state")).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/{spark.read.parquet(f'{base}/last').first()['number']}")
-
-
-def incremental(rows: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], base: str | None = None) -> DataFrame:
-    """Keeps a table that every micro-batch replaces by merge(current or None, batch), each version in a folder of its own.
-
-    A version is written whole before the pointer beside it makes it current, so a failed batch leaves the last one in
-    place, and a batch that is delivered again replaces its own version only. Table, pointer and the stream's progress
-    live in ``base`` in the shared folder: a later run with the same base goes on where this one ended.
-    """
-    spark = rows.sparkSession
-    base = base or new_path(spark, name)
-
-    def current(session: SparkSession, before: int | None = None) -> str | None:
-        try:
-            numbers = [r["number"] for r in session.read.parquet(f"{base}/versions").collect()]  # one number a batch
-        except AnalysisException:
-            return None  # no batch has ended yet
-        numbers = [n for n in numbers if before is None or n < before]
-        return f"{base}/table/{max(numbers)}" if numbers else None
-
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        last = current(session, number)
-        merge(session.read.parquet(last) if last else None, batch).write.mode("overwrite").parquet(f"{base}/table/{number}")
-        session.createDataFrame([(number,)], "number long").write.mode("overwrite").parquet(f"{base}/versions/at={number}")
-
-    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(current(spark))

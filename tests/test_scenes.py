@@ -174,23 +174,6 @@ def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
         spark.read.parquet(kept.stored_path).count()
 
 
-def test_versions_survive_a_restart(spark, tmp_path):
-    source, base = f"{tmp_path}/in", f"{tmp_path}/state"
-
-    def merge(current, batch):
-        fresh = batch.groupBy("k").agg(F.sum("v").alias("v"))
-        return fresh if current is None else current.unionByName(fresh).groupBy("k").agg(F.sum("v").alias("v"))
-
-    def run():
-        stream = spark.readStream.schema("k int, v long").option("maxFilesPerTrigger", 1).parquet(source)
-        return rows(runs.incremental(stream, "sums", merge, base), "k", "v")
-
-    spark.createDataFrame([(1, 5), (2, 6)], "k int, v long").coalesce(1).write.mode("append").parquet(source)
-    assert run() == [(1, 5), (2, 6)]
-    spark.createDataFrame([(1, 7), (3, 1)], "k int, v long").coalesce(1).write.mode("append").parquet(source)
-    assert run() == [(1, 12), (2, 6), (3, 1)] and run() == [(1, 12), (2, 6), (3, 1)]
-
-
 def test_pose_graphs_close_loops_and_keep_raw_odometry(spark):
     from pointweave.operators import solvers
 
@@ -235,13 +218,6 @@ def test_consistency_follows_the_sensor_and_its_rays(spark):
     assert labels(ConsistencyRules(radial=0.1), move) == [10, 10, 12]
 
 
-def test_memory_revokes_what_is_seen_through(spark):
-    held = spark.createDataFrame([(at, i, 7, r) for i, r in ((1, 50), (2, 80), (3, 120)) for at in (1, 2, 3)], "at int, id int, ray int, r int")
-    fronts = spark.createDataFrame([(2, 7, 80), (3, 7, 40)], "at int, ray int, front int")
-    # Nothing returns in frame 1; in frame 2 record 1 is seen through, 2 is the surface, 3 is behind it; in 3 both are behind.
-    assert rows(memory.cleared(held, fronts, 10), "at", "id", "readable") == [(1, 1, True), (1, 2, True), (1, 3, True), (2, 2, True), (2, 3, False), (3, 2, False), (3, 3, False)]
-
-
 def test_streams_equal_their_batch_forms(spark):
     from pointweave.plans import QUERIES
 
