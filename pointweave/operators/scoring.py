@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.operators.quantiles import percentiles
+
 UNMAPPED, ABSTAIN, EXCLUDED = -2, -1, -1
 
 
@@ -131,10 +133,6 @@ def spread(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def latency(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, exact p50, p95, p99, min, max; nulls and NaN are left out."""
-    v = F.col(value)
-    good = values.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return good.groupBy(*by).agg(F.count("*").alias("n"), p.alias("p"), F.min(v).alias("low"), F.max(v).alias("high")).select(
-        *by, "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "low", "high"
-    )
+    """by, n, exact p50, p95, p99, min, max; nulls and NaN are left out. Groups may have any size (see quantiles)."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "low": 0.0, "high": 1.0}
+    return percentiles(values, by, value, shares)

@@ -294,7 +294,8 @@ def consecutive_free_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOXES = """box AS (SELECT CAST(floor(o_orderkey / 250) AS INTEGER) AS frame, o_orderkey AS box, CAST(o_custkey % 16 AS INTEGER) AS label, o_custkey % 9 AS annotated, CAST((o_custkey % 20 - 10) * 5000 AS DOUBLE) AS cx, CAST((o_custkey % 10 - 5) * 5000 AS DOUBLE) AS cy, 0.0 AS cz,
   CASE o_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.6 END AS qw, CASE o_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 0.8 END AS qz, CAST(16000 + o_custkey % 7 * 1000 AS DOUBLE) AS length, 12000.0 AS width, 4000.0 AS height FROM orders),
 reach AS (SELECT *, sqrt(length * length + width * width + height * height) / 2 + 0.01 AS radius FROM box WHERE annotated >= 5),
-cells AS (SELECT *, unnest(range(CAST(floor((cx - radius) / 10000.0) AS BIGINT), CAST(floor((cx + radius) / 10000.0) AS BIGINT) + 1)) AS gx FROM reach), cell AS (SELECT *, unnest(range(CAST(floor((cy - radius) / 10000.0) AS BIGINT), CAST(floor((cy + radius) / 10000.0) AS BIGINT) + 1)) AS gy FROM cells),
+near AS (SELECT frame, box, label, cx, cy, cz, qw, qz, length, width, height, CAST(floor((cx - radius) / 10000.0) AS BIGINT) AS x0, CAST(floor((cx + radius) / 10000.0) AS BIGINT) AS x1, CAST(floor((cy - radius) / 10000.0) AS BIGINT) AS y0, CAST(floor((cy + radius) / 10000.0) AS BIGINT) AS y1 FROM reach),
+cell AS (SELECT frame, box, label, cx, cy, cz, qw, qz, length, width, height, x0 + i.k AS gx, y0 + j.k AS gy FROM near, (VALUES (0), (1), (2), (3)) i(k), (VALUES (0), (1), (2), (3)) j(k) WHERE x0 + i.k <= x1 AND y0 + j.k <= y1),
 p AS (SELECT frame, pt, x_mm, y_mm, z_mm, cls, CAST(floor(x_mm / 10000.0) AS BIGINT) AS gx, CAST(floor(y_mm / 10000.0) AS BIGINT) AS gy FROM points),
 h AS (SELECT p.frame, p.pt, count(*) AS n, min(box) AS box FROM p JOIN cell c ON p.frame = c.frame AND p.gx = c.gx AND p.gy = c.gy AND p.cls = c.label
   WHERE abs((x_mm - cx) * (1 - 2 * (qz * qz)) + (y_mm - cy) * (2 * qz * qw)) <= length / 2 + 0.01 AND abs((y_mm - cy) * (1 - 2 * (qz * qz)) - (x_mm - cx) * (2 * qz * qw)) <= width / 2 + 0.01 AND abs(z_mm - cz) <= height / 2 + 0.01 GROUP BY ALL),
@@ -313,7 +314,7 @@ def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.points_in_boxes(p, boxes, 10_000)
 
 
-@query(f"WITH {POINTS}, {BOXES} SELECT * FROM owned")
+@query(f"WITH {POINTS}, {BOXES} SELECT frame, id, x, y, z, cls, owner FROM owned")
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN21, PRJ33: the turned annotation box of a point's own class that holds it; several are ambiguous."""
     return _owned(spark, sf_dir)
