@@ -175,11 +175,19 @@ def cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_sizes(found, ["frame", "cls"], 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, p AS (SELECT frame, cls, pt, x_mm / 40000.0 AS x, y_mm / 40000.0 AS y, z_mm / 40000.0 AS z FROM points),
+s AS (SELECT frame, cls, count(*) AS n, least(1.0, greatest(0.25, median(sqrt(x * x + y * y + z * z)) * 0.025)) AS radius FROM p GROUP BY ALL HAVING count(*) BETWEEN 6 AND 2048),
+m AS (SELECT a.frame, a.cls, a.pt, b.pt AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2, radius FROM p a JOIN s USING (frame, cls) JOIN p b ON b.frame = a.frame AND b.cls = a.cls AND b.pt <> a.pt),
+l AS (SELECT frame, cls, pt, near FROM m WHERE sqrt(d2) < radius QUALIFY row_number() OVER (PARTITION BY frame, cls, pt ORDER BY d2, near) <= 11),
+e AS (SELECT * FROM l UNION SELECT frame, cls, near, pt FROM l),
+r AS (SELECT frame, cls, pt, pt AS other FROM p JOIN s USING (frame, cls) UNION SELECT r.frame, r.cls, r.pt, e.near FROM r JOIN e ON e.frame = r.frame AND e.cls = r.cls AND e.pt = r.other),
+c AS (SELECT frame, cls, pt, min(other) AS cluster FROM r GROUP BY ALL), k AS (SELECT frame, cls, cluster, count(*) AS size FROM c GROUP BY ALL),
+b AS (SELECT k.* FROM k JOIN s USING (frame, cls) WHERE size >= 6 AND size >= 0.6 * n QUALIFY row_number() OVER (PARTITION BY frame, cls ORDER BY size DESC, cluster) = 1)
+SELECT p.frame, p.cls, p.pt, p.x, p.y, p.z FROM p JOIN c USING (frame, cls, pt) JOIN b USING (frame, cls, cluster)""")
 def main_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF02: the points of each object's largest connected surface, objects being the points of one class in a frame."""
+    """GRF02: the points of each object's largest surface, by links to nearest neighbours, objects being the points of one class in a frame."""
     p = points(spark, sf_dir).select("frame", "cls", "pt", *((F.col(f"{a}_mm") / 40000.0).alias(a) for a in "xyz"))
-    return clusters.main_surface(p, ["frame", "cls"], share=0.3)
+    return clusters.main_surface(p, ["frame", "cls"], "pt")
 
 
 @query()

@@ -183,7 +183,7 @@ def test_clusters_and_surfaces(spark):
     sizes = clusters.cluster_sizes(clusters.connected_cells(df, ["k"]), ["k"], 1)
     assert rows(sizes, "cells") == [(1,), (2,), (3,)]
     pts = [(0, i, 5.0, 0.1 * i, 0.0) for i in range(8)] + [(0, 8, 9.0, 9.0, 9.0)] + [(1, i, 5.0 + 3 * i, 0.0, 0.0) for i in range(8)]
-    s = clusters.main_surface(spark.createDataFrame(pts, "k int, id int, x double, y double, z double"), ["k"])
+    s = clusters.main_surface(spark.createDataFrame(pts, "k int, id int, x double, y double, z double"), ["k"], "id")
     assert rows(s, "k", "id") == [(0, i) for i in range(8)]
 
 
