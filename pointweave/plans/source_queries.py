@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
 from pointweave.operators import filters, joins, ordered
+from pointweave.operators.tables import new_path
 from pointweave.plans.adapters import PLACES, POINTS, TICKS, places, points, table, ticks
 from pointweave.plans.queries import query
 from pointweave.sources import readers, sinks
+from pointweave.sources.json_arrays import json_array, write_json_arrays
+from pointweave.sources.recorded_log import recorded_log, write_log
 
 
 @query(f"WITH {TICKS} SELECT event_id, t_us * 1000 + 123 AS stamp_ns, CAST(floor((t_us * 1000 + 123) / 1000000000) AS BIGINT) AS sec, (t_us * 1000 + 123) % 1000000000 AS nsec FROM ticks")
@@ -164,3 +167,29 @@ def taxonomy_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = p.where("pred >= 0").select(F.col("pred").alias("gt")).distinct().withColumn("reachable", F.lit(True))
     c = p.where("gt >= 0").groupBy("gt").agg(F.count("*").alias("n"))
     return c.join(reached, "gt", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+
+
+@query(f"""WITH {TICKS}, m AS (SELECT event_type AS topic, user_id AS frame, t_us * 1000 AS stamp_ns, CAST(event_id AS VARCHAR) || ':' || CAST(v_cent AS VARCHAR) AS body FROM ticks),
+r AS (SELECT *, (topic = 'click' AND frame >= 20 AND frame < 60) OR (topic IN ('error', 'purchase') AND stamp_ns <= 1705276800000000000) AS in_range FROM m)
+SELECT topic, frame, count(*) AS n, sum(length(body)) AS bytes, min(stamp_ns) AS first_ns, md5(string_agg(body, ',' ORDER BY body)) AS digest, count(*) FILTER (in_range) AS in_range FROM r GROUP BY topic, frame""")
+def recorded_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10: all events written as a log of topics and read again, whole and by two ranges that the index answers."""
+    path = new_path(spark, "log")
+    body = F.concat_ws(":", "event_id", "v_cent")
+    messages = ticks(spark, sf_dir).select(F.col("event_type").alias("topic"), F.col("user_id").alias("frame"), (F.col("t_us") * 1000).alias("stamp_ns"), F.encode(body, "UTF-8").alias("data"))
+    write_log(messages, path, files=8)
+    log = recorded_log(spark, path)
+    whole = log.withColumn("body", F.decode("data", "UTF-8")).groupBy("topic", "frame").agg(
+        F.count("*").alias("n"), F.sum(F.length("data")).alias("bytes"), F.min("stamp_ns").alias("first_ns"), F.md5(F.array_join(F.sort_array(F.collect_list("body")), ",").cast("binary")).alias("digest")
+    )
+    ranges = recorded_log(spark, path, ["click"], (20, 60)).unionByName(recorded_log(spark, path, ["error", "purchase"], stamps_ns=(0, 1_705_276_800_000_000_001)))
+    found = ranges.groupBy("topic", "frame").agg(F.count("*").alias("in_range"))
+    return whole.join(found, ["topic", "frame"], "left").withColumn("in_range", F.coalesce("in_range", F.lit(0).cast("long")))
+
+
+@query(f"WITH {TICKS} SELECT t.event_id, t.user_id, t.event_type, t.t_us, t.v_cent, e.props FROM ticks t JOIN events e USING (event_id)")
+def json_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC13: all events as JSON arrays, texts with quotes and brackets included, read by byte ranges."""
+    e = ticks(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    files = write_json_arrays(e, new_path(spark, "arrays"))
+    return json_array(files, "event_id long, user_id long, event_type string, t_us long, v_cent long, props string", range_bytes=1 << 18)
