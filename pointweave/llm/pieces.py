@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding for merge-type vocabularies: a score-ordered agenda of adjacent symbol pairs.
 
-The library loads the vocabulary, and checks the ids and decoding of texts in every Arrow batch.
+The library loads the vocabulary, and checks ids and decoding in every Arrow batch before the batch is given on.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ CACHE_CHUNKS = 400_000
 SHORT = 32
 #: Longer chunks are not remembered.
 CACHE_LENGTH = 64
+#: Characters of chunks that wait for a comparison with the library.
+CHECK_LENGTH = 1 << 20
 
 
 class PieceModel:
@@ -46,6 +48,8 @@ class PieceModel:
         self.by_word = not any(inner.search(p) for p in self.ids)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.unchecked: list[tuple[str, str]] = []
+        self.unchecked_length = 0
         #: A piece's text; None where it is a byte, whose text depends on its neighbours.
         self.plain = [None if k in self.bytes_of else "" if k in self.control else p.replace(SPACE, " ") for k, p in enumerate(self.pieces)]
         self.never = float("-inf")
@@ -140,12 +144,30 @@ class PieceModel:
     def entry(self, chunk: str) -> tuple[int, str, str]:
         ids = self.merge(chunk)
         found = len(ids), ",".join([self.number[k] for k in ids]), self.text_of(ids)
+        self.unchecked.append((chunk, found[1]))
+        self.unchecked_length += len(chunk)
+        if self.unchecked_length >= CHECK_LENGTH:
+            self.check()
         if len(chunk) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_CHUNKS:
                 self.cache.clear()
             self.cache[chunk] = found
         return found
 
+    def check(self) -> None:
+        """Compares the chunks encoded since the last call with the library, ids and decoding; a difference raises.
+
+        No merge crosses chunks, so a text's ids are those of its chunks; the library puts the mark in front itself.
+        """
+        wants = self.library.encode([chunk[1:].replace(SPACE, " ") for chunk, _ in self.unchecked])
+        # The library has no mark before an empty text, so a mark alone is asked for by its name.
+        wants = [[self.library.piece_to_id(SPACE)] if chunk == SPACE else want for (chunk, _), want in zip(self.unchecked, wants, strict=True)]
+        for (chunk, ids), want, back in zip(self.unchecked, wants, self.library.decode(wants), strict=True):
+            if ids != ",".join([self.number[k] for k in want]) or self.decode(want) != back:
+                raise AssertionError(f"a chunk's ids differ from the library's: {chunk[:200]!r}")
+        self.unchecked.clear()
+        self.unchecked_length = 0
+
     def encoded(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by commas, decoded text) of a whole text."""
         whole = self.normalised(text)
@@ -160,9 +182,11 @@ class PieceModel:
 def encode_texts(docs: DataFrame, model_file: str, column: str = "text", check_rows: int | None = 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; no begin or end ids, no sampling.
 
-    The first check_rows texts of each Arrow batch are checked in whole, ids and decoding, against the sentencepiece
-    library (None: all texts); a difference raises. A null text is an empty one, with no ids. A
-    null doc_id stays null, repeated rows give repeated rows, other columns are left out.
+    All chunks of all texts are checked, ids and decoding, against the sentencepiece library before their batch is given
+    on: a chunk is a word with the spaces before it, or the whole text where pieces span words, and a worker checks it
+    once while it remembers it. Besides, the first check_rows texts of each Arrow batch are compared as a whole (None: all
+    texts), which would show a merge across chunks. A difference raises. A null text is an empty one, with no ids. A null
+    doc_id stays null, repeated rows give repeated rows, other columns are left out.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -180,6 +204,7 @@ def encode_texts(docs: DataFrame, model_file: str, column: str = "text", check_r
                 counts.append(n)
                 hashes.append(sha256(ids.encode()).hexdigest())
                 decoded.append(sha256(back.encode()).hexdigest())
+            model.check()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

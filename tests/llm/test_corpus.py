@@ -25,6 +25,30 @@ def test_pieces_equal_the_library():
         assert model.decode(want) == back
 
 
+def test_every_chunk_is_checked_against_the_library(monkeypatch):
+    model = PieceModel(MODEL)
+    rng = random.Random(6)
+    for t in ["", " ", "a ", "  a   b  ", "▁", "▁▁", "<s> </s> <unk> <0x0A>", "\x00a", "é漢\U0001f642​", "z" * 2000]:
+        model.encoded(t)
+    for _ in range(500):
+        model.encoded("".join(rng.choice("ab  \n\té▁漢\U0001f642xyz0<>") for _ in range(rng.randint(0, 60))))
+    assert len(model.unchecked) > 1000
+    model.check()
+    assert not model.unchecked and not model.unchecked_length
+    # A wrong merge of a word that only a late text holds is found, once the word is new.
+    right = model.merge
+    monkeypatch.setattr(model, "merge", lambda chunk: right(chunk)[::-1] if "zebra" in chunk else right(chunk))
+    model.encoded("the crowd")
+    model.check()
+    model.encoded("the zebras")
+    with pytest.raises(AssertionError, match="zebra"):
+        model.check()
+    # Many unchecked characters are compared before the batch ends.
+    monkeypatch.setattr("pointweave.llm.pieces.CHECK_LENGTH", 50)
+    with pytest.raises(AssertionError, match="zebra"):
+        PieceModel.encoded(model, "zebra" * 20)
+
+
 def test_heap_and_list_agendas_agree():
     model = PieceModel(MODEL)
     rng = random.Random(2)
