@@ -83,26 +83,6 @@ def carve_votes(looks: DataFrame, reset_on_seen: bool = False) -> DataFrame:
     return looks.groupBy("key").agg(F.count_if("free").alias("n_free"), F.count_if("seen").alias("n_seen"), F.count("*").alias("n_tested"))
 
 
-def range_image(points: DataFrame, cell: list[str], r: str) -> DataFrame:
-    """frame, cell, near: the least range in every cell of every sweep; an empty cell has no row."""
-    return points.groupBy("frame", *cell).agg(F.min(r).alias("near"))
-
-
-def free_votes(candidates: DataFrame, images: DataFrame, cell: list[str], margin: int) -> DataFrame:
-    """key, n_free, n_tested: sweeps that see through a candidate(key, cell, depth), and sweeps that have its cell at all."""
-    hits = candidates.join(images, cell)
-    return hits.groupBy("key").agg(F.count_if(F.col("near") > F.col("depth") + margin).alias("n_free"), F.count("*").alias("n_tested"))
-
-
-def consecutive_votes(candidates: DataFrame, images: DataFrame, cell: list[str], margin: int) -> DataFrame:
-    """key, n_free: votes since the candidate was last seen; a sweep that returns from it sets the count back to 0."""
-    hits = candidates.join(images, cell).withColumn("free", F.col("near") > F.col("depth") + margin)
-    order = W.partitionBy("key").orderBy("frame")
-    hits = hits.withColumn("part", F.sum(F.when(F.abs(F.col("near") - F.col("depth")) <= margin, 1).otherwise(0)).over(order))
-    last = hits.withColumn("last", F.max("part").over(W.partitionBy("key"))).where("part = last")
-    return last.groupBy("key").agg(F.count_if("free").alias("n_free"))
-
-
 def withheld(voxels: DataFrame, votes: DataFrame, k: int) -> DataFrame:
     """The map as published: voxels with k free votes or more are left out of the view, and stay in the map."""
     return voxels.join(votes.select("key", "n_free"), "key", "left").where(F.coalesce("n_free", F.lit(0)) < k).drop("n_free")

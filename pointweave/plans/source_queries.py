@@ -119,6 +119,32 @@ def descriptor_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("i", "j", F.floor((1 - F.col("ab") / (ni * nj)) * 1_000_000 + 0.5).cast("long").alias("distance"))
 
 
+@query(f"""WITH {POINTS}, {PLACES}, c AS (SELECT frame, CAST(least(greatest(ceil(sqrt(CAST(x_mm * x_mm + y_mm * y_mm AS DOUBLE)) / 60000 * 20) - 1, 0), 19) AS INTEGER) AS ring,
+  CAST(least(greatest(ceil((atan2(CAST(y_mm AS DOUBLE), CAST(x_mm AS DOUBLE)) + pi()) / (2 * pi()) * 60) - 1, 0), 59) AS INTEGER) AS sector, max(z_mm + 3000) AS h FROM points WHERE x_mm * x_mm + y_mm * y_mm <= 3600000000 GROUP BY ALL),
+k AS (SELECT frame, ring, CAST(sum(h) AS BIGINT) AS s FROM c GROUP BY ALL), n AS (SELECT frame, CAST(sum(s * s) AS BIGINT) AS ss FROM k GROUP BY frame),
+ab AS (SELECT loops.i, loops.j, CAST(sum(a.s * b.s) AS BIGINT) AS ab FROM loops JOIN k a ON a.frame = loops.i JOIN k b ON b.frame = loops.j AND b.ring = a.ring GROUP BY ALL),
+d AS (SELECT i, j, x.ss + y.ss - 2 * coalesce(ab, 0) AS d2 FROM loops LEFT JOIN ab USING (i, j) JOIN n x ON x.frame = i JOIN n y ON y.frame = j)
+SELECT i, j, d2, CAST(row_number() OVER (PARTITION BY j ORDER BY d2, i) AS INTEGER) AS place FROM d QUALIFY row_number() OVER (PARTITION BY j ORDER BY d2, i) <= 10""")
+def ring_key_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP08: ten earlier scans near in place by the distance of their ring keys, the mean over 60 sectors of the greatest heights.
+
+    Sums stand for means, as the number of sectors is fixed, so squared distances are whole numbers; ties take the earlier scan.
+    """
+    p = points(spark, sf_dir).where("x_mm * x_mm + y_mm * y_mm <= 3600000000")
+    x, y = F.col("x_mm").cast("double"), F.col("y_mm").cast("double")
+    ring = F.least(F.greatest(F.ceil(F.sqrt((F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm")).cast("double")) / 60000 * 20) - 1, F.lit(0)), F.lit(19)).cast("int")
+    sector = F.least(F.greatest(F.ceil((F.atan2(y, x) + F.pi()) / (2 * F.pi()) * 60) - 1, F.lit(0)), F.lit(59)).cast("int")
+    cells = p.groupBy("frame", ring.alias("ring"), sector.alias("sector")).agg(F.max(F.col("z_mm") + 3000).alias("h"))
+    # A scan's key is one row: 20 numbers, and 0 for a ring without returns.
+    rings = cells.groupBy("frame").agg(*(F.sum(F.when(F.col("ring") == k, F.col("h")).otherwise(0)).cast("long").alias(f"r{k}") for k in range(20)))
+    keys = rings.select("frame", F.array(*(f"r{k}" for k in range(20))).alias("key"))
+    loops = joins.loop_candidates(places(spark, sf_dir), 30_000, 3, 900_000_000).select("i", "j")
+    pairs = loops.join(keys.toDF("i", "a"), "i").join(keys.toDF("j", "b"), "j")
+    squares = F.zip_with("a", "b", lambda a, b: (a - b) * (a - b))
+    d = pairs.select("i", "j", F.aggregate(squares, F.lit(0).cast("long"), lambda s, v: s + v).alias("d2"))
+    return d.withColumn("place", F.row_number().over(W.partitionBy("j").orderBy("d2", "i"))).where("place <= 10")
+
+
 @query("""WITH t AS (SELECT l_orderkey % 100 AS frame, sum(l_quantity) AS a, sum(l_linenumber) AS b FROM lineitem GROUP BY ALL)
 SELECT quantile_cont(a + b, 0.5) AS serial_p50, quantile_cont(a + b, 0.95) AS serial_p95, quantile_cont(greatest(a, b), 0.5) AS parallel_p50, quantile_cont(greatest(a, b), 0.95) AS parallel_p95 FROM t""")
 def latency_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,9 @@ def test_records(spark):
     texts = ['{"k": 1, "r": 2.5}', '{"k": 1, "k": 2}', '{"k": NaN}', "[1]", '{"k": 1', None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     assert rows(df.select("id", records.strict_json(F.col("t"), "k long, r double")["k"].alias("k")).where("k IS NOT NULL"), "id", "k") == [(0, 1)]
+    deep = ['{"k": 1, "o": {"a": 1}}', '{"k": 1, "o": {"a": 1, "a": 2}}', '{"k": 1, "o": [{"b": {"a": 1, "a": 1}}]}', '{"k": 1, "o": {"x": NaN}}', '[1]', '{"k": 1} x', '{"k": 1}, {"k": 2}', '{"k": 1}]', None, ""]
+    deep = spark.createDataFrame(list(enumerate(deep)), "id int, t string")
+    assert rows(deep.select("id", records.strict_json(F.col("t"), "k long")["k"].alias("k")).where("k IS NOT NULL"), "id", "k") == [(0, 1)]
     q = spark.createDataFrame([(1, 0.5**0.5, 0.0, 0.0, 0.5**0.5), (2, 1.0, 1.0, 0.0, 0.0), (3, float("nan"), 0.0, 0.0, 0.0)], "id int, w double, x double, y double, z double")
     got = {r.id: r for r in q.withColumns(records.transform_of({c: F.col(c) for c in "wxyz"})).collect()}
     assert got[1].valid and abs(got[1].r12 + 1) < 1e-12 and abs(got[1].r21 - 1) < 1e-12 and not got[2].valid and not got[3].valid and got[2].r11 is None
