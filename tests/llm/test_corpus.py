@@ -2,11 +2,12 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
 from pointweave.llm.mixing import hash_threshold_mix, source_targets
-from pointweave.llm.pieces import PieceModel, encode_texts
+from pointweave.llm.pieces import PieceModel, encode_batches, encode_texts, kept_model
 from pointweave.llm.queries import OP4_SQL, OP7_SQL, SHARDS, public_tokenizer
 from pointweave.llm.sharding import assign_shards, lookup_table
 
@@ -57,6 +58,58 @@ def test_heap_and_list_agendas_agree():
         assert model.merge(chunk) == model.merge_short(chunk)
 
 
+def random_text(rng, most=60):
+    return "".join(rng.choice("theandingrous  \n\té▁漢\U0001f642\u0378xyz0<>") for _ in range(rng.randint(0, most)))
+
+
+def test_tables_of_chunks_equal_single_merges():
+    model = PieceModel(MODEL)
+    rng = random.Random(3)
+    chunks = ["▁", "\u0378", "▁\u0378\u0378漢", "a" * 64, "▁" * 64, "▁the"]
+    chunks += ["▁" + "".join(rng.choice("theandingrous▁漢\u0378") for _ in range(rng.randint(0, 63))) for _ in range(500)]
+    assert model.merge_many(chunks) == [model.found(model.merge(c)) for c in chunks]
+    assert model.merge_many([]) == []
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_new_chunks_of_many_texts_are_merged_together(monkeypatch, small):
+    for name, value in {"PORTION": 7, "CACHE_CHUNKS": 20, "TABLE_ROWS": 2, "CHECK_CHUNKS": 2, "CHECK_LENGTH": 40}.items() if small else ():
+        monkeypatch.setattr(f"pointweave.llm.pieces.{name}", value)
+    model = PieceModel(MODEL)
+    rng = random.Random(4)
+    texts = ["", " ", "▁", "  a  b ", "a ", "x" * 65, "q" * 300 + " the " + "q" * 300, "the the"] + [random_text(rng) for _ in range(300)]
+    right, calls = model.merge, []
+    # Each of 3,000 new words and more was merged by itself in Python before; now only chunks of over 64 symbols are.
+    monkeypatch.setattr(model, "merge", lambda chunk: calls.append(chunk) or right(chunk))
+    found = model.encoded_many(texts)
+    model.check()
+    wants = [model.library.encode(t) for t in texts]
+    assert found == [(len(w), ",".join(map(str, w)), model.library.decode(w)) for w in wants]
+    assert {len(c) > 64 for c in calls} == {True}
+
+
+def test_worker_forgets_chunks_that_failed_their_check(monkeypatch):
+    right = PieceModel.merge_many
+
+    def wrong(self, chunks):
+        return [(n, ",".join(ids.split(",")[::-1]), text) if "zebra" in c else (n, ids, text) for c, (n, ids, text) in zip(chunks, right(self, chunks))]
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the crowd", "the zebras"]})
+
+    kept_model.cache_clear()
+    assert len(list(encode_batches(batches(), MODEL, 0))) == 1
+    first = kept_model(MODEL)
+    assert first.cache and list(encode_batches(batches(), MODEL, 0)) and kept_model(MODEL) is first
+    monkeypatch.setattr(PieceModel, "merge_many", wrong)
+    kept_model.cache_clear()
+    for _ in range(2):
+        with pytest.raises(AssertionError, match="zebra"):
+            list(encode_batches(batches(), MODEL, 0))
+    assert not kept_model(MODEL).cache
+    kept_model.cache_clear()
+
+
 def test_encode_edges(spark):
     rows = [(1, None, 1), (None, "a b", 2), (2, "", 3), (2, "", 3)]
     found = encode_texts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), MODEL).collect()
