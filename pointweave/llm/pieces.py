@@ -8,7 +8,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 from itertools import islice
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct chunks a Python worker remembers before it starts afresh; this bounds its memory, not the result.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 #: Chunks of up to so many symbols keep their agenda in a list instead of a heap.
 SHORT = 32
 #: Longer chunks are not remembered.
@@ -62,6 +61,8 @@ class PieceModel:
         self.by_word = not any(inner.search(p) for p in self.ids)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache: dict[str, tuple[int, str, str]] = {}
+        #: What entries() remembered before its cache was full; what is met again moves to the cache.
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.unchecked: list[tuple[str, str, str]] = []
         self.unchecked_length = 0
         #: A piece's text; None where it is a byte, whose text depends on its neighbours.
@@ -279,9 +280,10 @@ class PieceModel:
         for lo in range(0, len(chunks), PORTION):
             part = chunks[lo : lo + PORTION]
             distinct = set(part)
-            if len(self.cache) + len(new := distinct.difference(self.cache)) > CACHE_CHUNKS:
-                self.cache.clear()
-                new = distinct
+            if len(self.cache) + len(new := distinct.difference(self.cache)) > CACHE_CHUNKS // 2:
+                self.older, self.cache, new = self.cache, {}, distinct
+            self.cache |= (again := {c: self.older[c] for c in new if c in self.older})
+            new = new.difference(again)
             short = [c for c in new if len(c) <= CACHE_LENGTH]
             found = dict(zip(short, self.merge_many(short), strict=True))
             self.cache |= found
@@ -342,39 +344,31 @@ class PieceModel:
         return sum([e[0] for e in entries]), ",".join([e[1] for e in entries]), decoded[1:] if decoded[:1] == " " else decoded
 
 
-#: A Python worker keeps its model, with what it remembers, from task to task.
-kept_model = lru_cache(maxsize=1)(PieceModel)
-
-
 def encode_batches(batches: Iterator[pa.RecordBatch], model_file: str, check_rows: int | None) -> Iterator[pa.RecordBatch]:
-    """Batches of doc_id and text, encoded; a worker whose task does not end well drops its model, with unchecked chunks."""
-    model = kept_model(model_file)
-    try:
-        for batch in batches:
-            counts, hashes, decoded = [], [], []
+    """Batches of doc_id and text, encoded. The model goes with the task: a reused worker would hold its memory in other stages."""
+    model = PieceModel(model_file)
+    for batch in batches:
+        counts, hashes, decoded = [], [], []
+        texts, length = [], 0
+        for row in range(batch.num_rows):
+            texts.append(batch.column(1)[row].as_py() or "")
+            length += len(texts[-1])
+            if length < CHECK_LENGTH and row + 1 < batch.num_rows:
+                continue
+            for text, (n, ids, back) in zip(texts, model.encoded_many(texts), strict=True):
+                if check_rows is None or len(counts) < check_rows:
+                    want = model.library.encode(text)
+                    if ids != ",".join(map(str, want)) or back != model.library.decode(want):
+                        raise AssertionError(f"a text's ids differ from the library's: {text[:200]!r}")
+                counts.append(n)
+                hashes.append(sha256(ids.encode()).hexdigest())
+                decoded.append(sha256(back.encode()).hexdigest())
             texts, length = [], 0
-            for row in range(batch.num_rows):
-                texts.append(batch.column(1)[row].as_py() or "")
-                length += len(texts[-1])
-                if length < CHECK_LENGTH and row + 1 < batch.num_rows:
-                    continue
-                for text, (n, ids, back) in zip(texts, model.encoded_many(texts), strict=True):
-                    if check_rows is None or len(counts) < check_rows:
-                        want = model.library.encode(text)
-                        if ids != ",".join(map(str, want)) or back != model.library.decode(want):
-                            raise AssertionError(f"a text's ids differ from the library's: {text[:200]!r}")
-                    counts.append(n)
-                    hashes.append(sha256(ids.encode()).hexdigest())
-                    decoded.append(sha256(back.encode()).hexdigest())
-                texts, length = [], 0
-            model.check()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-    except BaseException:
-        kept_model.cache_clear()
-        raise
+        model.check()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
 
 
 def encode_texts(docs: DataFrame, model_file: str, column: str = "text", check_rows: int | None = 20) -> DataFrame:
