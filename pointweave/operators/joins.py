@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.geometry import neighbour_key
+from pointweave.operators.tiles import nearest_within, windows
 
 
 def lookup_or_abstain(rows: DataFrame, table: DataFrame, on: str | list[str], value: str, miss: int = -1) -> DataFrame:
@@ -100,6 +103,13 @@ def _offsets(reach: int = 1) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a in side for b in side for c in side)))
 
 
+def _in_cells(points: DataFrame, radius2: int) -> DataFrame:
+    """points with cells as wide as the radius, from their coordinates, so none wraps as a key's may."""
+    width = max(1, math.isqrt(math.ceil(radius2)))
+    width += width * width < radius2
+    return points.withColumns({f"c{a}": F.floor(F.col(a) / F.lit(width)).cast("long") for a in "xyz"}).drop("key")
+
+
 def grid_neighbours(left: DataFrame, right: DataFrame, radius2: int, by: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of left and right points (by, id, key, x, y, z) within a radius; the key's cells are as wide as the radius.
 
@@ -118,13 +128,10 @@ def grid_neighbours(left: DataFrame, right: DataFrame, radius2: int, by: tuple[s
 def reciprocal(left: DataFrame, right: DataFrame, radius2: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points that are each other's nearest within the radius, ties to the smaller id; with both points' columns.
 
-    Ids are unique over all frames.
+    Ids are unique over all frames. Points are shuffled once and meet tile by tile; no pairs are.
     """
-    near = grid_neighbours(left, right, radius2, by)
-    columns = [c for c in near.columns if c not in ("id_a", "id_b", "d2")]
-    to_right = near.groupBy("id_a").agg(F.min(F.struct("d2", "id_b", *columns)).alias("m")).select("id_a", "m.*")
-    to_left = near.groupBy("id_b").agg(F.min(F.struct("d2", "id_a")).alias("m")).select(F.col("m.id_a").alias("id_a"), "id_b")
-    return to_right.join(to_left, ["id_a", "id_b"])
+    near = nearest_within(_in_cells(left, radius2), _in_cells(right, radius2), radius2, 1, by, reciprocal=True)
+    return near.select("id_a", "d2", "id_b", *(c for c in near.columns if c not in ("id_a", "id_b", "d2", "place")))
 
 
 def moved(points: DataFrame, relative: DataFrame, by: str | list[str] = "frame") -> DataFrame:
@@ -150,24 +157,17 @@ def associate(current: DataFrame, previous: DataFrame, radius2: int, radial: int
 
 
 def nearest_neighbours(left: DataFrame, right: DataFrame, radius2: int, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest right points of each left point within the radius."""
-    order = W.partitionBy("id_a").orderBy("d2", "id_b")
-    return grid_neighbours(left, right, radius2, by).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """The k nearest right points of each left point within the radius, ties to the smaller id; place counts from 1."""
+    return nearest_within(_in_cells(left, radius2), _in_cells(right, radius2), radius2, k, by)
 
 
 def z_buffer(pixels: DataFrame, reach: int, tolerance: int) -> DataFrame:
     """pixels(frame, id, u, v, z) plus visible and edge, against the nearest and farthest depth within ``reach`` pixels.
 
-    The dilation is separable: a pixel is copied along v only, 2 reach + 1 times; along u a sliding window over each
-    row of the frame does the rest, for the pixels that hold a point.
+    Pixels are shuffled once, by tiles of the image with a border as wide as the reach.
     """
-    base = pixels.groupBy("frame", "u", "v").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    spread = base.withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    spread = spread.groupBy("frame", "u", (F.col("v") + F.col("step")).alias("v")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.col("step") == 0).alias("own"))
-    row = W.partitionBy("frame", "v").orderBy("u").rangeBetween(-reach, reach)
-    base = spread.select("frame", "u", "v", "own", F.min("lo").over(row).alias("lo"), F.max("hi").over(row).alias("hi")).where("own")
-    out = pixels.join(base.drop("own"), ["frame", "u", "v"])
-    return out.select(*pixels.columns, (F.col("z") <= F.col("lo") + tolerance).alias("visible"), (F.col("hi") - F.col("lo") > tolerance).alias("edge"))
+    out = windows(pixels, ["z"], reach)
+    return out.select(*pixels.columns, (F.col("z") <= F.col("lo_z") + tolerance).alias("visible"), (F.col("hi_z") - F.col("lo_z") > tolerance).alias("edge"))
 
 
 def ray_visibility(memory: DataFrame, returns: DataFrame, margin: int) -> DataFrame:

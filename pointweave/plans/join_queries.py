@@ -160,9 +160,10 @@ def chamfer_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN28: both ways, the mean squared nearest distance of a sweep and the one before, over all their points; and the
     share of points that have one within 1.2 m."""
     current, past = (d.drop("key") for d in _clouds(spark, sf_dir, 1200))
-    there = nearest(current, past, ("frame",), 1200).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias("there"), F.count_if(F.col("d2") <= 1_440_000).alias("n"), F.count("*").alias("own"))
-    back = nearest(past, current, ("frame",), 1200).groupBy("frame").agg((F.sum("d2") / F.count("*")).alias("back"))
-    return there.join(back, "frame").select(F.col("frame").cast("long").alias("frame"), (F.col("there") + F.col("back")).alias("chamfer2"), (F.col("n") / F.col("own")).alias("matched"))
+    near = nearest(current, past, ("frame",), 1200, both=True)
+    way = {name: F.when(F.col("back") == back, F.col("d2")) for name, back in (("there", False), ("back", True))}
+    sums = near.groupBy("frame").agg(*((F.sum(d) / F.count(d)).alias(name) for name, d in way.items()), F.count_if(way["there"] <= 1_440_000).alias("n"), F.count(way["there"]).alias("own"))
+    return sums.select(F.col("frame").cast("long").alias("frame"), (F.col("there") + F.col("back")).alias("chamfer2"), (F.col("n") / F.col("own")).alias("matched"))
 
 
 RECORDS = f"""{POINTS}, rec AS (SELECT frame, arg_min(CAST(frame AS BIGINT) * 1000000 + pt, pt) AS id, arg_min(x_mm, pt) AS x, arg_min(y_mm, pt) AS y, arg_min(z_mm, pt) AS z, arg_min(cls, pt) AS cls, gx, gy, gz
@@ -184,7 +185,7 @@ def memory_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointweave.operators import memory
 
     rec = memory.records(points(spark, sf_dir).withColumns({"x": F.col("x_mm"), "y": F.col("y_mm"), "z": F.col("z_mm"), "id": F.col("frame").cast("long") * 1_000_000 + F.col("pt")}), 2000, ["pt"], ["id", "x", "y", "z", "cls"])
-    near = memory.retrieved(rec, memory.alive(rec, 3, 4), 4_000_000, 3)
+    near = memory.retrieved_alive(rec, 3, 4, 4_000_000, 3)
     return near.where((16 - F.abs(F.col("cls_a") - F.col("cls_b"))) / 16 >= 0.7).select("id_a", "id_b", "d2", "age")
 
 
