@@ -17,7 +17,7 @@ def on_a_limit():
         for low in range(-2400, 2500, 100):
             for gap in (400, 500, 600, 750, 1000, 1200, 1500, 2000, 3000):
                 high = low + gap
-                a, b = (c - at) * low + (at - f) * high, low + (high - low) * (at - f)
+                a, b = (c - at) * low + (at - f) * high, math.fma(low, 1 - (at - f), high * (at - f))
                 if f < c and high <= 2500 and ((low >= a - 300) != (low >= b - 300) or (high <= a + 1500) != (high <= b + 1500)):
                     out.append((n, low, high))
     return out
