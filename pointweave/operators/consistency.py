@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.arrays import argmax, blend
 from pointweave.operators.joins import moved
+from pointweave.operators.tiles import nearest_within
 
 
 @dataclass(frozen=True)
@@ -37,27 +38,23 @@ def consistent(points: DataFrame, rules: ConsistencyRules = ConsistencyRules(),
     along either sensor's ray. Matches are reciprocal nearest neighbours between a frame and the one before, over all points, so that a mover
     cannot expose what lies behind it. Only then do the gates apply: static classes, confident history with an
     advantage, no confident present. Every frame is matched against raw posteriors, never against enhanced ones, so
-    frames are independent of each other: the whole sequence is one plan.
+    frames are independent of each other: the whole sequence is one plan, with one shuffle of the points, tile by tile.
     """
     cell = lambda c: F.floor(F.col(c) / rules.radius).cast("long")
-    top = F.array_max("p")
-    base = points.select("stream", "frame", "stamp", "pt", "x", "y", "z", "p", cell("x").alias("gx"), cell("y").alias("gy"), cell("z").alias("gz"), top.alias("top"), argmax(F.col("p")).alias("raw"))
-    side = (-1, 0, 1)
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in side for b in side for c in side)))
-    now = base.select("stream", "frame", "stamp", "pt", "x", "y", "z", offsets.alias("o"), "gx", "gy", "gz")
-    now = now.select("stream", "frame", F.col("stamp").alias("t"), F.col("pt").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *((F.col(f"g{a}") + F.col(f"o.{o}")).alias(f"g{a}") for a, o in zip("xyz", "abc", strict=True)))
-    past = base.select("stream", (F.col("frame") + 1).alias("frame"), "stamp", F.col("pt").alias("j"), "x", "y", "z")
+    cells = lambda d: d.withColumns({f"c{c}": cell(c) for c in "xyz"})
+    base = points.select("stream", "frame", "stamp", F.col("pt").alias("id"), "x", "y", "z", "p", F.array_max("p").alias("top"), argmax(F.col("p")).alias("raw"))
+    past = base.withColumn("frame", F.col("frame") + 1)
     past = past.withColumns({c: F.lit(0.0) for c in ("tx", "ty", "tz")}) if relative is None else moved(past, relative, ["stream", "frame"])
-    past = past.withColumns({f"g{c}": cell(c) for c in "xyz"})
-    d2 = (F.col("xi") - F.col("x")) ** 2 + (F.col("yi") - F.col("y")) ** 2 + (F.col("zi") - F.col("z")) ** 2
-    near = now.join(past, ["stream", "frame", "gx", "gy", "gz"]).withColumn("d2", d2).where((F.col("d2") <= rules.radius**2) & (F.col("t") - F.col("stamp") <= rules.most_age))
-    forth = near.groupBy("stream", "frame", "i").agg(F.min(F.struct("d2", "j", (F.col("t") - F.col("stamp")).alias("age"), "xi", "yi", "zi", "x", "y", "z", "tx", "ty", "tz")).alias("m")).select("stream", "frame", "i", "m.*")
-    back = near.groupBy("stream", "frame", "j").agg(F.min(F.struct("d2", "i")).alias("m")).select("stream", "frame", "j", F.col("m.i").alias("i"))
-    pairs = forth.join(back, ["stream", "frame", "i", "j"]).where(within_rays(rules.radial)).select("stream", "frame", "i", "j", "age")
-    history = base.select("stream", (F.col("frame") + 1).alias("frame"), F.col("pt").alias("j"), F.col("p").alias("hp"), F.col("top").alias("htop"), F.col("raw").alias("hraw"))
-    matched = base.join(pairs.withColumnRenamed("i", "pt"), ["stream", "frame", "pt"], "left").join(history, ["stream", "frame", "j"], "left")
+    most_age = rules.most_age
+
+    def young(a, i, b, j):
+        return a.column("stamp").to_numpy()[i] - b.column("stamp").to_numpy()[j] <= most_age
+
+    near = nearest_within(cells(base), cells(past), rules.radius**2, 1, ("stream", "frame"), young, reciprocal=True, keep=True)
+    names = {"id_a": "pt", "raw_a": "raw", "p_a": "p", "top_a": "top", "p_b": "hp", "top_b": "htop", "raw_b": "hraw", **{f"{c}_a": f"{c}i" for c in "xyz"}, **{f"{c}_b": c for c in ("x", "y", "z", "tx", "ty", "tz")}}
+    matched = near.withColumnsRenamed(names).withColumn("age", F.col("stamp_a") - F.col("stamp_b"))
     excluded = list(rules.excluded)
-    allowed = ~F.col("raw").isin(excluded) & ~F.col("hraw").isin(excluded) & (F.col("htop") >= rules.history_least) & (F.col("htop") >= F.col("top") + rules.advantage) & (F.col("top") < rules.veto)
+    allowed = within_rays(rules.radial) & ~F.col("raw").isin(excluded) & ~F.col("hraw").isin(excluded) & (F.col("htop") >= rules.history_least) & (F.col("htop") >= F.col("top") + rules.advantage) & (F.col("top") < rules.veto)
     weight = F.when(F.coalesce(allowed, F.lit(False)), rules.weight * F.exp(-F.col("age") / rules.decay)).otherwise(F.lit(0.0))
     out = matched.withColumn("weight", weight)
     mixed = F.when(F.col("weight") > 0, blend(F.col("p"), F.col("hp"), F.col("weight"))).otherwise(F.col("p"))

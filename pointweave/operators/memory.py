@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointweave.operators.tiles import CELLS, nearest_within
+
 CELL = ("gx", "gy", "gz")
 
 
@@ -43,6 +45,30 @@ def retrieved(queries: DataFrame, held: DataFrame, radius2: int, k: int) -> Data
     return best.withColumn("age", (F.col("frame_a") - F.col("frame_b")).cast("int")).drop("place", "at", *CELL)
 
 
+#: Frames of a block: a record is sent once to each block whose frames may read it.
+BLOCK = 16
+
+
+def retrieved_alive(recorded: DataFrame, per_cell: int, most_age: int, radius2: int, k: int) -> DataFrame:
+    """retrieved(recorded, alive(recorded, per_cell, most_age), radius2, k), without a row for every frame that reads a record.
+
+    A record goes to the tiles around it once for each block of frames, with the frames in which it is held.
+    """
+    newer = F.lead("frame", per_cell).over(W.partitionBy(*CELL).orderBy("frame"))
+    last = F.least(F.col("frame") + most_age, F.coalesce(newer, F.col("frame") + most_age))
+    cells = recorded.withColumnsRenamed(dict(zip(CELL, CELLS, strict=True)))
+    block = lambda c: F.floor(c / F.lit(BLOCK)).cast("long")
+    held = recorded.withColumn("last", last).where("last > frame").withColumnsRenamed(dict(zip(CELL, CELLS, strict=True)))
+    held = held.withColumn("_block", F.explode(F.sequence(block(F.col("frame") + 1), block(F.col("last")))))
+
+    def reads(a, i, b, j):
+        at, since, until = a.column("frame").to_numpy()[i], b.column("frame").to_numpy()[j], b.column("last").to_numpy()[j]
+        return (at > since) & (at <= until)
+
+    near = nearest_within(cells.withColumn("_block", block(F.col("frame"))), held, radius2, k, ("_block",), reads)
+    return near.withColumn("age", (F.col("frame_a") - F.col("frame_b")).cast("int")).drop("place", "_block", "last_b")
+
+
 def kept_until(recorded: DataFrame, fronts: DataFrame, margin: int, per_cell: int, most_age: int) -> DataFrame:
     """recorded(frame, cell, id, ray, r, ...) plus revoked_at and last: memory holds a record in the frames after its own up to ``last``.
 

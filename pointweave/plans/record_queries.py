@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as G
-from pointweave.operators import joins, ordered, records
+from pointweave.operators import ordered, records
 from pointweave.operators.fusion import vote_map
+from pointweave.operators.tiles import windows
 from pointweave.plans.adapters import POINTS, TICKS, key_sql, points, table, ticks
 from pointweave.plans.queries import MAP, VOXEL, query
 
@@ -98,10 +99,9 @@ s AS (SELECT pred, gt, unnest([CASE WHEN semantic THEN 'semantic_boundary' ELSE
 SELECT subset, count(*) AS n, count(*) FILTER (pred = gt) AS correct FROM s GROUP BY subset""")
 def boundary_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL01: subsets by semantic and depth boundaries of the image around a point, and by range."""
-    p = points(spark, sf_dir).select("frame", "pt", G.cell("x_mm", 2000).alias("u"), G.cell("y_mm", 2000).alias("v"), "pred", "gt", F.col("z_mm").alias("z"), (F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm")).alias("r2"))
-    edges = joins.z_buffer(p, 1, 1500).withColumnRenamed("edge", "depth").drop("visible")
-    labels = joins.z_buffer(p.select("frame", "pt", "u", "v", F.col("pred").alias("z")), 1, 0).select("frame", "pt", F.col("edge").alias("semantic"))
-    both = edges.join(labels, ["frame", "pt"]).where("gt <> -1")
+    p = points(spark, sf_dir).select("frame", G.cell("x_mm", 2000).alias("u"), G.cell("y_mm", 2000).alias("v"), "pred", "gt", F.col("z_mm").alias("z"), (F.col("x_mm") * F.col("x_mm") + F.col("y_mm") * F.col("y_mm")).alias("r2"))
+    both = windows(p, ["z", "pred"], 1).where("gt <> -1")
+    both = both.select("pred", "gt", "r2", (F.col("hi_z") - F.col("lo_z") > 1500).alias("depth"), (F.col("hi_pred") > F.col("lo_pred")).alias("semantic"))
     side = lambda c: F.concat(F.lit(f"{c}_"), F.when(F.col(c), "boundary").otherwise("interior"))
     band = F.when(F.col("r2") < 400_000_000, "range_0").when(F.col("r2") < 1_600_000_000, "range_1").otherwise("range_2")
     rows = both.select("pred", "gt", F.explode(F.array(side("semantic"), side("depth"), band)).alias("subset"))
